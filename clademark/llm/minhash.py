@@ -13,33 +13,58 @@ No list is expanded into all its pairs:
 * then only members of different components of a list are paired, since a link
   inside a component changes nothing.
 
-Values that many sketches hold (``hot`` or more) are passed over for a document
-whose other values alone must meet any partner's: with ``least`` values common
-to two sketches (or the exact overlap for small sets), ``size - least + 1`` values
-of a document are enough, in any order that both sides share, here rare ones
-first. A document mostly made of common values keeps them all. Nothing is capped.
-
-``least`` is 8 of 32: two sets with a Jaccard similarity of 0.75 have fewer
-common values among the 32 smallest of their union with a probability of about
-1e-10, and sets of at most 24 shingles are handled exactly.
+Of a sketch of m values that must have ``need`` in common with any partner's, the
+m - need + 1 that the fewest sketches hold are enough for a list, as both sides share
+that order; values that no other sketch holds count among them. So a passage that many
+documents share gives no candidates to a document with enough of its own. Nothing is capped.
+
+``need`` is the exact overlap for small sets, which a sketch holds whole. For others it is
+what two sets at the threshold have in common among the k smallest values of their union,
+but for a probability of 1e-10 (a hypergeometric tail, see ``needs``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._components import connected_components
 from ._store import written
 from ._text import NOT_SPACE, chunks, gram_hashes, lists, mix, word_hashes
 
-SKETCH = 32
-LEAST = 8
-HOT = 64
+SKETCH = 192
+MISS = 1e-10
+
+
+def needs(k: int, percent: int, miss: float = MISS) -> list[int]:
+    """By set size, up to 16 times ``k`` (the last holds beyond): common values of two sketches, fewer of which are as unlikely as ``miss``.
+
+    The union of a set of n values with a similar one has n to 100 * n / percent values, of which
+    ``percent`` of 100 at least are common. Sketches hold a union of up to k values whole; of a
+    larger one they have a sample of k, for which the largest union is the worst case.
+    """
+    choose = lambda n, r: lgamma(n + 1) - lgamma(r + 1) - lgamma(n - r + 1)
+    out = []
+    for n in range(16 * k + 1):
+        union = n * 100 // percent
+        exact = -(-n * percent // 100)
+        if union <= k:
+            out.append(exact)
+            continue
+        common = -(-union * percent // 100)
+        tail, least = 0.0, max(0, k - (union - common))
+        while tail <= miss:
+            tail += exp(choose(common, least) + choose(union - common, k - least) - choose(union, k))
+            least += 1
+        out.append(min(least - 1, exact))
+    out[-1] = min(out[k * 2 :])
+    return out
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
@@ -90,12 +115,17 @@ def _full_rows(width: int):
     return run
 
 
+def _need(k: int, percent: int, n: Column) -> Column:
+    table = needs(k, percent)
+    return F.get(F.array(*map(F.lit, table)), F.least(n, F.lit(len(table) - 1)).cast("int"))
+
+
 def _sizes_fit(percent: int):
     return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, k: int = SKETCH, least: int = LEAST, hot: int = HOT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, k: int = SKETCH
 ) -> DataFrame:
     """Near-duplicate components of whole texts.
 
@@ -114,29 +144,31 @@ def near_duplicates(
     # Inverted lists of retained values that two or more different sets hold.
     entries = reps.select("rep", "n", F.explode("sketch").alias("v"))
     often = entries.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
-    held = written(entries.join(often, "v").select("v", "rep", "n", (F.col("c") >= hot).alias("hot")), "held")
-    whole = k * percent // 100
-    enough = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(least)
-    common = held.filter("hot").groupBy("rep").agg(F.count("*").alias("h"), F.first("n").alias("n")).filter(F.col("h") >= enough).select("rep")
-    inverted = held.filter("not hot").select("v", "rep", "n").unionByName(held.filter("hot").join(common, "rep", "left_semi").select("v", "rep", "n"))
-    inverted = written(inverted, "inverted")
+    held = written(entries.join(often, "v"), "held")
+    own = W.partitionBy("rep")
+    ranked = held.withColumns({"r": F.row_number().over(own.orderBy("c", "v")), "h": F.count("*").over(own), "need": _need(k, percent, F.col("n"))})
+    # The length of the prefix: what a value's rank must not exceed.
+    inverted = written(ranked.filter("r <= h - need + 1").select("v", "rep", "n", "r", "h", "need"), "inverted")
 
     pivots = inverted.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("p"))
     stars = inverted.join(pivots, "v").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
     stars = written(stars.filter("a < b").filter(_sizes_fit(percent)).distinct(), "stars")
-    found = _verified(docs, reps, stars, percent, width, k, least)
+    found = _verified(docs, reps, stars, percent, width, k)
     groups = connected_components(found)
 
     # Second pass: only what is still in different components.
-    placed = inverted.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("g"))
+    placed = inverted.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", "r", "h", "need", F.coalesce("component", "rep").alias("g"))
     placed = written(placed, "placed")
     split = placed.groupBy("v").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("v")
     open_ = placed.join(split, "v", "left_semi")
-    x = open_.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-    y = open_.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    across = x.join(y, "v").filter("ga != gb and a < b").filter(_sizes_fit(percent)).select("a", "b", "na", "nb").distinct()
+    side = lambda end: open_.select("v", F.col("rep").alias(end), *(F.col(c).alias(c + end) for c in ("n", "g", "r", "h", "need")))
+    # Two whole sets must have more in common than either needs for its smallest partner: their prefixes are shorter.
+    both = F.when(F.greatest("na", "nb") <= k, F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))).otherwise(F.least("needa", "needb"))
+    far = (F.col("ra") <= F.col("ha") - both + 1) & (F.col("rb") <= F.col("hb") - both + 1)
+    pairs = side("a").alias("x").join(side("b").alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b")) & _sizes_fit(percent) & far)
+    across = pairs.select("a", "b", "na", "nb").distinct()
     across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
-    more = _verified(docs, reps, across, percent, width, k, least)
+    more = _verified(docs, reps, across, percent, width, k)
     groups = connected_components(found.unionByName(more))
 
     member = reps.select("one", "two", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
@@ -147,7 +179,7 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, width: int, k: int, least: int) -> DataFrame:
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, width: int, k: int) -> DataFrame:
     """Of candidate pairs, those whose full sets reach the threshold: ``a, b``."""
     sketch = lambda end: reps.select(F.col("rep").alias(end), F.col("sketch").alias(f"s{end}"))
     close = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
@@ -155,7 +187,8 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int,
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     # Fewer values in the union than k: the estimate is the true similarity.
     close = close.withColumn("shared", shared).withColumn("among", F.size(union))
-    fits = F.when(F.col("among") < k, F.col("shared") * 100 >= F.col("among") * percent).otherwise(F.col("shared") >= least)
+    exact = F.col("shared") * 100 >= F.col("among") * percent
+    fits = F.when(F.col("among") < k, exact).otherwise(F.col("shared") >= _need(k, percent, F.least("na", "nb")))
     close = written(close.filter(fits).select("a", "b"), "close")
     need = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
     texts = docs.join(need, "doc_id", "left_semi")

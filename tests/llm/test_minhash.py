@@ -49,8 +49,8 @@ def corpus(seed=3):
 def test_components_equal_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)
-    for hot in (4, 64):
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, hot=hot).collect()}
+    for k in (192, 48):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, k=k).collect()}
         assert got == brute(rows)
 
 
