@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, suffix
+from . import decontaminate, language, minhash, packing, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of ``documents``, learned from ``labels``."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of ``documents``."""
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_packing": op3_packing, "op6_decontaminate": op6_decontaminate, "op10_suffix": op10_suffix}
+    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op6_decontaminate": op6_decontaminate, "op10_suffix": op10_suffix}
 
 
 ORACLE: dict[str, str] = {}
