@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, minhash, packing, suffix, toxicity
+from . import decontaminate, language, minhash, packing, sharding, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +48,36 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op6_decontaminate": op6_decontaminate, "op10_suffix": op10_suffix}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in 24 shuffled shards."""
+    out = sharding.documents(_table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of ``pages``."""
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    return urls.judge(_table(spark, sf_dir, "pages"), rules).drop("alias_of")
 
-ORACLE: dict[str, str] = {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op9_urls": op9_urls, "op10_suffix": op10_suffix}
+
+
+ORACLE: dict[str, str] = {
+    # The tables name no canonical address and no redirect, so that components hold one page each.
+    "op9_urls": r"""
+        WITH rules(rhost, rpath, decision) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+            ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
+        SELECT p.page_id, p.host, p.path, max_by(rhost || rpath, length(rhost || rpath)) AS rule,
+            coalesce(max_by(decision, length(rhost || rpath)), 'allow') AS verdict
+        FROM parsed p LEFT JOIN rules r ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)
+        GROUP BY ALL""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
