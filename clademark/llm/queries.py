@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, minhash, packing, sharding, suffix, toxicity, urls
+from . import decontaminate, language, minhash, packing, sharding, suffix, toxicity, urls, vectors, warc
+from ._store import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +62,22 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), rules).drop("alias_of")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``embeddings``."""
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written to archives and read back."""
+    path = new_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    got = warc.captures(warc.records(spark, path))
+    size = F.coalesce("origin.bytes", F.octet_length("body").cast("long"))
+    return got.select(warc.page_id_of(F.col("metadata.fields")).alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), warc.page_id_of(F.col("origin.fields")).alias("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op9_urls": op9_urls, "op10_suffix": op10_suffix}
+    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_vectors": op7_vectors, "op8_warc": op8_warc, "op9_urls": op9_urls, "op10_suffix": op10_suffix}
 
 
 ORACLE: dict[str, str] = {
