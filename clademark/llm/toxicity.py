@@ -108,7 +108,8 @@ def train(labels: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, bits: int
     first = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(11)
     sums = [1e-8, np.full(len(fm.weight), 1e-8), np.full(fm.factor.shape, 1e-8)]
-    for _ in range(epochs):
+    # Small samples are gone through more often.
+    for _ in range(max(epochs, 600 * 128 // max(n, 1))):
         order = rng.permutation(n)
         for lo in range(0, n, 128):
             docs = order[lo : lo + 128]
