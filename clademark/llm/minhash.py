@@ -10,8 +10,8 @@ No list is expanded into all its pairs:
 * equal sets are collapsed to their smallest id before anything else;
 * each list is first compared with its pivot (its smallest member) only, and the
   verified links are contracted to components;
-* then only members of different components of a list are paired, since a link
-  inside a component changes nothing.
+* then only documents of lists with several components go on, with their whole sets, and only
+  those of different components are paired, since a link inside a component changes nothing.
 
 Of a sketch of m values that must have ``need`` in common with any partner's, the
 m - need + 1 that the fewest sketches hold are enough for a list, as both sides share
@@ -148,27 +148,35 @@ def near_duplicates(
     own = W.partitionBy("rep")
     ranked = held.withColumns({"r": F.row_number().over(own.orderBy("c", "v")), "h": F.count("*").over(own), "need": _need(k, percent, F.col("n"))})
     # The length of the prefix: what a value's rank must not exceed.
-    inverted = written(ranked.filter("r <= h - need + 1").select("v", "rep", "n", "r", "h", "need"), "inverted")
-
-    pivots = inverted.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("p"))
-    stars = inverted.join(pivots, "v").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
+    inverted = written(ranked.filter("r <= h - need + 1").select("v", "rep", "n"), "inverted")
+
+    # Whole sets of the documents that meet another in a list.
+    pivots = inverted.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    met = inverted.join(pivots, "v")
+    full = docs.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    full = written(full.mapInArrow(_full_rows(width), "doc_id long, full array<long>"), "full")
+    stars = met.select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
     stars = written(stars.filter("a < b").filter(_sizes_fit(percent)).distinct(), "stars")
-    found = _verified(docs, reps, stars, percent, width, k)
+    found = _verified(full, reps, stars, percent, k)
     groups = connected_components(found)
 
-    # Second pass: only what is still in different components.
-    placed = inverted.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", "r", "h", "need", F.coalesce("component", "rep").alias("g"))
+    # Second pass: only what is still in different components, now by the whole sets, for which the bounds are exact.
+    placed = met.select("v", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("g"))
     placed = written(placed, "placed")
     split = placed.groupBy("v").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("v")
-    open_ = placed.join(split, "v", "left_semi")
-    side = lambda end: open_.select("v", F.col("rep").alias(end), *(F.col(c).alias(c + end) for c in ("n", "g", "r", "h", "need")))
-    # Two whole sets must have more in common than either needs for its smallest partner: their prefixes are shorter.
-    both = F.when(F.greatest("na", "nb") <= k, F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))).otherwise(F.least("needa", "needb"))
+    open_ = placed.join(split, "v", "left_semi").select(F.col("rep").alias("doc_id"), "g").distinct()
+    whole = full.join(open_, "doc_id").select("doc_id", "g", F.size("full").alias("n"), F.explode("full").alias("v"))
+    whole = whole.join(whole.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1"), "v")
+    own = W.partitionBy("doc_id")
+    ranked = whole.withColumns({"r": F.row_number().over(own.orderBy("c", "v")), "h": F.count("*").over(own)})
+    prefix = written(ranked.filter(F.col("r") <= F.col("h") - F.ceil(F.col("n") * percent / 100) + 1), "prefix")
+    side = lambda end: prefix.select("v", F.col("doc_id").alias(end), *(F.col(c).alias(c + end) for c in ("n", "g", "r", "h")))
+    # A pair needs this overlap; what comes before a common value in both prefixes is not common.
+    both = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     far = (F.col("ra") <= F.col("ha") - both + 1) & (F.col("rb") <= F.col("hb") - both + 1)
     pairs = side("a").alias("x").join(side("b").alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b")) & _sizes_fit(percent) & far)
-    across = pairs.select("a", "b", "na", "nb").distinct()
-    across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
-    more = _verified(docs, reps, across, percent, width, k)
+    across = written(pairs.select("a", "b", "na", "nb").distinct(), "across")
+    more = _verified(full, reps, across.join(stars, ["a", "b"], "left_anti"), percent, k)
     groups = connected_components(found.unionByName(more))
 
     member = reps.select("one", "two", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
@@ -179,7 +187,7 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, width: int, k: int) -> DataFrame:
+def _verified(full: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
     """Of candidate pairs, those whose full sets reach the threshold: ``a, b``."""
     sketch = lambda end: reps.select(F.col("rep").alias(end), F.col("sketch").alias(f"s{end}"))
     close = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
@@ -190,9 +198,6 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int,
     exact = F.col("shared") * 100 >= F.col("among") * percent
     fits = F.when(F.col("among") < k, exact).otherwise(F.col("shared") >= _need(k, percent, F.least("na", "nb")))
     close = written(close.filter(fits).select("a", "b"), "close")
-    need = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    texts = docs.join(need, "doc_id", "left_semi")
-    full = written(texts.mapInArrow(_full_rows(width), "doc_id long, full array<long>"), "full")
     side = lambda end: full.select(F.col("doc_id").alias(end), F.col("full").alias(f"f{end}"))
     both = close.join(side("a"), "a").join(side("b"), "b")
     both = both.select("a", "b", F.size("fa").alias("na"), F.size("fb").alias("nb"), F.size(F.array_intersect("fa", "fb")).alias("i"))
