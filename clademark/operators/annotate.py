@@ -48,5 +48,9 @@ def annotate_snps(located: DataFrame, features: DataFrame) -> DataFrame:
     x = x.withColumn("ref_codon", F.upper(F.substring("nt_sequence", F.col("codon_pos") * 3 + start + 1, F.lit(3)))).drop("nt_sequence")
     x = x.filter(F.substring("ref_codon", F.col("codon_offset") + 1, F.lit(1)) != F.col("coding_alt"))
     x = x.withColumn("alt_codon", F.overlay("ref_codon", "coding_alt", F.col("codon_offset") + 1, F.lit(1)))
-    x = x.withColumns({"ref_aa": S.translate_codon(F.col("ref_codon")), "alt_aa": S.translate_codon(F.col("alt_codon"))})
+    # The 64 codons as a broadcast table: as an expression, the translation would be repeated wherever an amino acid is used.
+    codons = x.sparkSession.createDataFrame(list(S.CODONS.items()), "codon string, aa string")
+    for side in ("ref", "alt"):
+        table = F.broadcast(codons.select(F.col("codon").alias(f"{side}_codon"), F.col("aa").alias(f"{side}_aa")))
+        x = x.join(table, f"{side}_codon", "left").withColumn(f"{side}_aa", F.coalesce(f"{side}_aa", F.lit("?")))
     return x.withColumn("consequence", S.classify_snp(F.col("ref_aa"), F.col("alt_aa"), F.col("codon_pos")))
