@@ -72,7 +72,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
     got = warc.captures(warc.records(spark, path))
-    size = F.coalesce("origin.bytes", F.octet_length("body").cast("long"))
+    size = F.coalesce("origin.bytes", "bytes")
     return got.select(warc.page_id_of(F.col("metadata.fields")).alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), warc.page_id_of(F.col("origin.fields")).alias("refers_to"))
 
 

@@ -7,6 +7,7 @@ Content-Length. Assembly joins the records of a capture through those identifier
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,7 +65,7 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> None
     metadata = _record([*common(F.lit("metadata"), _name("metadata")), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")))
     end = "\r\n\r\n"
     out = rows.select(F.concat_ws(end, request, response, metadata).alias("value"))
-    out.write.option("lineSep", end).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.write.option("compression", "gzip").option("lineSep", end).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 _RECORDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, date string, digest string, head string, body binary"
@@ -75,7 +76,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [*[pa.string()] * 8, pa.binary()]
     for batch in batches:
         for content in batch.column(0):
-            data, at, out = content.as_buffer().to_pybytes(), 0, []
+            data, at, out = gzip.decompress(content.as_buffer()), 0, []
             while (at := data.find(b"WARC/1.", at)) >= 0:
                 stop = data.index(b"\r\n\r\n", at)
                 lines = data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
@@ -98,8 +99,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the uncompressed archives in a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    """All records of the gzip-compressed archives in a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select("content").mapInArrow(_parse, _RECORDS)
 
 
@@ -108,13 +109,13 @@ def captures(found: DataFrame) -> DataFrame:
 
     A capture without request or metadata has null there; of several, one is taken. Records that belong to no response are left out.
     """
-    main = found.filter("type in ('response', 'revisit')")
+    main = found.filter("type in ('response', 'revisit')").withColumn("bytes", F.octet_length("body").cast("long"))
     part = lambda kind, body: found.filter(F.col("type") == kind).groupBy("concurrent_to").agg(F.min(F.struct("record_id", "date", "head", body)).alias(kind)).withColumnRenamed("concurrent_to", "record_id")
     text = F.decode("body", "utf-8").alias("fields")
     origin = main.filter("type = 'response'").join(part("metadata", text), "record_id", "left")
-    origin = origin.select(F.col("record_id").alias("refers_to"), F.struct("record_id", F.octet_length("body").cast("long").alias("bytes"), F.col("metadata.fields").alias("fields")).alias("origin"))
+    origin = origin.select(F.col("record_id").alias("refers_to"), F.struct("record_id", "bytes", F.col("metadata.fields").alias("fields")).alias("origin"))
     out = main.join(part("request", F.lit(None).cast("string").alias("fields")), "record_id", "left").join(part("metadata", text), "record_id", "left")
-    return out.join(origin, "refers_to", "left").select("record_id", "type", "uri", "date", "digest", "head", "body", "request", "metadata", "origin")
+    return out.join(origin, "refers_to", "left").select("record_id", "type", "uri", "date", "digest", "head", "body", "bytes", "request", "metadata", "origin")
 
 
 def page_id_of(fields: Column) -> Column:
