@@ -117,3 +117,32 @@ def codon_index(cds: Column, codon_start: Column) -> Column:
 
 def codon_position(cds: Column, codon_start: Column) -> Column:
     return F.pmod(cds - codon_start, F.lit(3)).cast("int")
+
+
+# IUPAC nucleotide letters and the bases they stand for.
+IUPAC = {
+    "A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC",
+    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT",
+}
+
+
+def iupac_alts(ref: Column, query: Column) -> Column:
+    """Bases a letter stands for, but for the reference, sorted, each with its share of all of them (F-13)."""
+    options = F.split(F.coalesce(_lookup(IUPAC, F.upper(query)), F.upper(query)), "")
+    other = F.filter(options, lambda o: o != F.upper(ref))
+    return F.transform(other, lambda o: F.struct(o.alias("alt"), (F.lit(1.0) / F.size(options)).alias("af")))
+
+
+def sequence_checksum(seq: Column) -> Column:
+    """SHA-256 of the sequence in capitals (F-27)."""
+    return F.sha2(F.upper(seq), 256)
+
+
+def doi_of(token: Column) -> Column:
+    """DOI of a publication token, without address or ``doi:`` before it; else empty (F-23)."""
+    return F.trim(F.regexp_extract(F.trim(token), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi\.org/|doi:)(.*)$", 1))
+
+
+def pmid_of(token: Column) -> Column:
+    """PubMed id after ``PMID:``; else empty (F-23)."""
+    return F.trim(F.regexp_extract(F.trim(token), r"(?i)^pmid:(.*)$", 1))

@@ -18,6 +18,10 @@ SQL = {
     "blocks": "SELECT l_orderkey % 50 AS run_id, 'chr' || CAST(l_suppkey % 10 AS VARCHAR(9)) AS chrom, CAST((l_partkey * 17) % 3000 AS INT) AS b_start, CAST((l_partkey * 17) % 3000 + 50 + l_linenumber AS INT) AS b_end FROM {lineitem}",
     "kbs": "SELECT 'A' AS db, p_partkey % 500 AS position, p_brand AS gene, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug, p_type AS phenotype, 'acc' || CAST(p_size AS VARCHAR(9)) AS accession FROM {part} WHERE p_partkey % 2 = 0 UNION ALL SELECT 'B', p_partkey % 500, p_brand, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)), p_type, 'acc' || CAST(p_size AS VARCHAR(9)) FROM {part} WHERE p_partkey % 3 = 0 UNION ALL SELECT 'C', p_partkey % 500, p_brand, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)), p_type, 'acc' || CAST(p_size AS VARCHAR(9)) FROM {part} WHERE p_partkey % 5 = 0",
     "matches": "SELECT l_orderkey % 50 AS run_id, 'q' || CAST(l_partkey % 40 AS VARCHAR(9)) AS query, 'g' || CAST(l_suppkey AS VARCHAR(9)) AS feature, l_discount AS identity, l_tax AS cds_coverage, l_quantity AS query_coverage FROM {lineitem}",
+    "alignments": "SELECT 'chr' || CAST(s_suppkey % 10 AS VARCHAR(9)) AS chrom, s_suppkey AS feature_id, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(floor(s_suppkey / 10) * 500 AS INT) AS query_start, CAST(floor(s_suppkey / 10) * 500 + 451 + s_suppkey % 40 AS INT) AS query_end, 0 AS cds_start, CAST(1 + s_suppkey % 40 AS INT) AS ins, CAST(3 * (1 + s_suppkey % 3) AS INT) AS del, '100M' || CAST(1 + s_suppkey % 40 AS VARCHAR(9)) || 'I200M' || CAST(3 * (1 + s_suppkey % 3) AS VARCHAR(9)) || 'D150M' AS cigar FROM {supplier}",
+    "overrides": "SELECT s_suppkey AS override_no, CASE WHEN s_suppkey % 2 = 0 THEN 'ref' || CAST(s_suppkey % 10 AS VARCHAR(9)) || '.1' END AS reference, 'Drug' || CAST(s_suppkey % 6 AS VARCHAR(9)) AS drug, CAST(s_suppkey % 5 AS INT) AS thresholds FROM {supplier}",
+    "insertions": "SELECT l_orderkey AS ann_id, CAST(l_suppkey % 3 AS INT) AS position, 'drug' || CAST(l_partkey % 2 AS VARCHAR(9)) AS drug, 'F' AS reference, CASE l_linenumber % 3 WHEN 0 THEN 'INS_any' WHEN 1 THEN 'FGG' ELSE 'L' END AS mutation, l_linenumber FROM {lineitem}",
+    "potency": "SELECT p_partkey AS rule_id, 'org' || CAST(p_partkey % 3 AS VARCHAR(9)) AS organism, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug, CASE WHEN p_partkey % 7 < 4 AND p_size % 2 = 0 THEN CAST(p_size % 10 AS DOUBLE) END AS ic50, CAST(p_size % 8 AS DOUBLE) AS fold_ic50 FROM {part}",
 }
 TABLES = ("supplier", "lineitem", "part", "orders", "events")
 
