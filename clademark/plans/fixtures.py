@@ -22,6 +22,12 @@ SQL = {
     "overrides": "SELECT s_suppkey AS override_no, CASE WHEN s_suppkey % 2 = 0 THEN 'ref' || CAST(s_suppkey % 10 AS VARCHAR(9)) || '.1' END AS reference, 'Drug' || CAST(s_suppkey % 6 AS VARCHAR(9)) AS drug, CAST(s_suppkey % 5 AS INT) AS thresholds FROM {supplier}",
     "insertions": "SELECT l_orderkey AS ann_id, CAST(l_suppkey % 3 AS INT) AS position, 'drug' || CAST(l_partkey % 2 AS VARCHAR(9)) AS drug, 'F' AS reference, CASE l_linenumber % 3 WHEN 0 THEN 'INS_any' WHEN 1 THEN 'FGG' ELSE 'L' END AS mutation, l_linenumber FROM {lineitem}",
     "potency": "SELECT p_partkey AS rule_id, 'org' || CAST(p_partkey % 3 AS VARCHAR(9)) AS organism, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug, CASE WHEN p_partkey % 7 < 4 AND p_size % 2 = 0 THEN CAST(p_size % 10 AS DOUBLE) END AS ic50, CAST(p_size % 8 AS DOUBLE) AS fold_ic50 FROM {part}",
+    "indel_calls": "SELECT l_orderkey % 50 AS run_id, 'chr' || CAST(l_suppkey % 10 AS VARCHAR(9)) AS chrom, CAST(floor(l_suppkey / 10) * 500 + (l_partkey * 13 + l_linenumber) % 700 AS INT) AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE substr('ACGTTGCAACG', 1, CAST(2 + l_partkey % 7 AS INT)) END AS ref, CASE WHEN l_linenumber % 2 = 0 THEN 'A' || substr('CGTTGACCA', 1, CAST(1 + l_partkey % 6 AS INT)) ELSE 'A' END AS alt, round(l_discount * 10, 2) AS af, CAST(l_quantity AS INT) AS depth FROM {lineitem}",
+    "indel_rules": "SELECT p_partkey AS rule_id, p_partkey % 100 AS feature_id, CAST((p_size * 4) % 200 AS INT) AS position, substr('ACDEFGHIKLMNPQRSTVWY', CAST(p_partkey % 17 AS INT) + 1, CASE WHEN p_partkey % 4 = 3 THEN 2 ELSE 1 END) AS reference, CASE p_partkey % 4 WHEN 0 THEN 'INS_any' WHEN 1 THEN 'fsX' WHEN 2 THEN substr('ACDEFGHIKLMNPQRSTVWY', CAST(p_partkey % 17 AS INT) + 1, 1) || CASE WHEN p_size % 2 = 0 THEN 'R' ELSE 'T' END ELSE 'L' END AS mutation, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug FROM {part}",
+    "tokens": "SELECT p_partkey, p_size AS position, 'k' AS reference, p_partkey % 14 AS kind, CASE p_partkey % 14 WHEN 0 THEN ' f' || CAST(p_size AS VARCHAR(9)) || 'stop ' WHEN 1 THEN 'F' || CAST(p_size AS VARCHAR(9)) || 'fsATFF*' WHEN 2 THEN 'F' || CAST(p_size AS VARCHAR(9)) || 'insgg' WHEN 3 THEN 'F' || CAST(p_size AS VARCHAR(9)) || 'delGG' WHEN 4 THEN 'F' || CAST(p_size AS VARCHAR(9)) || 'l' WHEN 5 THEN 'F' || CAST(p_size AS VARCHAR(9)) || 'FGG' WHEN 6 THEN 'FGG' || CAST(p_size AS VARCHAR(9)) || 'F' WHEN 7 THEN 'FG' || CAST(p_size AS VARCHAR(9)) || 'AL' WHEN 8 THEN 'del' WHEN 9 THEN 'ins_any' WHEN 10 THEN 'insGG' WHEN 11 THEN 'x' WHEN 12 THEN 'k' ELSE '' END AS raw FROM {part}",
+    "runs": "SELECT o_orderkey AS run_id, o_custkey % 20 AS project_id, o_orderstatus AS selection, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'u' || CAST(o_custkey % 20 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR(9)) END AS project_uuid, o_orderdate AS created_at FROM {orders}",
+    "projects": "SELECT s_suppkey AS project_id, 'u' || CAST(s_suppkey AS VARCHAR(9)) AS uuid, CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '1996-01-01 00:00:00' ELSE TIMESTAMP '1994-01-01 00:00:00' END AS updated_at FROM {supplier}",
+    "projected": "SELECT l_orderkey % 50 AS run_id, 'chr' || CAST(l_suppkey % 10 AS VARCHAR(9)) AS chrom, l_partkey % 300 AS pos, 'A' AS ref, l_returnflag AS alt, l_discount AS identity, l_tax AS cds_coverage, l_quantity AS query_coverage, 'g' || CAST(l_suppkey AS VARCHAR(9)) AS feature, CASE WHEN l_orderkey % 40 = 0 THEN 'org1' ELSE 'org2' END AS organism FROM {lineitem}",
 }
 TABLES = ("supplier", "lineitem", "part", "orders", "events")
 
