@@ -107,3 +107,18 @@ def number_bibliography(cited: DataFrame, key: str = "raw") -> DataFrame:
     """
     first = cited.groupBy(key).agg(F.min("row_no").alias("first"))
     return first.withColumn("number", F.row_number().over(W.orderBy("first", key)))
+
+
+def score_histogram(rules: DataFrame, by: list[str]) -> DataFrame:
+    """Rules of each group by score, with zeros for scores that occur elsewhere only (A-26).
+
+    The grid has a row for each group and distinct score of the knowledge base, which is what the report shows.
+    """
+    counts = rules.filter("score is not null").groupBy(*by, "score").agg(F.count("*").alias("n"))
+    grid = rules.select(by).distinct().crossJoin(counts.select("score").distinct())
+    return grid.join(counts, [*by, "score"], "left").na.fill(0, ["n"])
+
+
+def kb_catalog(rules: DataFrame, by: str = "db") -> DataFrame:
+    """For each knowledge base its rules, genes and sorted drugs (A-27)."""
+    return rules.groupBy(by).agg(F.count("*").alias("rules"), F.count_distinct("gene").alias("genes"), F.array_join(F.array_sort(F.collect_set("drug")), ",").alias("drugs"))

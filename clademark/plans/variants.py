@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import alleles
-from ..operators import annotate, cohort, indels
+from ..operators import annotate, cohort, indels, report
 from . import fixtures
 from .catalog import _AA, _B, W_ANN, annotations, query
 from .fixtures import fixture
@@ -103,3 +103,13 @@ def a19_species_collisions(spark, d):
 @query(f"WITH {W_ANN} SELECT feature_id, CAST(row_number() OVER (ORDER BY feature_id) - 1 AS INT) AS index FROM (SELECT DISTINCT feature_id FROM ann)")
 def m3_feature_index(spark, d):
     return cohort.feature_index(annotations(spark, d))
+
+
+@query(f"WITH r AS ({fixtures.oracle('rules')}), s AS (SELECT DISTINCT score FROM r WHERE score IS NOT NULL), g AS (SELECT DISTINCT drug FROM r) SELECT g.drug, s.score, count(r.rule_id) AS n FROM g CROSS JOIN s LEFT JOIN r ON r.drug = g.drug AND r.score = s.score GROUP BY ALL")
+def a26_score_histogram(spark, d):
+    return report.score_histogram(fixture(spark, d, "rules"), ["drug"])
+
+
+@query(f"SELECT db, count(*) AS rules, count(DISTINCT gene) AS genes, string_agg(DISTINCT drug, ',' ORDER BY drug) AS drugs FROM ({fixtures.oracle('kbs')}) GROUP BY db")
+def a27_kb_catalog(spark, d):
+    return report.kb_catalog(fixture(spark, d, "kbs"))
