@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def carried(docs: DataFrame) -> list[Column]:
+    """The whole row as one column ``row``, which an operator hands through so that no id has to find it again."""
+    return [F.struct(*docs.columns).alias("row")]
+
+
+def with_row(schema: str, docs: DataFrame) -> StructType:
+    """``schema``, and the column ``row`` where ``docs`` has it."""
+    return StructType([*StructType.fromDDL(schema), *(f for f in docs.schema if f.name == "row")])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import carried, with_row, written
 from ._text import ALNUM, chunks, gram_hashes, word_hashes
 
 WINDOW = 13
@@ -105,14 +105,15 @@ def _scan(items: Items):
                 for i in range(hi - lo):
                     own = hashes[before[i] : before[i + 1]]
                     rows.append(_row(len(own), *items.hits(own)))
-            yield _batch(batch.column(0), rows)
+            yield _batch(batch, rows)
 
     return run
 
 
-def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+def _batch(given: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], _NAMES)
+    rest = [n for n in given.schema.names if n == "row"]
+    return pa.RecordBatch.from_arrays([given.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), *map(given.column, rest)], [*_NAMES, *rest])
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +174,19 @@ def _own_items(gram: int, window: int):
                     own = hashes[before[i] : before[i + 1]]
                     items = Items(ids[lo + i] or [], [np.array(w, np.int64).view(np.uint64) for w in words[lo + i] or []], gram, window)
                     rows.append(_row(len(own), *items.hits(own)))
-            yield _batch(batch.column(0), rows)
+            yield _batch(batch, rows)
 
     return run
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, gram: int = GRAM, share: int = 20, broadcast_words: int = BROADCAST_WORDS,
+    window: int = WINDOW, gram: int = GRAM, share: int = 20, broadcast_words: int = BROADCAST_WORDS, carry: bool = False,
 ) -> DataFrame:
     """How much of each document occurs in test items.
 
     Returns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, one row per
-    input row: words, words in an occurrence of an item's window, items with such windows,
+    input row (with ``carry`` also the whole row as ``row``): words, words in an occurrence of an item's window, items with such windows,
     the hash of their ids, and whether hits are at least one word in ``share``. Null or
     word-less texts and items have nothing; no items find the hash of an empty string;
     repeated rows each give a row. Repeated item ids count once. Other columns are not read. An id may be null,
@@ -194,19 +195,20 @@ def contamination(
     Test items of up to ``broadcast_words`` words in all (counted first) go to every task. Beyond,
     fingerprints are joined by a shuffle and each document gets the items it meets.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = carried(docs) if carry else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     items = written(items.mapInArrow(_item_words, "item_id long, words array<long>").filter("size(words) > 0"), "items")
     total = items.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
     if total <= broadcast_words:
         rows = items.collect()
         known = Items([r.item_id for r in rows], [np.array(r.words, np.int64).view(np.uint64) for r in rows], gram, window)
-        out = docs.mapInArrow(_scan(known), RESULT)
+        out = docs.mapInArrow(_scan(known), with_row(RESULT, docs))
     else:
         short = [r.n for r in items.select(F.size("words").alias("n")).filter(F.col("n") < window).distinct().collect()]
         key = docs.filter("doc_id is not null").mapInArrow(_grams(gram, window, sorted(short)), "doc_id long, key long")
         keys = items.mapInArrow(_item_keys(gram, window), "item_id long, key long")
         meets = key.join(keys, "key").select("doc_id", "item_id").distinct()
         own = meets.join(items, "item_id").groupBy("doc_id").agg(F.collect_list("item_id").alias("items"), F.collect_list("words").alias("words"))
-        out = docs.join(own, "doc_id", "left").select("doc_id", "text", "items", "words").mapInArrow(_own_items(gram, window), RESULT)
+        out = docs.join(own, "doc_id", "left").select("doc_id", "text", "items", "words", *docs.columns[2:]).mapInArrow(_own_items(gram, window), with_row(RESULT, docs))
     return out.withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))

@@ -8,43 +8,36 @@ from pyspark.sql import functions as F
 from . import decontaminate, minhash, packing, suffix, toxicity
 from ._store import written
 
-
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose ids a decision keeps; rows without id stay."""
-    decided = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-    return decided.unionByName(docs.filter("doc_id is null"))
-
-
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+#: Tells rows of a stage apart; ids may be null or repeated.
+KEY = "_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity scores do not reject."""
     fm = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _drop(docs, toxicity.score(docs, fm).filter("predicted = 1"))
+    return toxicity.score(docs, fm, carry=True).filter("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return _keep(docs, minhash.near_duplicates(docs).filter("kept"))
+    """One row of each group of near duplicates: that of the smallest id, rows without id last."""
+    keyed = written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    groups = minhash.near_duplicates(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)
+    first = keyed.select("doc_id", KEY).join(groups, KEY).groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(first.select(f"first.{KEY}"), KEY, "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that occur more than once; ``n_chars`` follows the text."""
-    left = suffix.remove_repeats(docs, texts=True).filter("n_removed > 0").select("doc_id", "kept")
-    # Repeated ids may have different texts: those rows stay as they are, since an id does not tell them apart.
-    once = left.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("n = 1").select("doc_id", "kept")
-    changed = docs.join(once, "doc_id", "left")
-    text = F.coalesce("kept", "text")
-    out = changed.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text)
-    return out.select(docs.columns)
+    left = suffix.remove_repeats(docs, texts=True, carry=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*(F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in new else f"row.{c}" for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that test items do not contaminate."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _drop(docs, found.filter("contaminated"))
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
+    return found.filter("not contaminated").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,14 +21,14 @@ is split by window instead, down to one group for each window, so no task holds
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import carried, with_row, written
 from ._text import Rolling, chunks, flat, mix
 
 LENGTH = 400
@@ -198,10 +198,10 @@ def _window_rows(length: int):
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, more: Sequence[Column] = ()) -> DataFrame:
     """Rows are known by id and a hash of the text, so that repeated ids with other texts stay apart."""
     doc_id = F.col(id_col).cast("long")
-    return docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("id0"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"), doc_id.alias("doc_id"))
+    return docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("id0"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"), doc_id.alias("doc_id"), *more)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
@@ -253,7 +253,8 @@ def _remove_rows(text: bool):
                 out.append(row)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))][: 6 if text else 4]
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(kinds) + 1])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(kinds) + 1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[3:]], names + batch.schema.names[3:])
 
     return run
 
@@ -275,16 +276,18 @@ def _whole_characters(body: bytes, edges: list[int]) -> str:
     return b"".join(parts).decode()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY, texts: bool = False, carry: bool = False) -> DataFrame:
     """Remove every byte of a text that a string of ``length`` bytes covers which starts anywhere else too.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, one row per input row, and with
-    ``texts`` also ``kept`` (what is left; a character cut in part stays whole) and ``spans``. Strings are
+    ``texts`` also ``kept`` (what is left; a character cut in part stays whole) and ``spans``, with ``carry`` the whole
+    row as ``row``. Strings are
     judged on the input, overlaps count, and equal rows are repeats of each other. Null text is empty
     and an id may be null. Extra columns are not read; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, id_col, text_col, length, gram, many)
     spans = written(spans.groupBy("id0", "tk").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
-    joined = _keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), ["id0", "tk"], "left").select("doc_id", "text", "spans")
+    row = carried(docs) if carry else []
+    joined = _keyed(docs, id_col, text_col, row).join(spans.hint("shuffle_hash"), ["id0", "tk"], "left").select("doc_id", "text", "spans", *["row"] * carry)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.mapInArrow(_remove_rows(texts), schema + ", kept string, spans array<struct<a:long,b:long>>" * texts)
+    return joined.mapInArrow(_remove_rows(texts), with_row(schema + ", kept string, spans array<struct<a:long,b:long>>" * texts, joined))

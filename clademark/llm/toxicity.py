@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import carried, with_row
 from ._text import ALNUM, LOWER, Rolling, chunks, lists, mix, words
 
 BITS = 20
@@ -163,18 +164,20 @@ def _score_rows(fm: Machine, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, flat, sizes in terms(batch.column(1), bits):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), pa.array(fm.scores(flat, sizes), pa.float64())], ["doc_id", "score"])
+                rest = [c.slice(lo, len(sizes)) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), pa.array(fm.scores(flat, sizes), pa.float64()), *rest], ["doc_id", "score", *batch.schema.names[2:]])
 
     return run
 
 
-def score(docs: DataFrame, fm: Machine, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, cut: float = CUT) -> DataFrame:
-    """Score whole texts: ``doc_id, held_out, score, predicted``, one row per input row.
+def score(docs: DataFrame, fm: Machine, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, cut: float = CUT, carry: bool = False) -> DataFrame:
+    """Score whole texts: ``doc_id, held_out, score, predicted``, one row per input row, and with ``carry`` also the whole row as ``row``.
 
     Null, empty and word-less texts get the score of the bias. Equal texts get equal scores. A row may lack an id.
     Other columns are not read; an empty table gives an empty result. The machine goes to tasks with
     the code: its size is bounded by the number of buckets.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = docs.mapInArrow(_score_rows(fm, bits), "doc_id long, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    row = carried(docs) if carry else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
+    scored = docs.mapInArrow(_score_rows(fm, bits), with_row("doc_id long, score double", docs))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *scored.columns[2:])

@@ -47,3 +47,41 @@ def test_stages_take_out_what_they_should(spark, tmp_path):
     packed = corpus_pipeline.run(spark, at).collect()
     assert {x.doc_id for x in packed} == set(seen[4])
     assert all(len(x.ids) == x.length for x in packed)
+
+
+def test_rows_without_id_and_repeated_rows(spark, tmp_path):
+    docs, items, labels, passage = made()
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choice("hijklmno") for _ in range(5)) for _ in range(n))
+    insult = docs[-3][1]
+    assert "scum" in insult
+    other, near, copy = say(80), say(80), say(60)
+    clean, bad = [say(90) for _ in range(4)], [say(50) + " " + items[0][1] for _ in range(2)]
+    holds = [say(90) + passage + say(90) for _ in range(3)]
+    odd = [
+        (None, insult), (601, clean[0]),  # toxic without id; clean with the id of a toxic one
+        (800, copy), (800, copy), (None, copy),  # equal rows
+        (801, other), (801, near + " end"), (790, near),  # (801, other) stays, (801, near) is a copy of 790
+        (None, holds[0]), (803, holds[1]), (803, clean[1]), (804, holds[2]), (804, holds[2] + say(90)),
+        (None, bad[0]), (500, clean[2]), (None, clean[3]), (None, None), (None, None),
+    ]
+    at = str(tmp_path)
+    spark.createDataFrame(docs + [(i, t, "en", "s", len(t or "")) for i, t in odd], DOCS).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    df, seen = spark.read.parquet(f"{at}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stages.written(stage(spark, df, at), name)
+        seen.append([(x.doc_id, x.text, x.n_chars) for x in df.collect()])
+    toxic, near_, cut, last = seen
+    pairs = [[(i, t) for i, t, _ in rows] for rows in seen]
+    assert not any(t and "scum" in t for _, t, _ in toxic) and (601, clean[0]) in pairs[0]
+    assert len([1 for _, t in pairs[1] if t == copy]) == 1 and (800, copy) in pairs[1]
+    assert (801, other) in pairs[1] and (790, near) in pairs[1] and (801, near + " end") not in pairs[1]
+    assert len([1 for x in pairs[1] if x == (None, None)]) == 2
+    assert len(near_) == len(cut) and not any(t and passage in t for _, t, _ in cut)
+    assert all(n == len(t or "") for _, t, n in cut)
+    assert sorted(i is None for i, t, _ in cut if t and t[:40] == holds[0][:40]) == [True]
+    for i, t in ((803, clean[1]), (500, clean[2]), (None, clean[3]), (601, clean[0])):
+        assert (i, t) in pairs[2] and (i, t) in pairs[3]
+    assert (None, bad[0]) not in pairs[3] and len(last) == len(cut) - 6
