@@ -31,3 +31,21 @@ def test_blocks_reach_aliases_but_not_allowed_pages(spark):
 
 def test_empty(spark):
     assert judged(spark, []) == {}
+
+
+def test_targets_of_any_form(spark):
+    link = lambda u, more="": f"<link {more} rel=canonical href='{u}'>"
+    bad = "http://c.net/fr/3"
+    pages = [
+        (1, bad, ""), (2, "https://c.net/fr/a/b?x#y", ""),  # blocked by rule
+        (10, "http://q.org/r", "<meta http-equiv=refresh content='0; url=//c.net/fr/3'>"),
+        (11, "http://r.org/x/y", link("/down")), (12, "http://r.org/down", link(bad)),
+        (13, "http://r.org/x/z", link("y")), (14, "http://r.org/x/v/w", link("../y#f")), (15, "http://s.org/2#z", link("?a=1&amp;b=2")),
+        (16, "http://s.org/1", link("http://s.org/2?a=1&amp;b=2")), (17, "http://s.org/2?a=1&b=2", link(bad)),
+        (18, "http://t.org/1", link(bad, "title='" + "t" * 5000 + "'")), (19, "http://u.org/1", link("http://u.org/" + "l" * 3000)), (20, "http://u.org/" + "l" * 3000, link(bad)),
+        (21, "http://v.org/a/1", "<base href='http://r.org/x/'>" + link("y")),
+        (30, "http://w.org/login", link("/login?next=http://c.net/fr/3")), (31, "http://w.org/m", link("mailto:a@c.net")), (32, None, link("/fr/3")), (33, "no scheme", link(bad)), (34, "no host", ""),
+    ]
+    got = judged(spark, pages)
+    assert [i for i in range(10, 22) if got[i].verdict != "block"] == []
+    assert [i for i in range(30, 35) if got[i].verdict != "allow"] == []
