@@ -2,7 +2,7 @@ r"""URL filter with redirect equivalence, in DataFrame operations only.
 
 Rules of host and path decide the URLs they fit, the longest rule first. Pages that redirect, or name
 a canonical address, are aliases of each other: connected components over those links. A block
-decision of any page of a component reaches its pages without a rule of their own; an explicit allow of
+decision on any address of a component, crawled or not, reaches its pages without a rule of their own; an explicit allow of
 a page stands against it.
 """
 
@@ -97,27 +97,32 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     ``redirects`` (``source, target`` addresses) adds links to those in the pages. Returns ``page_id, host, path, rule,
     verdict, alias_of`` (the smallest address of the page's component, null without links), one row per input row. A rule fits its
     host and all subdomains if the path starts with its own; of several the longest text of
-    host and path wins, then allow. Pages without rule are blocked if an alias is, else allowed. A null
+    host and path wins, then allow. Pages without rule are blocked if an alias is, be it a page or not, else allowed. A null
     url has an empty host and path; repeated pages each give a row; empty tables give empty results; other columns are not read.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.monotonically_increasing_id().alias("row"))
     parsed = pages.select("row", "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    found = links(pages).select(F.col("url").alias("source"), "target")
+    if redirects is not None:
+        found = found.unionByName(redirects.select("source", resolve(F.col("target"), F.col("source")).alias("target")))
+    found = written(found.select("source", "target", address(F.col("source")).alias("a"), address(F.col("target")).alias("b")), "aliases").filter("a != '' and b != ''")
+    # The addresses of links, whether pages have them or not, in the forms that links give them.
+    named = found.select(F.explode(F.array(F.struct(F.col("a").alias("address"), F.col("source").alias("url")), F.struct(F.col("b").alias("address"), F.col("target").alias("url")))).alias("x"))
+    named = named.select("x.address", host_of(F.col("x.url")).alias("host"), path_of(F.col("x.url")).alias("path")).distinct()
+
     # All ends of the host at its dots meet the rules' hosts.
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     given = rules.select(F.col("host").alias("end"), F.col("path").alias("prefix"), F.col("verdict").alias("decision"))
-    places = parsed.select("host", "path").distinct()
+    places = parsed.select("host", "path").unionByName(named.select("host", "path")).distinct()
     fits = places.select("host", "path", F.explode(ends).alias("end")).join(given, "end").filter(F.col("path").startswith(F.col("prefix")))
     text = F.concat("end", "prefix")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), (F.col("decision") == "allow").alias("allow"), text.alias("rule"), F.col("decision").alias("verdict"))).alias("best"))
     ruled = parsed.join(best, ["host", "path"], "left").select("row", "page_id", "url", "host", "path", "best.rule", F.col("best.verdict").alias("own"))
 
-    found = links(pages).select(F.col("url").alias("source"), "target")
-    if redirects is not None:
-        found = found.unionByName(redirects.select("source", resolve(F.col("target"), F.col("source")).alias("target")))
-    found = written(found.select(address(F.col("source")).alias("a"), address(F.col("target")).alias("b")), "aliases").filter("a != '' and b != ''")
-    groups = connected_components(found).withColumnsRenamed({"node": "address", "component": "alias_of"})
+    groups = connected_components(found.select("a", "b")).withColumnsRenamed({"node": "address", "component": "alias_of"})
     placed = ruled.withColumn("address", address(F.col("url"))).join(groups, "address", "left")
-    blocked = placed.filter("own = 'block' and alias_of is not null").select("alias_of").distinct().withColumn("spread", F.lit("block"))
+    judged = named.join(best, ["host", "path"]).join(groups, "address").select(F.col("best.verdict").alias("own"), "alias_of")
+    blocked = placed.select("own", "alias_of").unionByName(judged).filter("own = 'block' and alias_of is not null").select("alias_of").distinct().withColumn("spread", F.lit("block"))
     out = placed.join(blocked, "alias_of", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "spread", F.lit("allow")).alias("verdict"), "alias_of")

@@ -49,3 +49,16 @@ def test_targets_of_any_form(spark):
     got = judged(spark, pages)
     assert [i for i in range(10, 22) if got[i].verdict != "block"] == []
     assert [i for i in range(30, 35) if got[i].verdict != "allow"] == []
+
+
+def test_blocks_of_addresses_without_a_page(spark):
+    link = lambda u: f"<link rel=canonical href='{u}'>"
+    pages = [
+        (1, "http://a.org/1", link("http://example.com/en/")), (2, "http://a.org/2", link("http://a.org/1")), (3, "http://www.example.com/en/3", link("http://a.org/1")),
+        (4, "http://b.org/1", link("http://www.example.com/en/4")), (5, "http://d.org/1", link("http://gone.org/")), (6, "http://e.org/1", ""),
+    ]
+    got = judged(spark, pages)
+    assert [got[i].verdict for i in range(1, 7)] == ["block", "block", "allow", "allow", "allow", "allow"]
+    more = spark.createDataFrame([("http://gone.org", "http://x.net/es/1"), ("http://e.org/1", "http://e.org/2")], "source string, target string")
+    got = judged(spark, pages, more)
+    assert [got[i].verdict for i in range(1, 7)] == ["block", "block", "allow", "allow", "block", "allow"] and len(got) == 6
