@@ -28,6 +28,8 @@ WINDOW = 13
 GRAM = 8
 #: Words of all test items up to which they are sent to every task; beyond, fingerprints are joined by a shuffle.
 BROADCAST_WORDS = 1_000_000
+#: Words of items that one row of the shuffle path holds at most, but for a single longer item; a document that meets more has several rows.
+PART_WORDS = 1_000_000
 
 
 def fingerprints(words: np.ndarray, gram: int, window: int) -> np.ndarray:
@@ -126,7 +128,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(gram: int, window: int, short: list[int]):
-    """(id, fingerprint) of documents: winnowed grams and all grams of the short items' lengths."""
+    """(key of the text, fingerprint) of documents: winnowed grams and all grams of the short items' lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +142,7 @@ def _grams(gram: int, window: int, short: list[int]):
                     ids.append(np.full(len(one), lo + i))
                     keys.append(one)
                 take = pa.array(np.concatenate(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(keys))], ["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(keys))], ["text_key", "key"])
 
     return run
 
@@ -156,32 +158,50 @@ def _item_keys(gram: int, window: int):
                     ids += [i] * len(one)
                     keys.append(one)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat)], ["item_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat)], ["item_key", "key"])
 
     return run
 
 
 def _own_items(gram: int, window: int):
-    """Each row with the items that have a fingerprint in common with it."""
+    """For each text and some items that have a fingerprint in common with it: runs of hit words, and the items that occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            spans, names = [], []
             ids, words = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for lo, hi, data, off in chunks(batch.column(1)):
                 hashes, before = word_hashes(data, off, ALNUM)
                 for i in range(hi - lo):
-                    own = hashes[before[i] : before[i + 1]]
-                    items = Items(ids[lo + i] or [], [np.array(w, np.int64).view(np.uint64) for w in words[lo + i] or []], gram, window)
-                    rows.append(_row(len(own), *items.hits(own)))
-            yield _batch(batch, rows)
+                    items = Items([x["item_id"] for x in ids[lo + i]], [np.array(w, np.int64).view(np.uint64) for w in words[lo + i]], gram, window)
+                    hit, found = items.hits(hashes[before[i] : before[i + 1]])
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+                    spans.append(edges.tolist())
+                    names.append([str(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["text_key", "edges", "names"])
 
     return run
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with the runs and items of all parts of its text."""
+    for batch in batches:
+        rows = []
+        edges, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for lo, hi, data, off in chunks(batch.column(1)):
+            hashes, before = word_hashes(data, off, ALNUM)
+            for i in range(hi - lo):
+                hit = np.zeros(int(before[i + 1] - before[i]), bool)
+                own = edges[lo + i] or []
+                for x, y in zip(own[::2], own[1::2], strict=True):
+                    hit[x:y] = True
+                rows.append(_row(len(hit), hit, list(set(names[lo + i] or []))))
+        yield _batch(batch, rows)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, gram: int = GRAM, share: int = 20, broadcast_words: int = BROADCAST_WORDS, carry: bool = False,
+    window: int = WINDOW, gram: int = GRAM, share: int = 20, broadcast_words: int = BROADCAST_WORDS, carry: bool = False, part_words: int = PART_WORDS,
 ) -> DataFrame:
     """How much of each document occurs in test items.
 
@@ -189,11 +209,12 @@ def contamination(
     input row (with ``carry`` also the whole row as ``row``): words, words in an occurrence of an item's window, items with such windows,
     the hash of their ids, and whether hits are at least one word in ``share``. Null or
     word-less texts and items have nothing; no items find the hash of an empty string;
-    repeated rows each give a row. Repeated item ids count once. Other columns are not read. An id may be null,
-    but on the shuffle path such a row meets no items.
+    repeated rows each give a row. Repeated item ids count once. Other columns are not read. An id may be null;
+    items without id count as one item.
 
     Test items of up to ``broadcast_words`` words in all (counted first) go to every task. Beyond,
-    fingerprints are joined by a shuffle and each document gets the items it meets.
+    fingerprints are joined by a shuffle and each text gets the items it meets, in parts of about ``part_words`` words. Texts and
+    items are known there by hashes of what they hold, not by their ids.
     """
     row = carried(docs) if carry else []
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
@@ -206,9 +227,21 @@ def contamination(
         out = docs.mapInArrow(_scan(known), with_row(RESULT, docs))
     else:
         short = [r.n for r in items.select(F.size("words").alias("n")).filter(F.col("n") < window).distinct().collect()]
-        key = docs.filter("doc_id is not null").mapInArrow(_grams(gram, window, sorted(short)), "doc_id long, key long")
-        keys = items.mapInArrow(_item_keys(gram, window), "item_id long, key long")
-        meets = key.join(keys, "key").select("doc_id", "item_id").distinct()
-        own = meets.join(items, "item_id").groupBy("doc_id").agg(F.collect_list("item_id").alias("items"), F.collect_list("words").alias("words"))
-        out = docs.join(own, "doc_id", "left").select("doc_id", "text", "items", "words", *docs.columns[2:]).mapInArrow(_own_items(gram, window), with_row(RESULT, docs))
+        docs = docs.withColumn("text_key", F.sha2("text", 256))
+        texts = docs.filter("text is not null").select("text_key", "text")
+        # Items of equal hashes go together: more items than a text meets change nothing, as each is verified.
+        items = items.withColumn("item_key", F.xxhash64("words"))
+        key = texts.mapInArrow(_grams(gram, window, sorted(short)), "text_key string, key long")
+        keys = items.select("item_key", "words").mapInArrow(_item_keys(gram, window), "item_key long, key long").distinct()
+        meets = written(key.join(keys, "key").select("text_key", "item_key").distinct(), "meets")
+        sizes = items.groupBy("item_key").agg(F.sum(F.size("words")).alias("n"))
+        parts = meets.join(sizes, "item_key").groupBy("text_key").agg(F.ceil(F.sum("n") / part_words).alias("parts"))
+        dealt = meets.join(parts, "text_key").join(items, "item_key").withColumn("part", F.expr("pmod(xxhash64(item_key, item_id), parts)"))
+        own = dealt.groupBy("text_key", "part").agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
+        own = own.select("text_key", F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"))).alias("ids"), F.col("items.words").alias("words"))
+        scanned = texts.join(meets.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"]).join(own, "text_key")
+        found = scanned.select("text_key", "text", "ids", "words").mapInArrow(_own_items(gram, window), "text_key string, edges array<long>, names array<string>")
+        found = found.groupBy("text_key").agg(F.flatten(F.collect_list("edges")).alias("edges"), F.flatten(F.collect_list("names")).alias("names"))
+        rest = ["row"] * carry
+        out = docs.join(found, "text_key", "left").select("doc_id", "text", "edges", "names", *rest).mapInArrow(_united, with_row(RESULT, docs))
     return out.withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))

@@ -58,3 +58,20 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b", None)], DOCS)
     assert contamination(one, b).first()[1:4] == (2, 0, 0)
     assert contamination(one, b, broadcast_words=-1).first()[1:4] == (2, 0, 0)
+
+
+def test_null_ids_on_both_paths(spark):
+    r = random.Random(6)
+    say = lambda n: " ".join(f"w{r.randrange(1000)}" for _ in range(n))
+    items = [(n if n % 3 else None, say(r.choice([5, 13, 40]))) for n in range(30)]
+    items += [(77, items[1][1])]
+    docs = [(None if i % 2 else i % 10, say(30) + " " + " ".join(t for _, t in r.sample(items, i % 7))) for i in range(60)]
+    docs += [docs[3], docs[4], (None, None), (None, say(50) + " " + " ".join(t for _, t in items))]
+    a = spark.createDataFrame([(i, t, "z") for i, t in docs], DOCS)
+    b = spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)
+    want = brute(docs, items)
+    assert sum(x[0] is None and x[5] for x in want) > 20
+    for options in ({}, {"broadcast_words": 0}, {"broadcast_words": 0, "part_words": 60}):
+        assert sorted((tuple(x) for x in contamination(a, b, **options).collect()), key=str) == want
+    carried = contamination(a, b, broadcast_words=0, carry=True).filter("contaminated").select("row.*").collect()
+    assert sorted(((x.doc_id, x.text) for x in carried), key=str) == sorted(((i, t) for (i, t) in docs if brute([(i, t)], items)[0][5]), key=str)
