@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.sequence import label_to_rank, strength
+
 
 def best_reference(matches: DataFrame) -> DataFrame:
     """One match for each run and query: identity, coverage of the feature, coverage of the query, then the name (W-1)."""
@@ -93,8 +95,30 @@ def kb_breakdown(rules: DataFrame, by: str) -> DataFrame:
     return rules.groupBy(by).agg(F.count("*").alias("n"))
 
 
-def position_histogram(rules: DataFrame, width: int = 10, bins: int = 20) -> DataFrame:
-    """Distinct mutations by bin of positions and rank (A-24), empty bins kept."""
-    spine = rules.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    got = rules.groupBy(F.floor(F.col("position") / width).cast("int").alias("bin")).agg(F.count_distinct("feature_id", "position", "mutation").alias("n"))
-    return spine.join(got, "bin", "left").na.fill(0, ["n"])
+def _bins(rows: DataFrame, width: int) -> DataFrame:
+    return rows.filter("position is not null").withColumn("bin", F.floor(F.col("position") / width).cast("int"))
+
+
+def position_histogram(rules: DataFrame, features: DataFrame, width: int = 10) -> DataFrame:
+    """Distinct mutations by bin of positions, all features together (A-24).
+
+    Bins reach to the end of the longest of ``features`` (``n_codons``), empty ones kept; positions beyond it have their bins too.
+    """
+    last = F.ceil(F.max("n_codons") / width).cast("int") - 1
+    spine = features.filter("n_codons > 0").agg(last.alias("last")).select(F.explode(F.sequence(F.lit(0), "last")).alias("bin"))
+    got = _bins(rules, width).groupBy("bin").agg(F.count_distinct("feature_id", "position", "mutation").alias("n"))
+    return spine.join(got, "bin", "full").na.fill(0, ["n"])
+
+
+def position_histogram_by_rank(rules: DataFrame, features: DataFrame, width: int = 10) -> DataFrame:
+    """Distinct mutations of each feature by bin of positions and rank of the phenotype (A-24).
+
+    Returns ``feature_id, bin, rank, n, dominant``, with one row of null ranks and n = 0 for each empty bin of a feature's
+    length (``n_codons``); positions beyond it have their bins too. The dominant rank of a bin has the most mutations, of several the more severe.
+    """
+    ends = features.filter("n_codons > 0").groupBy("feature_id").agg((F.ceil(F.max("n_codons") / width).cast("int") - 1).alias("last"))
+    spine = ends.select("feature_id", F.explode(F.sequence(F.lit(0), "last")).alias("bin"))
+    ranked = _bins(rules, width).withColumn("rank", label_to_rank(F.col("phenotype")))
+    got = ranked.groupBy("feature_id", "bin", "rank").agg(F.count_distinct("position", "mutation").alias("n"))
+    most = got.groupBy("feature_id", "bin").agg(F.max_by("rank", F.struct("n", strength(F.col("rank")))).alias("dominant"))
+    return spine.join(got.join(most, ["feature_id", "bin"]), ["feature_id", "bin"], "full").na.fill(0, ["n"])

@@ -270,7 +270,7 @@ def a23_rules_per_drug(spark, d):
 
 @query(f"WITH r AS ({fixtures.oracle('rules')}) SELECT CAST(t.i AS INT) AS bin, count(DISTINCT (feature_id, position, mutation)) FILTER (r.position IS NOT NULL) AS n FROM range(20) t(i) LEFT JOIN r ON CAST(floor(position / 10) AS INT) = t.i GROUP BY t.i")
 def a24_position_histogram(spark, d):
-    return tables.position_histogram(fixture(spark, d, "rules"))
+    return tables.position_histogram(fixture(spark, d, "rules"), fixture(spark, d, "feature"))
 
 
 @query("WITH t AS (SELECT p_type, sum(p_size) AS n FROM part GROUP BY p_type), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, p_type) AS k FROM t) SELECT CASE WHEN k <= 6 THEN p_type ELSE 'Other' END AS p_type, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1")
