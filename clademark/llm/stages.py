@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, minhash, packing, suffix, toxicity
-from ._store import written
+from ._store import scratch, written
 
 #: Tells rows of a stage apart; ids may be null or repeated.
 KEY = "_row"
+#: Passages of over 50 words are cut; so many words take that many bytes at least in texts of words of 3.7 letters or more.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 51, 240, 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,15 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id, rows without id last."""
     keyed = written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
-    groups = minhash.near_duplicates(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)
-    first = keyed.select("doc_id", KEY).join(groups, KEY).groupBy("component_id").agg(F.min(order).alias("first"))
-    return keyed.join(first.select(f"first.{KEY}"), KEY, "left_semi").select(docs.columns)
+    with scratch(spark) as kept:
+        groups = minhash.near_duplicates(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)
+        first = keyed.select("doc_id", KEY).join(groups, KEY).groupBy("component_id").agg(F.min(order).alias("first"))
+        first = kept(first.select(f"first.{KEY}"), "first")
+    return keyed.join(first, KEY, "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings that occur more than once; ``n_chars`` follows the text."""
-    left = suffix.remove_repeats(docs, texts=True, carry=True)
+    """Documents without the passages of over 50 words that occur more than once; ``n_chars`` follows the text."""
+    left = suffix.remove_repeats(docs, length=PASSAGE_BYTES, gram=PASSAGE_GRAM, least_words=PASSAGE_WORDS, texts=True, carry=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return left.select(*(F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in new else f"row.{c}" for c in docs.columns))
 

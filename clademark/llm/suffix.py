@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import carried, with_row, written
+from ._store import carried, dropped, joined, scratch, with_row, written
 from ._text import Rolling, chunks, flat, mix
 
 LENGTH = 400
@@ -207,33 +207,39 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, more: Sequence[Column] =
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """Byte ranges ``[a, b)`` of the texts (UTF-8) that repeated strings of ``length`` bytes cover.
 
-    Returns ``id0, tk, a, b`` (an id, null as the least long, and a hash of the text). Ranges may
-    overlap and come more than once. Null, empty and shorter texts have none.
+    Returns ``id0, tk, spans`` (an id, null as the least long, a hash of the text, and its ranges in order), one row
+    for each text that has some. Ranges may overlap. Null, empty and shorter texts have none. Anchors and pieces of very many
+    texts are sent to all tasks instead of being joined in one.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    runs = written(keyed.select("id0", "tk", "text").mapInArrow(_run_rows(length, gram), _RUNS), "runs")
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("p0"), F.max("piece").alias("p1")).filter("n > 1")
-    again = written(runs.join(anchors.select("anchor", (F.col("p0") != F.col("p1")).alias("mixed")), "anchor"), "again")
-    classes = again.groupBy("anchor", "piece", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id0", "tk", "start", "span", "at")).alias("x"))
-    classes = written(classes, "classes")
-    whole = again.join(classes.filter("c > 1").select("anchor", "piece"), ["anchor", "piece"]).select("id0", "tk", F.col("start").alias("a"), F.expr(f"start + span + {length}").alias("b"))
-
-    # Pieces that occur once, with all other pieces of their anchors.
-    kinds = classes.filter("mixed").groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).filter("least = 1")
-    carried = classes.join(kinds, "anchor").select("x.*", "anchor", "c", (F.col("kinds") > many).alias("many"))
-    carried = carried.groupBy("id0", "tk").agg(F.collect_list(F.struct("anchor", "start", "span", "at", "c", "many")).alias("pieces"))
-    cut = keyed.select("id0", "tk", "text").join(carried.hint("shuffle_hash"), ["id0", "tk"])
-    pieces = written(cut.mapInArrow(_cut_rows(length), _PIECES), "pieces")
-    few = pieces.filter("not many")
-    tasks = few.count() // PIECES_PER_TASK + 1
-    extended = few.groupBy(F.expr(f"pmod(xxhash64(anchor), {tasks})")).applyInArrow(_extend(length), _SPANS)
-    windows = pieces.filter("many").mapInArrow(_window_rows(length), "anchor long, key long, id0 long, tk long, a long, c long")
-    twice = windows.groupBy("anchor", "key").agg(F.sum("c").alias("n")).filter("n > 1").select("anchor", "key")
-    single = windows.filter("c = 1").join(twice, ["anchor", "key"], "left_semi").select("id0", "tk", "a", F.expr(f"a + {length}").alias("b"))
-    return whole.unionByName(extended).unionByName(single)
-
-
-def _remove_rows(text: bool):
+    with scratch(docs.sparkSession) as kept:
+        keyed = _keyed(docs, id_col, text_col)
+        runs = written(keyed.select("id0", "tk", "text").mapInArrow(_run_rows(length, gram), _RUNS), "runs")
+        anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("p0"), F.max("piece").alias("p1")).filter("n > 1")
+        anchors = written(anchors.select("anchor", "n", (F.col("p0") != F.col("p1")).alias("mixed")), "anchors")
+        again = written(joined(runs, anchors, ["anchor"], "n").drop("n"), "again")
+        dropped(runs)
+        classes = again.groupBy("anchor", "piece", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id0", "tk", "start", "span", "at")).alias("x"))
+        classes = written(classes, "classes")
+        whole = joined(again, classes.filter("c > 1").select("anchor", "piece", "c"), ["anchor", "piece"], "c")
+        whole = whole.select("id0", "tk", F.col("start").alias("a"), F.expr(f"start + span + {length}").alias("b"))
+
+        # Pieces that occur once, with all other pieces of their anchors.
+        kinds = classes.filter("mixed").groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).filter("least = 1")
+        carried = joined(classes, written(kinds, "kinds"), ["anchor"], "kinds").select("x.*", "anchor", "c", (F.col("kinds") > many).alias("many"))
+        carried = carried.groupBy("id0", "tk").agg(F.collect_list(F.struct("anchor", "start", "span", "at", "c", "many")).alias("pieces"))
+        cut = keyed.select("id0", "tk", "text").join(carried.hint("shuffle_hash"), ["id0", "tk"])
+        pieces = written(cut.mapInArrow(_cut_rows(length), _PIECES), "pieces")
+        few = pieces.filter("not many")
+        tasks = few.count() // PIECES_PER_TASK + 1
+        extended = few.groupBy(F.expr(f"pmod(xxhash64(anchor), {tasks})")).applyInArrow(_extend(length), _SPANS)
+        windows = pieces.filter("many").mapInArrow(_window_rows(length), "anchor long, key long, id0 long, tk long, a long, c long")
+        twice = written(windows.groupBy("anchor", "key").agg(F.sum("c").alias("n")).filter("n > 1"), "twice")
+        single = joined(windows.filter("c = 1"), twice, ["anchor", "key"], "n").select("id0", "tk", "a", F.expr(f"a + {length}").alias("b"))
+        spans = whole.unionByName(extended).unionByName(single)
+        return kept(spans.groupBy("id0", "tk").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
+
+
+def _remove_rows(text: bool, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -245,6 +251,7 @@ def _remove_rows(text: bool):
                         merged[-1][1] = max(merged[-1][1], x["b"])
                     else:
                         merged.append([x["a"], x["b"]])
+                merged = [m for m in merged if not least_words or len(body[m[0] : m[1]].split()) >= least_words]
                 edges = [0, *(e for m in merged for e in m), len(body)]
                 left = b"".join(body[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
                 row = (len(body), len(body) - len(left), len(merged), hashlib.sha256(left).hexdigest())
@@ -276,18 +283,17 @@ def _whole_characters(body: bytes, edges: list[int]) -> str:
     return b"".join(parts).decode()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY, texts: bool = False, carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY, texts: bool = False, carry: bool = False, least_words: int = 0) -> DataFrame:
     """Remove every byte of a text that a string of ``length`` bytes covers which starts anywhere else too.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, one row per input row, and with
     ``texts`` also ``kept`` (what is left; a character cut in part stays whole) and ``spans``, with ``carry`` the whole
-    row as ``row``. Strings are
+    row as ``row``. With ``least_words`` covered runs with fewer words, those at its ends counted as they are cut, stay. Strings are
     judged on the input, overlaps count, and equal rows are repeats of each other. Null text is empty
     and an id may be null. Extra columns are not read; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, id_col, text_col, length, gram, many)
-    spans = written(spans.groupBy("id0", "tk").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
     row = carried(docs) if carry else []
-    joined = _keyed(docs, id_col, text_col, row).join(spans.hint("shuffle_hash"), ["id0", "tk"], "left").select("doc_id", "text", "spans", *["row"] * carry)
+    found = _keyed(docs, id_col, text_col, row).join(spans.hint("shuffle_hash"), ["id0", "tk"], "left").select("doc_id", "text", "spans", *["row"] * carry)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.mapInArrow(_remove_rows(texts), with_row(schema + ", kept string, spans array<struct<a:long,b:long>>" * texts, joined))
+    return found.mapInArrow(_remove_rows(texts, least_words), with_row(schema + ", kept string, spans array<struct<a:long,b:long>>" * texts, found))
