@@ -8,14 +8,20 @@ Content-Length. Assembly joins the records of a capture through those identifier
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import joined, scratch, written
+
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 2_000
+#: Bytes of payload that an archive holds on average; captures are dealt to archives by hashes.
+FILE_BYTES = 32 << 20
+#: Bytes of records, or one longer record, that the reader gives on at a time.
+BATCH_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -40,18 +46,29 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), F.concat_ws("\r\n", *lines, length), F.lit("\r\n\r\n"), block)
 
 
-def write(pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> None:
+def write(pages: DataFrame, path: str, least: int = 0, date: str = DATE, file_bytes: int = FILE_BYTES) -> None:
     """Write a capture for each row of ``page_id, url, html`` to ``path``.
 
     Of captures with equal payloads (UTF-8 of html, null is empty) of ``least`` bytes or more, that with the smallest page_id is a
-    response and the others revisit it; others are responses. Null ids come last. Control characters and blanks of a url are percent-encoded;
-    a null url has no target header. Files hold a bounded number of captures; other columns are not read.
+    response and the others revisit it; others are responses. Null ids come last, and of repeated rows one is the response. Control characters and blanks of a url are percent-encoded;
+    a null url has no target header. The tables have no time of capture: all records have ``date``. An archive holds about ``file_bytes`` of payloads and
+    the excess of a larger one; it is one gzip stream, as text writers make it. An empty table gives an archive without records; other columns are not read.
     """
+    with scratch(pages.sparkSession):
+        _write(pages, path, least, date, file_bytes)
+
+
+def _write(pages: DataFrame, path: str, least: int, date: str, file_bytes: int) -> None:
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"), base32_sha1(payload).alias("digest"))
+    # Written, so that a row keeps its number; payloads move once more, by that number.
+    rows = written(rows.withColumn("bytes", F.octet_length("html").cast("long")), "pages")
     rank = F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("o"), F.col("row"), F.col("page_id"), F.col("digest"))
-    first = rows.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min(rank).alias("first"))
-    rows = rows.join(first, "digest", "left")
+    first = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    ids = rows.filter(F.col("bytes") >= least).select("row", "digest")
+    later = written(joined(ids, written(first, "first"), ["digest"], "c").filter("first.row != row").select("row", "first"), "later")
+    files = int((rows.agg(F.sum("bytes")).first()[0] or 0) // file_bytes) + 1
+    rows = rows.repartition(files, "row").join(later, "row", "left")
     again = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
     refers = _name("response", "first.")
     target = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
@@ -65,37 +82,45 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> None
     metadata = _record([*common(F.lit("metadata"), _name("metadata")), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")))
     end = "\r\n\r\n"
     out = rows.select(F.concat_ws(end, request, response, metadata).alias("value"))
-    out.write.option("compression", "gzip").option("lineSep", end).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.write.option("compression", "gzip").option("lineSep", end).text(path)
 
 
 _RECORDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, date string, digest string, head string, body binary"
 
 
+def _read(archive: io.BufferedIOBase) -> Iterator[tuple]:
+    """The records of an archive, one after the other."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/1."):
+            continue
+        lines = []
+        while (line := archive.readline().rstrip(b"\r\n")) != b"":
+            lines.append(line.decode("utf-8", "replace"))
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        body = archive.read(int(headers["content-length"]))
+        head = ""
+        if headers.get("content-type", "").startswith("application/http"):
+            a, _, body = body.partition(b"\r\n\r\n")
+            head = a.decode("utf-8", "replace")
+        digest = (headers.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+        yield (*(headers.get(f"warc-{k}") for k in ("type", "record-id", "concurrent-to", "refers-to", "target-uri", "date")), digest, head, body)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _RECORDS.split(", ")]
     kinds = [*[pa.string()] * 8, pa.binary()]
+    batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
     for batch in batches:
         for content in batch.column(0):
-            data, at, out = gzip.decompress(content.as_buffer()), 0, []
-            while (at := data.find(b"WARC/1.", at)) >= 0:
-                stop = data.index(b"\r\n\r\n", at)
-                lines = data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
-                headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-                size = int(headers["content-length"])
-                block = data[stop + 4 : stop + 4 + size]
-                head, body = "", block
-                if headers.get("content-type", "").startswith("application/http"):
-                    a, _, body = block.partition(b"\r\n\r\n")
-                    head = a.decode("utf-8", "replace")
-                get = lambda k: headers.get(k)  # noqa: B023, E731
-                digest = (get("warc-payload-digest") or "").removeprefix("sha1:") or None
-                out.append((get("warc-type"), get("warc-record-id"), get("warc-concurrent-to"), get("warc-refers-to"), get("warc-target-uri"), get("warc-date"), digest, head, body))
-                at = stop + 4 + size
-                if len(out) >= 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                    out = []
+            out, size = [], 0
+            for record in _read(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))):
+                out.append(record)
+                size += len(record[-1])
+                if size >= BATCH_BYTES or len(out) >= 1000:
+                    yield batch_of(out)
+                    out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield batch_of(out)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -107,15 +132,24 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 def captures(found: DataFrame) -> DataFrame:
     """One nested row for each response or revisit, with its request and metadata and, of a revisit, what it refers to.
 
+    A response's ``bytes`` and ``digest`` are those of the payload that was read; a revisit has no payload, and its header's digest.
     A capture without request or metadata has null there; of several, one is taken. Records that belong to no response are left out.
     """
-    main = found.filter("type in ('response', 'revisit')").withColumn("bytes", F.octet_length("body").cast("long"))
-    part = lambda kind, body: found.filter(F.col("type") == kind).groupBy("concurrent_to").agg(F.min(F.struct("record_id", "date", "head", body)).alias(kind)).withColumnRenamed("concurrent_to", "record_id")
-    text = F.decode("body", "utf-8").alias("fields")
-    origin = main.filter("type = 'response'").join(part("metadata", text), "record_id", "left")
-    origin = origin.select(F.col("record_id").alias("refers_to"), F.struct("record_id", "bytes", F.col("metadata.fields").alias("fields")).alias("origin"))
-    out = main.join(part("request", F.lit(None).cast("string").alias("fields")), "record_id", "left").join(part("metadata", text), "record_id", "left")
-    return out.join(origin, "refers_to", "left").select("record_id", "type", "uri", "date", "digest", "head", "body", "bytes", "request", "metadata", "origin")
+    read = F.col("type") == "response"
+    main = found.filter("type in ('response', 'revisit')").withColumn("bytes", F.octet_length("body").cast("long")).withColumn("digest", F.when(read, base32_sha1(F.col("body"))).otherwise(F.col("digest")))
+    text = F.decode("body", "utf-8")
+    of = lambda kind, fields: F.min(F.when(F.col("type") == kind, F.struct("record_id", "date", "head", fields.alias("fields")))).alias(kind)
+    parts = found.filter("type in ('request', 'metadata') and concurrent_to is not null").groupBy(F.col("concurrent_to").alias("record_id")).agg(of("request", F.lit(None).cast("string")), of("metadata", text))
+    # Written once: archives are parsed for the parts and for the captures, not again for what revisits refer to.
+    whole = written(main.join(parts, "record_id", "left"), "captures")
+    linked = F.coalesce((F.col("type") == "revisit") & F.col("refers_to").isNotNull(), F.lit(False))
+    revisits = whole.filter(linked)
+    origin = whole.filter("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min(F.struct("record_id", "bytes", F.col("metadata.fields").alias("fields"))).alias("origin"))
+    origin = written(revisits.groupBy("refers_to").agg(F.count("*").alias("c")).join(origin, "refers_to", "left"), "origins")
+    # Only revisits are joined: responses refer to nothing and stay where they are.
+    kind = origin.schema["origin"].dataType
+    out = whole.filter(~linked).withColumn("origin", F.lit(None).cast(kind)).unionByName(joined(revisits, origin, ["refers_to"], "c").drop("c"))
+    return out.select("record_id", "type", "uri", "date", "digest", "head", "body", "bytes", "request", "metadata", "origin")
 
 
 def page_id_of(fields: Column) -> Column:
