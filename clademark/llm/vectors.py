@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._store import written
+from ._store import scratch, written
 
 COSINE = 0.93
 BLOCK = 3_000
-#: Vectors of a label for each pivot, and the most pivots that a label has (on average).
-PER_PIVOT, PIVOTS = 2_000, 256
+#: Vectors of a label for each pivot, while that gives fewer pivots than the root of their number.
+PER_PIVOT = 2_000
 #: Vectors of a label that are placed in one task.
 PER_TASK = 20_000
 
@@ -110,32 +110,34 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     non-finite numbers, and rows without id or label, have no links; without id the component is null and the row is kept. Vectors of different lengths are not
     linked. A repeated row is a vector of its own with the same id. Other columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
-    fine = F.expr("id is not null and label is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
-    good = rows.filter(fine).withColumn("dim", F.size("v"))
-    classes = written(good.groupBy("label", "dim", "v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "classes")
-    # One row for each label.
-    many = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    sized = classes.join(many, ["label", "dim"])
-    wanted = F.least(F.floor(F.col("n") / per_pivot) + 1, F.lit(PIVOTS))
-    salts = (F.floor(F.col("n") / PER_TASK) + 1).cast("int")
-    pivots = sized.filter(F.pmod(F.xxhash64("id", F.lit(31)), F.col("n")) < wanted).select("label", "dim", "id", "v", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    pivots = written(pivots, "pivots")
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(32)), salts).cast("int")).select("label", "dim", "id", "m", "v", "salt")
-    keys = ["label", "dim", "salt"]
-    radius = sqrt(2 - 2 * cosine)
-    placed = written(salted.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(_place(radius), _PLACED), "placed")
-    cells = placed.groupBy("label", "dim", "cell").agg((F.floor(F.count("*") / block) + 1).cast("int").alias("blocks"))
-    spread = placed.join(cells, ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(33)), F.col("blocks")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    kept = ["label", "dim", "cell", "id", "m", "v"]
-    one = spread.filter("home").select(*kept, F.lit(0).alias("role"), F.col("own").alias("i"), each.alias("j"))
-    two = spread.select(*kept, F.lit(1).alias("role"), each.alias("i"), F.col("own").alias("j"))
-    found = written(one.unionByName(two).groupBy("label", "dim", "cell", "i", "j").applyInArrow(_join(cosine), "id long, links long, root long"), "found")
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.filter("id != root"), "id", "root")
-    known = classes.join(counts, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("label", "dim", "v", (F.col("m") - 1 + F.col("links")).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = rows.withColumn("dim", F.when(fine, F.size("v"))).join(known, ["label", "dim", "v"], "left")
-    out = out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    with scratch(vectors.sparkSession) as kept:
+        rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+        fine = F.expr("id is not null and label is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
+        good = rows.filter(fine).withColumn("dim", F.size("v"))
+        classes = written(good.groupBy("label", "dim", "v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "classes")
+        # One row for each label.
+        many = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+        sized = classes.join(many, ["label", "dim"])
+        # Placing costs vectors times pivots, so pivots grow as the root of the vectors at last, and cells with them.
+        wanted = F.floor(F.least(F.col("n") / per_pivot, F.sqrt(F.col("n").cast("double")))) + 1
+        salts = (F.floor(F.col("n") / PER_TASK) + 1).cast("int")
+        pivots = sized.filter(F.pmod(F.xxhash64("id", F.lit(31)), F.col("n")) < wanted).select("label", "dim", "id", "v", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        pivots = written(pivots, "pivots")
+        salted = sized.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(32)), salts).cast("int")).select("label", "dim", "id", "m", "v", "salt")
+        keys = ["label", "dim", "salt"]
+        radius = sqrt(2 - 2 * cosine)
+        placed = written(salted.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(_place(radius), _PLACED), "placed")
+        cells = placed.groupBy("label", "dim", "cell").agg((F.floor(F.count("*") / block) + 1).cast("int").alias("blocks"))
+        spread = placed.join(cells, ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(33)), F.col("blocks")).cast("int"))
+        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        names = ["label", "dim", "cell", "id", "m", "v"]
+        one = spread.filter("home").select(*names, F.lit(0).alias("role"), F.col("own").alias("i"), each.alias("j"))
+        two = spread.select(*names, F.lit(1).alias("role"), each.alias("i"), F.col("own").alias("j"))
+        found = written(one.unionByName(two).groupBy("label", "dim", "cell", "i", "j").applyInArrow(_join(cosine), "id long, links long, root long"), "found")
+        counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+        groups = connected_components(found.filter("id != root"), "id", "root")
+        known = classes.join(counts, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
+        known = known.select("label", "dim", "v", (F.col("m") - 1 + F.col("links")).alias("links"), F.coalesce("component", "id").alias("component"))
+        out = rows.withColumn("dim", F.when(fine, F.size("v"))).join(known, ["label", "dim", "v"], "left")
+        out = out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        return kept(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "groups")
