@@ -44,23 +44,31 @@ def normalize_mutation(raw: Column, reference: Column, position: Column) -> Colu
 
     ``A`` (amino acid), ``*`` (stop), ``fsX``, ``F50FGG`` (insertion after F50), ``FGG50F`` (deletion),
     ``INS_any``. An insertion without anchor takes it from ``reference`` and the 1-based ``position``; deletions
-    without their letters are not understood, nor is ``X``.
+    without their letters are not understood, nor are ``X`` and stops or frameshifts with a place but no letter before it.
+
+    A mutation with a place is residues, number, perhaps a second place, perhaps a word, and residues.
     """
-    text = F.trim(raw)
-    s, ref = F.upper(text), F.upper(F.trim(F.coalesce(reference, F.lit(""))))
-    part = lambda pattern, i: F.regexp_extract(s, pattern, i)
-    hgvs_ins, hgvs_del, rewrite = r"^([A-Z*])(\d+)(?:_[A-Z*]\d+)?INS([A-Z*]+)$", r"^([A-Z*])(\d+)(?:_[A-Z*]\d+)?DEL([A-Z*]+)$", r"^([A-Z*]+)(\d+)([A-Z*]+)$"
-    left, place, right = (part(rewrite, i) for i in (1, 2, 3))
-    one = (F.length(left) == 1) & (F.length(right) == 1)
+    s, ref = F.upper(F.trim(raw)), F.upper(F.trim(F.coalesce(reference, F.lit(""))))
+    part = lambda i: F.regexp_extract(s, r"^([A-Z*]*)(\d+)(_[A-Z*]\d+)?(INS|DEL|STOP|FRAMESHIFT|FS)?(.*)$", i)
+    left, place, second, word, rest = (part(i) for i in range(1, 6))
+    right = F.concat(word, rest)
+    anchored, single = F.length(left) == 1, second == ""
     resized = (right.startswith(left) & (F.length(right) > F.length(left))) | (left.startswith(right) & (F.length(left) > F.length(right)))
+    placed = (
+        F.when(place == "", F.lit(None))
+        .when(anchored & single & word.isin("FS", "FRAMESHIFT"), "fsX")
+        .when(anchored & single & (right == "STOP"), "*")
+        .when(~rest.rlike(r"^[A-Z*]*$"), F.lit(None))
+        .when(anchored & (word == "INS") & (rest != ""), F.concat(left, place, left, rest))
+        .when(anchored & (word == "DEL"), F.when(rest != "", F.concat(left, rest, place, left)))
+        .when(single & anchored & (F.length(right) == 1), right)
+        .when(single & (left != "") & (right != "") & resized, F.concat(left, place, right))
+    )
     bare = F.trim(F.substring(s, 4, 2**30))
     return (
-        F.when(s == "", F.lit(None))
-        .when(s.rlike(r"^([A-Z*]?\d+)?STOP$") | (s == "*"), "*")
-        .when(s.rlike(r"^([A-Z*]?\d+)?(FS|FRAMESHIFT)"), "fsX")
-        .when(s.rlike(hgvs_ins), F.concat(part(hgvs_ins, 1), part(hgvs_ins, 2), part(hgvs_ins, 1), part(hgvs_ins, 3)))
-        .when(s.rlike(hgvs_del), F.concat(part(hgvs_del, 1), part(hgvs_del, 3), part(hgvs_del, 2), part(hgvs_del, 1)))
-        .when(s.rlike(rewrite), F.when(one, right).when(resized, F.concat(left, place, right)))
+        F.when(s.rlike(r"^(FS|FRAMESHIFT)"), "fsX")
+        .when(placed.isNotNull(), placed)
+        .when(s.isin("*", "STOP"), "*")
         .when(s == "INS_ANY", ANY_INSERTION)
         .when(s.startswith("INS") & (bare != "") & (ref != "") & position.isNotNull(), F.concat(ref, position.cast("string"), ref, bare))
         .when(s.rlike("^[A-WYZ]$"), s)

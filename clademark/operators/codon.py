@@ -11,19 +11,24 @@ from ..functions import sequence as S
 def codon_groups(ann: DataFrame, keys: tuple[str, ...] = ("run_id", "feature_id", "codon_pos")) -> DataFrame:
     """Codons with exchanges at two or more places (A-1): the options of each place, alternatives and the reference with what is left."""
     per = ann.groupBy(*keys, "codon_offset", "ref_codon", "coding_alt").agg(F.max("af").alias("af"))
-    place = per.groupBy(*keys, "ref_codon", "codon_offset").agg(F.sort_array(F.collect_list(F.struct(F.col("coding_alt").alias("base"), "af"))).alias("alts"))
-    left = F.greatest(F.lit(0.0), 1 - F.aggregate("alts", F.lit(0.0), lambda t, x: t + x["af"]))
-    ref = F.struct(F.substring("ref_codon", F.col("codon_offset") + 1, F.lit(1)).alias("base"), left.alias("af"))
-    place = place.withColumn("options", F.concat("alts", F.array(ref)))
-    grouped = place.groupBy(*keys, "ref_codon").agg(F.sort_array(F.collect_list(F.struct("codon_offset", "options"))).alias("places"))
-    return grouped.filter(F.size("places") >= 2)
+    grouped = per.groupBy(*keys, "ref_codon").agg(F.sort_array(F.collect_list(F.struct("codon_offset", F.col("coding_alt").alias("base"), "af"))).alias("m"))
+
+    def place(o):
+        alts = F.transform(F.filter("m", lambda x: x["codon_offset"] == o), lambda x: F.struct(x["base"].alias("base"), x["af"].alias("af")))
+        left = F.greatest(F.lit(0.0), 1 - F.aggregate(alts, F.lit(0.0), lambda t, x: t + x["af"]))
+        ref = F.struct(F.substring("ref_codon", o + 1, F.lit(1)).alias("base"), left.alias("af"))
+        return F.struct(o.alias("codon_offset"), F.concat(alts, F.array(ref)).alias("options"))
+
+    offsets = F.array_distinct(F.transform("m", lambda x: x["codon_offset"]))
+    return grouped.filter(F.size(offsets) >= 2).select(*keys, "ref_codon", F.transform(offsets, place).alias("places"))
 
 
 def frechet_states(groups: DataFrame, min_fraction: float = 2 / 3, eps: float = 1e-9) -> DataFrame:
     """Codons that combine the places' options, with Fréchet bounds of their frequency (A-2).
 
     ``lower = max(0, sum - (k - 1))``, ``upper = min``, ``forced = lower / upper``; ``accepted`` if lower is
-    positive and forced is at least ``min_fraction``. States of the reference alone are included, as ``size`` 0.
+    positive and forced is at least ``min_fraction``. States of the reference alone are included, as ``size`` 0. ``state_no`` counts a codon's states: places
+    in order, in each the exchanges before the reference.
     """
     offset, options = lambda p: p["codon_offset"], lambda p: p["options"]
     seed = F.array(F.struct(F.col("ref_codon").alias("codon"), F.lit(0.0).alias("total"), F.lit(1.0).alias("upper"), F.lit(0).alias("size")))
@@ -39,12 +44,12 @@ def frechet_states(groups: DataFrame, min_fraction: float = 2 / 3, eps: float =
         return F.flatten(F.transform(states, one))
 
     k = F.size("places")
-    out = groups.withColumn("s", F.explode(F.aggregate("places", seed, extend))).select(*[c for c in groups.columns if c != "places"], k.alias("k"), "s.*")
+    out = groups.select(*[c for c in groups.columns if c != "places"], k.alias("k"), F.posexplode(F.aggregate("places", seed, extend)).alias("state_no", "s")).select("*", "s.*").drop("s")
     out = out.withColumn("lower", F.greatest(F.lit(0.0), F.col("total") - (F.col("k") - 1)))
     out = out.withColumn("lower", F.least("lower", "upper")).withColumn("forced", F.coalesce(F.try_divide("lower", "upper"), F.lit(0.0)))
     return out.withColumns({"aa": S.translate_codon(F.col("codon")), "accepted": (F.col("lower") > eps) & (F.col("forced") >= min_fraction - eps)}).drop("total")
 
 
 def dedupe_states(states: DataFrame, keys: tuple[str, ...] = ("run_id", "feature_id", "codon_pos")) -> DataFrame:
-    """States with one amino acid put together: lower bounds add, upper and forced are the largest, the first codon stays (A-4)."""
-    return states.groupBy(*keys, "aa").agg(F.sum("lower").alias("lower"), F.max("upper").alias("upper"), F.max("forced").alias("forced"), F.min("codon").alias("codon"))
+    """States with one amino acid put together: lower bounds add, upper and forced are the largest, the codon is that of the first state (A-4)."""
+    return states.groupBy(*keys, "aa").agg(F.sum("lower").alias("lower"), F.max("upper").alias("upper"), F.max("forced").alias("forced"), F.min_by("codon", "state_no").alias("codon"))

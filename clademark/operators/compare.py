@@ -3,27 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import interval_join
+from .rules import COMPONENT_DRUG
+
+#: Samples that go to every task at most.
+SENT = 100_000
 KEY = ["feature_id", "codon_pos", "ref_aa", "alt_aa"]
 
 
-def mutation_matrix(ann: DataFrame, runs: DataFrame, gaps: DataFrame, hits: DataFrame | None = None, non_synonymous_only: bool = False) -> DataFrame:
+def mutation_matrix(ann: DataFrame, runs: DataFrame, gaps: DataFrame, hits: DataFrame | None = None, non_synonymous_only: bool = False, db_hits_only: bool = False) -> DataFrame:
     """Long form of samples by mutations (M-1): the frequency where found, null in a gap of the sample, else 0.
 
     ``ann``: ``run_id`` and the key with ``af, consequence``; ``gaps``: ``run_id, feature_id, codon_start, codon_end``. Repeated keys of a sample keep the largest frequency.
+    ``hits`` (``run_id`` and the key) adds ``db_hit``; with ``db_hits_only`` only mutations stay that some sample has as a hit.
+
+    What samples have of a mutation is gathered in one row for each first; the zeros are made at the end, where the row is, so that
+    the product of mutations and samples is neither shuffled nor joined. Gaps stay ranges. Up to ``SENT`` samples go to every task.
     """
     found = ann.filter("consequence != 'synonymous'") if non_synonymous_only else ann
     cells = found.groupBy("run_id", *KEY).agg(F.max("af").alias("af"))
-    wanted = cells.select(*KEY).distinct()
-    spine = wanted.crossJoin(runs.select("run_id"))
-    lost = gaps.select("run_id", "feature_id", F.explode(F.sequence("codon_start", "codon_end")).alias("codon_pos")).distinct().withColumn("lost", F.lit(True))
-    out = spine.join(cells, ["run_id", *KEY], "left").join(lost, ["run_id", "feature_id", "codon_pos"], "left")
-    out = out.withColumn("cell", F.when(F.col("af").isNotNull(), F.col("af")).when(F.col("lost"), F.lit(None)).otherwise(0.0)).select("run_id", *KEY, "cell")
-    if hits is None:
-        return out
-    return out.join(hits.select("run_id", *KEY).distinct().withColumn("db_hit", F.lit(True)), ["run_id", *KEY], "left").na.fill(False, ["db_hit"])
+    if hits is not None:
+        marked = hits.select("run_id", *KEY).distinct().withColumn("hit", F.lit(True))
+        cells = cells.join(marked, ["run_id", *KEY], "left")
+    else:
+        cells = cells.withColumn("hit", F.lit(None).cast("boolean"))
+    mine = cells.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("run_id", F.struct("af", "hit")))).alias("found"), F.max("hit").alias("any_hit"))
+    if db_hits_only:
+        mine = mine.filter("any_hit")
+    place = mine.select("feature_id", "codon_pos").distinct()
+    ranges = gaps.select("feature_id", F.col("run_id").alias("_run"), F.col("codon_start").alias("_a"), (F.col("codon_end") + 1).alias("_b"))
+    lost = interval_join(place, ranges, ["feature_id"], point="codon_pos", start="_a", end="_b", bin=64).groupBy("feature_id", "codon_pos").agg(F.collect_set("_run").alias("lost"))
+    wide = mine.join(lost, ["feature_id", "codon_pos"], "left")
+    names = runs.select("run_id").distinct()
+    names = F.broadcast(names) if names.count() <= SENT else names
+    own = F.element_at("found", F.col("run_id"))
+    gap = F.coalesce(F.array_contains("lost", F.col("run_id")), F.lit(False))
+    out = wide.crossJoin(names).select("run_id", *KEY, F.when(own.isNotNull(), own["af"]).when(gap, F.lit(None)).otherwise(0.0).alias("cell"), F.coalesce(own["hit"], F.lit(False)).alias("db_hit"))
+    return out if hits is not None else out.drop("db_hit")
 
 
 def pivot_matrix(matrix: DataFrame, labels: list[str]) -> DataFrame:
@@ -31,19 +49,25 @@ def pivot_matrix(matrix: DataFrame, labels: list[str]) -> DataFrame:
     return matrix.groupBy("run_id").pivot("label", labels).agg(F.first("cell"))
 
 
-def feature_index(mutations: DataFrame) -> DataFrame:
-    """Number of a mutation's feature in the order of features (M-3)."""
-    return mutations.withColumn("feature_index", F.dense_rank().over(W.orderBy("feature_id")) - 1)
-
-
 def shared_references(kbs: DataFrame, n: int) -> DataFrame:
     """Accessions that all n knowledge bases have (J-19)."""
     return kbs.groupBy("accession").agg(F.count_distinct("db").alias("n")).filter(F.col("n") == n).select("accession")
 
 
-def compare_rules(rules: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key and database the distinct phenotypes in alphabetical order (A-20)."""
-    return rules.groupBy(*keys, "db").agg(F.array_join(F.sort_array(F.collect_set("phenotype")), "; ").alias("phenotypes"))
+def compare_rules(rules: DataFrame, keys: list[str], fields: tuple[str, ...] = ("phenotype",), order: str = "rule_id") -> DataFrame:
+    """For each key and database the distinct values of ``fields`` that are not blank, in the order of first appearance (A-20).
+
+    Rules that only serve as parts of formulas are left out.
+    """
+    x = rules.filter(F.col("drug") != COMPONENT_DRUG)
+    # One row for each value, with its first place, then the values in that order.
+    parts = [x.filter(F.trim(F.col(f).cast("string")) != "").groupBy(*keys, "db", F.trim(F.col(f).cast("string")).alias("v")).agg(F.min(order).alias("_at")).withColumn("field", F.lit(f)) for f in fields]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    joined = lambda f: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == f, F.struct("_at", "v")))), lambda s: s["v"]), "; ").alias(f)
+    every = x.select(*keys, "db").distinct()
+    return every.join(long.groupBy(*keys, "db").agg(*map(joined, fields)), [*keys, "db"], "left").na.fill("", list(fields))
 
 
 def venn(rules: DataFrame, keys: list[str]) -> DataFrame:

@@ -73,8 +73,15 @@ def match_allele_rules(ann: DataFrame, rules: DataFrame) -> DataFrame:
     return found.filter(alleles.alleles_match(F.col("_r"), F.col("_m"), F.col("ref_aa"), F.col("alt_aa"), F.col("consequence"))).drop("_r", "_m")
 
 
-def anchor_mismatches(hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hits whose reference amino acid differs from their rule's (F-12b), for a report: ``run_id, rule_id, feature_id, codon_pos, ref_aa, expected``."""
-    expected = rules.filter("reference <> ''").select("rule_id", F.substring("reference", 1, 1).alias("expected"))
-    x = hits.join(expected, "rule_id").filter(F.substring("ref_aa", 1, 1) != F.col("expected"))
-    return x.select("run_id", "rule_id", "feature_id", "codon_pos", "ref_aa", "expected")
+def anchor_mismatches(ann: DataFrame, rules: DataFrame) -> DataFrame:
+    """Insertions and deletions at a rule's place whose anchor differs from the rule's, for a report (F-12b).
+
+    An insertion rule (its mutation is longer) expects its reference as the anchor of an insertion; a deletion rule (its reference is
+    longer) expects its mutation as what a deletion leaves. Returns ``run_id, rule_id, feature_id, codon_pos, consequence, expected, observed``.
+    """
+    rule = rules.select("rule_id", "feature_id", F.col("position").alias("codon_pos"), F.coalesce("reference", F.lit("")).alias("_r"), F.coalesce("mutation", F.lit("")).alias("_m"))
+    x = ann.filter("consequence in ('insertion', 'deletion') and af > 0 and alt_aa <> ''").join(rule, ["feature_id", "codon_pos"])
+    inserted = (F.col("consequence") == "insertion") & (F.length("_m") > F.length("_r"))
+    deleted = (F.col("consequence") == "deletion") & (F.length("_r") > F.length("_m"))
+    x = x.withColumns({"expected": F.when(inserted, F.col("_r")).when(deleted, F.col("_m")), "observed": F.when(inserted, F.col("ref_aa")).otherwise(F.col("alt_aa"))})
+    return x.filter(F.col("expected") != F.col("observed")).select("run_id", "rule_id", "feature_id", "codon_pos", "consequence", "expected", "observed")

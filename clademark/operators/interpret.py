@@ -25,11 +25,6 @@ def drug_table(hits: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     return scope.join(out, ["run_id", "drug"], "left").na.fill(counts)
 
 
-def drugs_in_scope(profiled: DataFrame, rules: DataFrame) -> DataFrame:
-    """Drugs with a rule on a feature that a run has profiled (J-18)."""
-    return profiled.join(rules.select("feature_id", "drug").distinct(), "feature_id").select("run_id", "drug").distinct()
-
-
 def assess_by_phenotype(hits: DataFrame) -> DataFrame:
     """Highest rank of 2 or more, else contradictory, else 1; its most frequent label, alphabetical on ties (K-3)."""
     by = hits.withColumn("rank", label_to_rank(F.col("phenotype"))).groupBy("run_id", "drug", "rank", F.col("phenotype").alias("label")).agg(F.count("*").alias("n"))
@@ -37,29 +32,44 @@ def assess_by_phenotype(hits: DataFrame) -> DataFrame:
     return by.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("run_id", "drug", "rank", "label")
 
 
-def resolve_thresholds(pairs: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Thresholds for each (reference, drug): those of the pair before those of the drug before the global ones (K-2).
-
-    ``thresholds``: ``reference, drug, label, value``, where null is any.
-    """
-    t = thresholds.select("reference", "drug", "label", "value")
-    exact = pairs.join(t.filter("reference is not null and drug is not null"), ["reference", "drug"]).withColumn("level", F.lit(2))
-    drug = pairs.join(t.filter("reference is null and drug is not null").drop("reference"), "drug").withColumn("level", F.lit(1))
-    any_ = pairs.crossJoin(t.filter("reference is null and drug is null").select("label", "value")).withColumn("level", F.lit(0))
-    x = exact.unionByName(drug).unionByName(any_)
-    w = W.partitionBy("reference", "drug")
-    return x.withColumn("best", F.max("level").over(w)).filter("level = best").select("reference", "drug", "label", "value", "level")
+def _reached(thresholds: DataFrame, value, rows: int = 1_000):
+    """The strongest (rank, threshold, label) that a value reaches, as one expression. Thresholds are settings: more than ``rows`` of them are an error."""
+    t = thresholds.select(label_to_rank(F.col("label")).alias("rank"), F.col("value").cast("double").alias("threshold"), "label").limit(rows + 1).collect()
+    if len(t) > rows:
+        raise ValueError(f"more than {rows} thresholds")
+    best = F.lit(None).cast("struct<rank:int,threshold:double,label:string>")
+    for x in sorted(t, key=lambda x: (x.rank, x.threshold, x.label)):
+        own = F.struct(F.lit(x.rank).alias("rank"), F.lit(x.threshold).alias("threshold"), F.lit(x.label).alias("label"))
+        best = F.when(F.lit(True) if x.rank == 1 else value >= x.threshold, own).otherwise(best)
+    return best
 
 
 def assess_by_value(drugs: DataFrame, thresholds: DataFrame, field: str = "score") -> DataFrame:
     """The strongest label whose threshold the drug's value reaches; rank 1 is the floor (K-4, K-5).
 
-    ``thresholds``: ``label, value``, a handful of settings.
+    ``thresholds``: ``label, value``, a handful of settings (at most 1,000), which become one expression. A drug that reaches none is left out.
     """
-    t = thresholds.select("label", F.col("value").alias("threshold"), label_to_rank(F.col("label")).alias("rank"))
-    x = drugs.crossJoin(t).filter((F.col(field) >= F.col("threshold")) | (F.col("rank") == 1))
-    best = x.groupBy("run_id", "drug").agg(F.max(F.struct("rank", "threshold", "label")).alias("b"))
-    return best.select("run_id", "drug", F.col("b.rank").alias("rank"), F.col("b.label").alias("label"))
+    x = drugs.withColumn("b", _reached(thresholds, F.col(field))).filter("b is not null")
+    return x.select("run_id", "drug", F.col("b.rank").alias("rank"), F.col("b.label").alias("label"))
+
+
+def assess_drugs(hits: DataFrame, thresholds: dict[str, DataFrame]) -> DataFrame:
+    """All methods and the final call in one pass over the hits (K-3 to K-6): ``run_id, drug, rank, label, method_no``.
+
+    Method 1 is the phenotype; the others are the ``thresholds`` in their order, by field: ``score`` counts by its sum, other fields by the largest
+    value. The strongest assessment stays, the earlier method on ties. Hits are counted by label first, so what is put together is small.
+    """
+    rank = label_to_rank(F.col("phenotype"))
+    pick = {f: F.sum if f == "score" else F.max for f in thresholds}
+    by = hits.groupBy("run_id", "drug", rank.alias("rank"), F.col("phenotype").alias("label")).agg(F.count("*").alias("n"), *(g(f).alias(f) for f, g in pick.items()))
+    first = F.struct((-strength(F.col("rank"))).alias("s"), (-F.col("n")).alias("n"), "label", "rank")
+    drug = by.groupBy("run_id", "drug").agg(F.min(first).alias("top"), *(g(f).alias(f) for f, g in pick.items()))
+    methods = [F.struct(F.lit(1).alias("method_no"), F.col("top.rank").alias("rank"), F.col("top.label").alias("label"))]
+    for i, (field, t) in enumerate(thresholds.items()):
+        b = _reached(t, F.col(field))
+        methods.append(F.when(b.isNotNull(), F.struct(F.lit(i + 2).alias("method_no"), b["rank"].alias("rank"), b["label"].alias("label"))))
+    order = F.transform(F.array_compact(F.array(*methods)), lambda m: F.struct((-strength(m["rank"])).alias("s"), m["method_no"].alias("method_no"), m["rank"].alias("rank"), m["label"].alias("label")))
+    return drug.withColumn("m", F.array_min(order)).select("run_id", "drug", "m.rank", "m.label", "m.method_no")
 
 
 def final_call(methods: DataFrame) -> DataFrame:

@@ -15,14 +15,6 @@ def best_reference(matches: DataFrame) -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def dedupe_projected(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls that meet at one place and change keep the best match; and how many each had (W-1b)."""
-    key = W.partitionBy("run_id", "chrom", "pos", "ref", "alt")
-    order = key.orderBy(F.desc("identity"), F.desc("cds_coverage"), F.desc("query_coverage"), "feature")
-    x = calls.withColumns({"_n": F.row_number().over(order), "copies": F.count("*").over(key)}).filter("_n = 1").drop("_n")
-    return x.drop("copies"), x.filter("copies > 1").select("run_id", "chrom", "pos", "ref", "alt", "copies")
-
-
 def latest(rows: DataFrame, key: str, time: str) -> DataFrame:
     """The latest row of each key (W-12)."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(time)))).filter("_n = 1").drop("_n")

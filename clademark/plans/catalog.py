@@ -75,11 +75,12 @@ def f6_annotate_snps(spark, d):
 
 W_PLACES = W_ANN + """, per AS (SELECT run_id, feature_id, codon_pos, ref_codon, codon_offset, coding_alt AS base, max(af) AS af FROM ann GROUP BY ALL),
  opts AS (SELECT *, 1 AS changed FROM per UNION ALL SELECT run_id, feature_id, codon_pos, ref_codon, codon_offset, substr(ref_codon, codon_offset + 1, 1), greatest(0, 1 - sum(af)), 0 FROM per GROUP BY run_id, feature_id, codon_pos, ref_codon, codon_offset),
- grp AS (SELECT run_id, feature_id, codon_pos, ref_codon, count(DISTINCT codon_offset) AS k FROM per GROUP BY ALL HAVING count(DISTINCT codon_offset) >= 2),
- full3 AS (SELECT o.*, k FROM opts o JOIN grp USING (run_id, feature_id, codon_pos, ref_codon)
-   UNION ALL SELECT g.run_id, g.feature_id, g.codon_pos, g.ref_codon, t.i, substr(g.ref_codon, CAST(t.i AS INT) + 1, 1), 1, 0, k FROM grp g CROSS JOIN range(3) t(i) WHERE NOT EXISTS (SELECT 1 FROM per p WHERE p.run_id = g.run_id AND p.feature_id = g.feature_id AND p.codon_pos = g.codon_pos AND p.codon_offset = t.i)),
- s0 AS (SELECT x.run_id, x.feature_id, x.codon_pos, x.ref_codon, x.k, x.base || y.base || z.base AS codon, least(x.af, y.af, z.af) AS upper, x.changed + y.changed + z.changed AS size, greatest(0, x.af + y.af + z.af - 2) AS low
-   FROM full3 x JOIN full3 y USING (run_id, feature_id, codon_pos) JOIN full3 z USING (run_id, feature_id, codon_pos) WHERE x.codon_offset = 0 AND y.codon_offset = 1 AND z.codon_offset = 2),
+ grp AS MATERIALIZED (SELECT run_id, feature_id, codon_pos, ref_codon, count(DISTINCT codon_offset) AS k FROM per GROUP BY ALL HAVING count(DISTINCT codon_offset) >= 2),
+ lists AS MATERIALIZED (SELECT g.run_id, g.feature_id, g.codon_pos, g.ref_codon, g.k, list({'o': o.codon_offset, 'base': o.base, 'af': o.af, 'changed': o.changed} ORDER BY o.changed DESC, o.base) AS l FROM grp g JOIN opts o ON o.run_id = g.run_id AND o.feature_id = g.feature_id AND o.codon_pos = g.codon_pos GROUP BY ALL),
+ wide AS (SELECT run_id, feature_id, codon_pos, ref_codon, k, """ + ", ".join(f"CASE WHEN len(list_filter(l, lambda q: q.o = {i})) > 0 THEN list_filter(l, lambda q: q.o = {i}) ELSE [{{'o': {i}, 'base': substr(ref_codon, {i + 1}, 1), 'af': 1.0, 'changed': 0}}] END AS l{i}" for i in range(3)) + """ FROM lists),
+ three AS (SELECT run_id, feature_id, codon_pos, ref_codon, k, l0, l1, l2, unnest(range(len(l0) * len(l1) * len(l2))) AS state_no FROM wide),
+ pick AS (SELECT *, l0[CAST(state_no // (len(l1) * len(l2)) AS INT) + 1] AS x, l1[CAST(state_no // len(l2) % len(l1) AS INT) + 1] AS y, l2[CAST(state_no % len(l2) AS INT) + 1] AS z FROM three),
+ s0 AS MATERIALIZED (SELECT run_id, feature_id, codon_pos, ref_codon, k, state_no, x.base || y.base || z.base AS codon, least(x.af, y.af, z.af) AS upper, x.changed + y.changed + z.changed AS size, greatest(0, x.af + y.af + z.af - 2) AS low FROM pick),
  s1 AS (SELECT *, least(low, upper) AS lower FROM s0),
  states AS (SELECT *, CASE WHEN upper = 0 THEN 0 ELSE lower / upper END AS forced, """ + _AA("codon") + " AS aa FROM s1)"
 
@@ -96,7 +97,7 @@ def a2_frechet_states(spark, d):
     return r6(x, "lower", "upper").select("run_id", "feature_id", "codon_pos", "codon", "aa", "size", "lower", "upper", "accepted")
 
 
-@query(f"WITH {W_PLACES} SELECT run_id, feature_id, codon_pos, aa, round(sum(lower), 6) AS lower, round(max(upper), 6) AS upper, min(codon) AS codon FROM states GROUP BY run_id, feature_id, codon_pos, aa")
+@query(f"WITH {W_PLACES} SELECT run_id, feature_id, codon_pos, aa, round(sum(lower), 6) AS lower, round(max(upper), 6) AS upper, arg_min(codon, state_no) AS codon FROM states GROUP BY run_id, feature_id, codon_pos, aa")
 def a4_dedupe_states(spark, d):
     x = codon.dedupe_states(codon.frechet_states(codon.codon_groups(annotations(spark, d))))
     return r6(x, "lower", "upper").drop("forced")
@@ -115,10 +116,12 @@ def a7_best_member_evidence(spark, d):
     return rules.best_member_evidence(hits(spark, d)).select("run_id", "rule_id", "af")
 
 
-@query(f"""WITH {W_BEST}, members AS ({fixtures.oracle('members')}), formulas AS ({fixtures.oracle('formulas')}),
- g AS (SELECT run_id, formula_id, op, count(*) AS contributors, greatest(0, sum(af) - 1) AS low, min(af) AS smallest, max(af) AS largest FROM members JOIN ev USING (rule_id) JOIN formulas USING (formula_id) GROUP BY ALL)
- SELECT run_id, formula_id, op, round(CASE WHEN op = 'AND' THEN least(low, smallest) ELSE largest END, 6) AS freq, contributors FROM g
- WHERE op = 'OR' OR (contributors = 2 AND low > 1e-6 AND least(low, smallest) / smallest >= 2.0 / 3 - 1e-6)""")
+W_FLAT = """g AS (SELECT run_id, formula_id, op, count(*) AS contributors, greatest(0, sum(af) - 1) AS low, min(af) AS smallest, max(af) AS largest FROM members JOIN ev USING (rule_id) JOIN formulas USING (formula_id) GROUP BY ALL),
+ flat AS (SELECT run_id, formula_id, op, round(CASE WHEN op = 'AND' THEN least(low, smallest) ELSE largest END, 6) AS freq, contributors FROM g
+ WHERE op = 'OR' OR (contributors = 2 AND low > 1e-6 AND least(low, smallest) / smallest >= 2.0 / 3 - 1e-6))"""
+
+
+@query(f"WITH {W_BEST}, members AS ({fixtures.oracle('members')}), formulas AS ({fixtures.oracle('formulas')}), {W_FLAT} SELECT * FROM flat")
 def a8_flat_formulas(spark, d):
     ev = rules.best_member_evidence(hits(spark, d))
     x = rules.evaluate_flat_formulas(ev, fixture(spark, d, "members"), fixture(spark, d, "formulas"), eps=1e-6)
@@ -160,11 +163,7 @@ def k5_by_ic50(spark, d):
 @query(f"WITH {W_K4}, al AS (SELECT *, 1 AS method_no FROM k3 UNION ALL SELECT *, 2 FROM k4 UNION ALL SELECT *, 3 FROM k5) SELECT run_id, drug, rank, label, method_no FROM al QUALIFY row_number() OVER (PARTITION BY run_id, drug ORDER BY {STRENGTH} DESC, method_no) = 1")
 def k6_final_call(spark, d):
     """The flagship: from calls to one assessment for each run and drug."""
-    h = hits(spark, d)
-    t = interpret.drug_table(h)
-    methods = [interpret.assess_by_phenotype(h), interpret.assess_by_value(t, spark.createDataFrame(SCORES, T)), interpret.assess_by_value(t, spark.createDataFrame(IC50S, T), "max_ic50")]
-    one, two, three = (m.withColumn("method_no", F.lit(i + 1)) for i, m in enumerate(methods))
-    return interpret.final_call(one.unionByName(two).unionByName(three)).select("run_id", "drug", "rank", "label", "method_no")
+    return interpret.assess_drugs(hits(spark, d), {"score": spark.createDataFrame(SCORES, T), "ic50": spark.createDataFrame(IC50S, T)})
 
 
 @query(f"SELECT round(avg(ic50), 6) AS mean, round(stddev_samp(ic50), 6) AS std, count(*) AS n FROM ({fixtures.oracle('rules')})")
@@ -228,9 +227,11 @@ def j19_shared_references(spark, d):
     return compare.shared_references(fixture(spark, d, "kbs"), 3)
 
 
-@query(f"WITH {KB} SELECT gene, position, drug, db, string_agg(DISTINCT phenotype, '; ' ORDER BY phenotype) AS phenotypes FROM kb GROUP BY ALL")
+@query(f"""WITH {KB}, p AS (SELECT gene, position, drug, db, phenotype AS v, min(rule_id) AS first_at FROM kb GROUP BY ALL), s AS (SELECT gene, position, drug, db, score AS v, min(rule_id) AS first_at FROM kb WHERE trim(score) <> '' GROUP BY ALL),
+ e AS (SELECT DISTINCT gene, position, drug, db FROM kb), pl AS (SELECT gene, position, drug, db, string_agg(v, '; ' ORDER BY first_at, v) AS phenotype FROM p GROUP BY ALL), sl AS (SELECT gene, position, drug, db, string_agg(v, '; ' ORDER BY first_at, v) AS score FROM s GROUP BY ALL)
+ SELECT e.*, coalesce(phenotype, '') AS phenotype, coalesce(score, '') AS score FROM e LEFT JOIN pl USING (gene, position, drug, db) LEFT JOIN sl USING (gene, position, drug, db)""")
 def a20_compare_rules(spark, d):
-    return compare.compare_rules(fixture(spark, d, "kbs"), KEYS)
+    return compare.compare_rules(fixture(spark, d, "kbs"), KEYS, ("phenotype", "score"))
 
 
 @query(f"WITH {W_SETS} SELECT region, count(*) AS n FROM sets GROUP BY region")

@@ -16,7 +16,7 @@ SQL = {
     "members": "SELECT p_partkey AS formula_id, p_partkey AS rule_id FROM {part} UNION ALL SELECT p_partkey, p_partkey + 100 FROM {part}",
     "effects": "SELECT s_suppkey AS feature_id, CASE WHEN s_suppkey % 3 = 0 THEN 'stop_gained' ELSE 'start_lost' END AS effect, 'drug' || CAST(s_suppkey % 7 AS VARCHAR(9)) AS drug FROM {supplier}",
     "blocks": "SELECT l_orderkey % 50 AS run_id, 'chr' || CAST(l_suppkey % 10 AS VARCHAR(9)) AS chrom, CAST((l_partkey * 17) % 3000 AS INT) AS b_start, CAST((l_partkey * 17) % 3000 + 50 + l_linenumber AS INT) AS b_end FROM {lineitem}",
-    "kbs": "SELECT 'A' AS db, p_partkey % 500 AS position, p_brand AS gene, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug, p_type AS phenotype, 'acc' || CAST(p_size AS VARCHAR(9)) AS accession FROM {part} WHERE p_partkey % 2 = 0 UNION ALL SELECT 'B', p_partkey % 500, p_brand, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)), p_type, 'acc' || CAST(p_size AS VARCHAR(9)) FROM {part} WHERE p_partkey % 3 = 0 UNION ALL SELECT 'C', p_partkey % 500, p_brand, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)), p_type, 'acc' || CAST(p_size AS VARCHAR(9)) FROM {part} WHERE p_partkey % 5 = 0",
+    "kbs": "SELECT 'A' AS db, p_partkey AS rule_id, p_partkey % 40 AS position, substr(p_brand, 1, 7) AS gene, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug, p_type AS phenotype, CASE WHEN p_size % 6 = 0 THEN ' ' ELSE CAST(p_size % 5 AS VARCHAR(9)) END AS score, 'acc' || CAST(p_size AS VARCHAR(9)) AS accession FROM {part} UNION ALL SELECT 'B' AS db, p_partkey AS rule_id, p_partkey % 40 + p_partkey % 2 AS position, substr(p_brand, 1, 7) AS gene, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug, p_type AS phenotype, CASE WHEN p_size % 6 = 0 THEN ' ' ELSE CAST(p_size % 5 AS VARCHAR(9)) END AS score, 'acc' || CAST(p_size + 1 AS VARCHAR(9)) AS accession FROM {part} UNION ALL SELECT 'C' AS db, p_partkey AS rule_id, p_partkey % 40 + p_partkey % 3 AS position, substr(p_brand, 1, 7) AS gene, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug, p_type AS phenotype, CASE WHEN p_size % 6 = 0 THEN ' ' ELSE CAST(p_size % 5 AS VARCHAR(9)) END AS score, 'acc' || CAST(p_size + 2 AS VARCHAR(9)) AS accession FROM {part}",
     "matches": "SELECT l_orderkey % 50 AS run_id, 'q' || CAST(l_partkey % 40 AS VARCHAR(9)) AS query, 'g' || CAST(l_suppkey AS VARCHAR(9)) AS feature, l_discount AS identity, l_tax AS cds_coverage, l_quantity AS query_coverage FROM {lineitem}",
     "alignments": "SELECT 'chr' || CAST(s_suppkey % 10 AS VARCHAR(9)) AS chrom, s_suppkey AS feature_id, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(floor(s_suppkey / 10) * 500 AS INT) AS query_start, CAST(floor(s_suppkey / 10) * 500 + 451 + s_suppkey % 40 AS INT) AS query_end, 0 AS cds_start, CAST(1 + s_suppkey % 40 AS INT) AS ins, CAST(3 * (1 + s_suppkey % 3) AS INT) AS del, '100M' || CAST(1 + s_suppkey % 40 AS VARCHAR(9)) || 'I200M' || CAST(3 * (1 + s_suppkey % 3) AS VARCHAR(9)) || 'D150M' AS cigar FROM {supplier}",
     "overrides": "SELECT s_suppkey AS override_no, CASE WHEN s_suppkey % 2 = 0 THEN 'ref' || CAST(s_suppkey % 10 AS VARCHAR(9)) || '.1' END AS reference, 'Drug' || CAST(s_suppkey % 6 AS VARCHAR(9)) AS drug, CAST(s_suppkey % 5 AS INT) AS thresholds FROM {supplier}",
@@ -28,6 +28,7 @@ SQL = {
     "runs": "SELECT o_orderkey AS run_id, o_custkey % 20 AS project_id, o_orderstatus AS selection, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'u' || CAST(o_custkey % 20 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR(9)) END AS project_uuid, o_orderdate AS created_at FROM {orders}",
     "projects": "SELECT s_suppkey AS project_id, 'u' || CAST(s_suppkey AS VARCHAR(9)) AS uuid, CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '1996-01-01 00:00:00' ELSE TIMESTAMP '1994-01-01 00:00:00' END AS updated_at FROM {supplier}",
     "projected": "SELECT l_orderkey % 50 AS run_id, 'chr' || CAST(l_suppkey % 10 AS VARCHAR(9)) AS chrom, l_partkey % 300 AS pos, 'A' AS ref, l_returnflag AS alt, l_discount AS identity, l_tax AS cds_coverage, l_quantity AS query_coverage, 'g' || CAST(l_suppkey AS VARCHAR(9)) AS feature, CASE WHEN l_orderkey % 40 = 0 THEN 'org1' ELSE 'org2' END AS organism FROM {lineitem}",
+    "nested": "SELECT formula_id, formula_id % 5 AS project_id, drug, shape, a, b, c, CASE shape WHEN 0 THEN b || ' and ' || a WHEN 1 THEN a || ' OR ' || b WHEN 2 THEN a || ' XOR (' || c || ' XOR ' || b || ')' WHEN 3 THEN 'NOT ' || b || ' AND ' || a WHEN 4 THEN '(' || a || ' OR ' || b || ') AND ' || c WHEN 5 THEN 'NOT ' || a || ' AND NOT (' || b || ')' WHEN 6 THEN a || ' XOR ' || b WHEN 7 THEN a || ' AND ' || b || ' OR ' || c WHEN 8 THEN '(' || a || ' AND ' || b ELSE '(' || a || ' OR ' || c || ') OR ' || b END AS expression FROM (SELECT p_partkey AS formula_id, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug, CAST(floor(p_partkey / 7) % 10 AS INT) AS shape, 'r' || CAST(p_partkey AS VARCHAR(9)) AS a, 'r' || CAST(p_partkey + 100 AS VARCHAR(9)) AS b, 'r' || CAST(p_partkey + 7 AS VARCHAR(9)) AS c FROM {part})",
 }
 TABLES = ("supplier", "lineitem", "part", "orders", "events")
 

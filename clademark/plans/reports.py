@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import liftover, report, rules
 from . import fixtures
-from .catalog import ORACLE, QUERIES, W_ANN, W_BEST, annotations, hits, query, r6
+from .catalog import ORACLE, QUERIES, W_ANN, W_BEST, W_FLAT, annotations, hits, query, r6
 from .fixtures import fixture
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -29,15 +29,14 @@ def j3_dropped_contigs(spark, d):
     return liftover.route_calls(fixture(spark, d, "calls"), records)[1]
 
 
-W_PAIR = "v AS (SELECT 's' || CAST(o_orderkey % 1000 AS VARCHAR) AS stem, min('in/S' || CAST(o_orderkey % 1000 AS VARCHAR) || '.vcf') AS calls, count(*) AS n_calls FROM orders WHERE o_custkey % 9 = 0 GROUP BY 1), b AS (SELECT 's' || CAST(o_custkey % 1200 AS VARCHAR) AS stem, min('in/s' || CAST(o_custkey % 1200 AS VARCHAR) || '.bam') AS reads, count(*) AS n_reads FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)"
+W_PAIR = "v AS (SELECT 's' || CAST(o_orderkey AS VARCHAR) AS stem, min('in/S' || CAST(o_orderkey AS VARCHAR) || '.vcf') AS calls, count(*) AS n_calls FROM orders GROUP BY 1), b AS (SELECT 's' || CAST(o_custkey AS VARCHAR) AS stem, min('in/s' || CAST(o_custkey AS VARCHAR) || '.bam') AS reads, count(*) AS n_reads FROM orders GROUP BY 1)"
 
 
 @query(f"WITH {W_PAIR} SELECT stem, calls, coalesce(n_calls, 0) AS n_calls, reads, coalesce(n_reads, 0) AS n_reads, CASE WHEN coalesce(n_calls, 0) > 1 OR coalesce(n_reads, 0) > 1 THEN 'collision' WHEN n_calls = 1 AND n_reads = 1 THEN 'paired' ELSE 'unmatched' END AS status FROM v FULL JOIN b USING (stem)")
 def j20_pair_inputs(spark, d):
     x = spark.read.parquet(f"{d}/orders.parquet")
     files = lambda df, name: df.select(F.format_string("in/" + name, F.col("k")).alias("path")).withColumn("stem", S.safe_stem(F.col("path")))
-    calls = files(x.filter("o_custkey % 9 = 0").select((F.col("o_orderkey") % 1000).alias("k")), "S%d.vcf")
-    return liftover.pair_inputs(calls, files(x.filter("o_orderkey % 5 = 0").select((F.col("o_custkey") % 1200).alias("k")), "s%d.bam"))
+    return liftover.pair_inputs(files(x.select(F.col("o_orderkey").alias("k")), "S%d.vcf"), files(x.select(F.col("o_custkey").alias("k")), "s%d.bam"))
 
 
 @query(f"WITH {W_ANN} SELECT run_id, count(*) AS total, count(*) FILTER (consequence <> 'synonymous') AS non_synonymous, count(DISTINCT feature_id) FILTER (consequence <> 'synonymous') AS features, " + ", ".join(f"count(*) FILTER (consequence = '{c}') AS {c}" for c in report.HIGH_IMPACT) + " FROM ann GROUP BY run_id")
@@ -45,13 +44,13 @@ def a14_sequence_assessment(spark, d):
     return report.sequence_assessment(annotations(spark, d))
 
 
-W_FIRED = W_BEST + f", members AS ({fixtures.oracle('members')}), fired AS (SELECT DISTINCT run_id, formula_id FROM members JOIN ev USING (rule_id) WHERE formula_id % 2 = 1)"
+W_FIRED = W_BEST + f", members AS ({fixtures.oracle('members')}), formulas AS ({fixtures.oracle('formulas')}), {W_FLAT}, fired AS (SELECT run_id, formula_id FROM flat)"
 
 
 def fired_any(spark, d):
-    """Formulas by OR of which a member has evidence."""
+    """Formulas that fire, by AND and by OR."""
     ev = rules.best_member_evidence(hits(spark, d))
-    return rules.evaluate_flat_formulas(ev, fixture(spark, d, "members"), fixture(spark, d, "formulas").filter("op = 'OR'"))
+    return rules.evaluate_flat_formulas(ev, fixture(spark, d, "members"), fixture(spark, d, "formulas"), eps=1e-6)
 
 
 @query(f"WITH {W_FIRED}, h AS (SELECT run_id, 1 AS seq, drug, FALSE AS f FROM hits UNION ALL SELECT run_id, 2, 'DRUG' || CAST(formula_id % 7 AS VARCHAR), TRUE FROM fired) SELECT run_id, arg_min(drug, seq) AS drug, count(*) FILTER (NOT f) AS single_hits, count(*) FILTER (f) AS formula_hits FROM h GROUP BY run_id, lower(drug)")

@@ -54,9 +54,11 @@ def f12_match_allele_rules(spark, d):
     return indel_hits(spark, d).select("run_id", "rule_id", "feature_id", "codon_pos", "ref_aa", "alt_aa", "consequence", "af", "drug")
 
 
-@query(f"WITH {W_INDEL}, {W_FIT} SELECT run_id, rule_id, feature_id, codon_pos, ref_aa, substr(reference, 1, 1) AS expected FROM fit WHERE substr(ref_aa, 1, 1) <> substr(reference, 1, 1)")
+@query(f"""WITH {W_INDEL}, {W_FIT}, j AS (SELECT a.run_id, r.rule_id, a.feature_id, a.codon_pos, a.consequence, r.reference, r.mutation, a.ref_aa, a.alt_aa FROM ann a JOIN r ON a.feature_id = r.feature_id AND a.codon_pos = r.position WHERE a.af > 0 AND a.alt_aa <> '')
+ SELECT run_id, rule_id, feature_id, codon_pos, consequence, reference AS expected, ref_aa AS observed FROM j WHERE consequence = 'insertion' AND length(mutation) > length(reference) AND ref_aa <> reference
+ UNION ALL SELECT run_id, rule_id, feature_id, codon_pos, consequence, mutation, alt_aa FROM j WHERE consequence = 'deletion' AND length(reference) > length(mutation) AND alt_aa <> mutation""")
 def f12b_anchor_mismatches(spark, d):
-    return indels.anchor_mismatches(indel_hits(spark, d), fixture(spark, d, "indel_rules"))
+    return indels.anchor_mismatches(indel_annotations(spark, d), fixture(spark, d, "indel_rules"))
 
 
 @query(f"""SELECT p_partkey, CASE kind WHEN 0 THEN '*' WHEN 1 THEN 'fsX' WHEN 2 THEN 'F' || CAST(position AS VARCHAR) || 'FGG' WHEN 3 THEN 'FGG' || CAST(position AS VARCHAR) || 'F' WHEN 4 THEN 'L'

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from clademark.plans import variants as catalog
+from clademark.plans import registry as catalog
 
 DIR = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
