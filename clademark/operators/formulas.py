@@ -151,7 +151,7 @@ def evaluate_formulas(runs: DataFrame, evidence: DataFrame, formulas: DataFrame,
         return F.when(F.size(true) % 2 == 0, false).when(F.size(true) == 1, F.get(true, F.lit(0))).otherwise(_joint(united, of, min_fraction, eps))
 
     def step(stack: Column, s: Column) -> Column:
-        last, before, n = F.element_at(stack, -1), F.get(stack, F.size(stack) - 2), F.size(stack)
+        last, before, n = F.try_element_at(stack, F.lit(-1)), F.get(stack, F.size(stack) - 2), F.size(stack)
         both = F.when(before["ok"] & last["ok"], _joint(F.array_union(before["ids"], last["ids"]), of, min_fraction, eps)).otherwise(false)
         put = lambda taken, v: F.concat(F.slice(stack, F.lit(1), n - taken), F.array(v))
         return (

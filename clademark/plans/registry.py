@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import formulas
+from . import consensus, formulas
 from .catalog import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "formulas"]
+__all__ = ["ORACLE", "QUERIES", "consensus", "formulas"]
