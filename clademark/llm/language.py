@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import flat
+from ._text import Rolling, chunks, flat, mix
 
 WINDOW = 256
-#: Labelled texts that training uses at most, those with the smallest seeded hashes, and characters taken from a place in each that the hash decides.
-SAMPLE = 6_000
-PIECE = 600
+#: Labelled rows that training uses at most, those with the smallest seeded hashes of their ids, and windows of these texts,
+#: those with the smallest hashes of text and place.
+SAMPLE, SAMPLE_WINDOWS = 6_000, 24_000
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
@@ -133,21 +133,39 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.expr(f"crc32(cast(cast({doc_id} as string) as binary)) % 3 = 1"), F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, piece: int = PIECE) -> Network:
-    """Train on pieces of at most ``sample`` texts with a language and a letter, none of them held out."""
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the texts with its language and a hash that orders the sample."""
+    for batch in batches:
+        lang = batch.column(0)
+        for lo, hi, data, off in chunks(batch.column(1)):
+            rows, doc, _ = windows(data, off)
+            text = Rolling(data)(off[:-1], off[1:])
+            first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
+            place = np.arange(len(doc)) - np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(doc))))
+            key = mix(text[doc] + mix(place.astype(np.uint64) + np.uint64(1))) >> np.uint64(1)
+            for a in range(0, len(rows), 4096):
+                cut = rows[a : a + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 4096].view(np.int64)), lang.take(pa.array(doc[a : a + 4096] + lo)), pa.array([r.tobytes() for r in cut], pa.binary())], ["h", "lang", "window"])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_windows: int = SAMPLE_WINDOWS) -> Network:
+    """Train on windows of at most ``sample`` texts with a language and a letter, none of them held out.
+
+    All windows of these whole texts are candidates; beyond ``sample_windows`` those with the smallest hashes are
+    taken, wherever they are in a text. Of an id that comes more than once one text is taken.
+    """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.filter("doc_id is not null and lang is not null").filter(~held_out("doc_id")).filter(F.col("text").rlike(r"\p{L}"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - piece + 1, F.lit(1)))
-    known = known.select(F.xxhash64("doc_id", F.lit(23)).alias("h"), "lang", F.substring("text", place.cast("int") + 1, F.lit(piece)).alias("text"))
-    rows = known.orderBy("h", "text", "lang").limit(sample).toArrow().combine_chunks()
+    # Ids first: texts do not move before the rows are known.
+    chosen = known.groupBy("doc_id").agg(F.min(F.xxhash64("text", "lang")).alias("one")).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(sample)
+    known = known.withColumn("one", F.xxhash64("text", "lang")).join(F.broadcast(chosen), ["doc_id", "one"]).dropDuplicates(["doc_id"])
+    rows = known.select("lang", "text").mapInArrow(_window_rows, "h long, lang string, window binary").orderBy("h", "window", "lang").limit(sample_windows).toArrow().combine_chunks()
     languages = sorted(set(rows.column("lang").to_pylist()))
     net = Network(languages)
     if languages:
-        data, off = flat(rows.column("text"))
-        cut, doc, _ = windows(data, off)
+        cut = np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         index = {x: i for i, x in enumerate(languages)}
-        labels = np.array([index[x] for x in rows.column("lang").to_pylist()])[doc]
-        net.train(cut, labels)
+        net.train(cut, np.array([index[x] for x in rows.column("lang").to_pylist()]))
     return net
 
 
