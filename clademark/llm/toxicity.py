@@ -6,7 +6,8 @@ of terms, the product of their factors, so that two terms together can weigh mor
 (an insult with the mention of a group). It is trained with logistic loss and AdaGrad in numpy.
 
 Only terms that training documents of the two kinds hold unevenly take part: the chance of many
-indifferent terms would else add up in long texts.
+indifferent terms would else add up in long texts. A term may be uneven among all documents, or among those
+that hold a term of the first kind, so that a word which says nothing alone counts where it turns another.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BITS = 20
 FACTORS = 4
 #: Labelled documents that training uses at most: those with the smallest seeded hashes of their ids.
 SAMPLE = 16_000
+#: Steps of training, each of 128 documents.
+STEPS = 1_500
 CUT = 0.7
 
 
@@ -52,7 +55,7 @@ def _term_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, flat, sizes in terms(batch.column(1), bits):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), lists(flat.astype(np.int32), sizes, pa.int32())], ["label", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), lists(flat.astype(np.int32), sizes, pa.int32())], ["of", "terms"])
 
     return run
 
@@ -89,16 +92,28 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def train(labels: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, least: int = 3, uneven: float = 3.5) -> Machine:
-    """Fit a machine to documents given by their distinct buckets."""
-    labels = labels.astype(float)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    n, n1 = len(labels), max(labels.sum(), 1.0)
+def _uneven(labels: np.ndarray, row: np.ndarray, buckets: np.ndarray, bits: int, least: int) -> np.ndarray:
+    """By bucket, how many deviations the labels of the documents that hold it are off those of all; 0 for buckets of fewer than ``least``."""
     df = np.bincount(buckets, minlength=1 << bits)
     with_label = np.bincount(buckets, weights=labels[row], minlength=1 << bits)
-    share = n1 / max(n, 1)
-    z = (with_label - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
-    use = (df >= least) & (np.abs(z) >= uneven)
+    share = max(labels.sum(), 1.0) / max(len(labels), 1)
+    z = (with_label - df * share) / np.sqrt(df * max(share * (1 - share), 0) + 1e-9)
+    return np.where(df >= least, z, 0.0)
+
+
+def train(labels: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, bits: int = BITS, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-4, least: int = 3, uneven: float = 3.5) -> Machine:
+    """Fit a machine to documents given by their distinct buckets, in ``steps`` steps of 128 documents (or all, if fewer) whatever their number."""
+    labels = labels.astype(float)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    n, share = len(labels), max(labels.sum(), 1.0) / max(len(labels), 1)
+    z = _uneven(labels, row, buckets, bits, least)
+    use = np.abs(z) >= uneven
+    # Among the documents that hold a term of the label, what tells the two kinds apart.
+    held = np.zeros(n, bool)
+    held[row[z[buckets] >= uneven]] = True
+    if held.any():
+        inside = held[row]
+        use |= np.abs(_uneven(labels[held], (np.cumsum(held) - 1)[row[inside]], buckets[inside], bits, least)) >= uneven
     place = np.full(1 << bits, -1, np.int64)
     place[use] = np.arange(use.sum())
     fm = Machine(place, factors)
@@ -109,10 +124,11 @@ def train(labels: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, bits: int
     first = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(11)
     sums = [1e-8, np.full(len(fm.weight), 1e-8), np.full(fm.factor.shape, 1e-8)]
-    # Small samples are gone through more often.
-    for _ in range(max(epochs, 600 * 128 // max(n, 1))):
+    done = 0
+    while done < steps:
         order = rng.permutation(n)
-        for lo in range(0, n, 128):
+        for lo in range(0, n, 128)[: steps - done]:
+            done += 1
             docs = order[lo : lo + 128]
             count = sizes[docs]
             stop = np.cumsum(count)
@@ -139,13 +155,14 @@ def held_out(doc_id: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> Machine:
-    """Train on at most ``sample`` labelled rows, none of them held out. Rows without label, or with labels that differ, are not used."""
+    """Train on at most ``sample`` labelled rows, none of them held out. Rows without label, or with labels that differ, are not used; of an id with several texts one is."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null").filter(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
     known = known.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample).select("doc_id", "label")
-    # At most ``sample`` rows of two numbers.
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("label", "text")
-    table = rows.mapInArrow(_term_rows(bits), "label int, terms array<int>").toArrow().combine_chunks()
+    # At most ``sample`` rows of two numbers go to the tasks, and as many lists of terms come back.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    found = rows.select(F.struct("doc_id", "label").alias("of"), "text").mapInArrow(_term_rows(bits), "of struct<doc_id:long,label:int>, terms array<int>")
+    table = found.groupBy("of.doc_id").agg(F.min(F.struct("of.label", "terms")).alias("one")).select("one.label", "one.terms").toArrow().combine_chunks()
     if not table.num_rows:
         return train(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), bits)
     own = table.column("terms").combine_chunks()
