@@ -124,5 +124,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     placed = ruled.withColumn("address", address(F.col("url"))).join(groups, "address", "left")
     judged = named.join(best, ["host", "path"]).join(groups, "address").select(F.col("best.verdict").alias("own"), "alias_of")
     blocked = placed.select("own", "alias_of").unionByName(judged).filter("own = 'block' and alias_of is not null").select("alias_of").distinct().withColumn("spread", F.lit("block"))
-    out = placed.join(blocked, "alias_of", "left")
+    # Pages without links, most of them, have no component and are not dealt by one.
+    alone = placed.filter("alias_of is null").withColumn("spread", F.lit(None).cast("string"))
+    out = placed.filter("alias_of is not null").join(blocked, "alias_of", "left").unionByName(alone)
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "spread", F.lit("allow")).alias("verdict"), "alias_of")
