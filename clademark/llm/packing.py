@@ -1,11 +1,10 @@
 r"""Harmonic packing of token pieces into sequences.
 
-Piece lengths fall into reciprocal-capacity classes 1024 / 1, 1024 / 2, 1024 / 4, ...: a document is cut
-into whole sequences and, of what remains, one piece for each class whose length fits (the binary
-digits of the remainder). A class of length 1024 / j fills its bins with j pieces each, so
-a full bin has no padding. Every worker keeps one open bin for each class and shares nothing;
-at its end an open bin is closed in parts of 1, 2, 4, ... pieces, whose lengths are powers of two
-and need no padding either.
+Piece lengths fall into reciprocal-capacity classes: one of more than 1024 / (j + 1) and at most 1024 / j tokens is of class
+j, whose bins take j pieces each, whatever their lengths. A document is cut into whole sequences and its
+remainder, and the remainder only where its class would waste more than ``WASTE`` tokens: then a piece of the full length of the next class
+is cut off first. So a document has few pieces, hardly any of them short, and a full bin little padding. Every worker keeps one
+open bin for each class and shares nothing; what is open at its end is put together longest first.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ from ._text import chunks, mix
 
 CAPACITY = 1024
 END_ID = 0
+#: Tokens that a piece may fall short of its class's length before it is cut, and the shortest piece that is cut off.
+WASTE, LEAST = 24, 32
 #: Distinct pre-token ids kept by a worker; when full, it starts again.
 CACHE_WORDS = 2_000_000
 
@@ -169,29 +170,51 @@ class Bins:
         self.capacity, self.next, self.open, self.out = capacity, first_id, {}, []
 
     def add(self, length: int, row: tuple) -> None:
-        bin_ = self.open.setdefault(length, [])
-        bin_.append(row)
-        if len(bin_) * length == self.capacity:
-            self._close(length, bin_)
-            self.open[length] = []
-
-    def _close(self, length: int, rows: list[tuple]) -> None:
-        self.out += [(*row, self.next, i * length) for i, row in enumerate(rows)]
+        count = self.capacity // length
+        bin_ = self.open.setdefault(count, [])
+        bin_.append((length, row))
+        if len(bin_) == count:
+            self._close(bin_)
+            self.open[count] = []
+
+    def _close(self, pieces: list[tuple[int, tuple]]) -> None:
+        offset = 0
+        for length, row in pieces:
+            self.out.append((*row, self.next, offset))
+            offset += length
         self.next += 1
 
     def finish(self) -> None:
-        for length, rows in self.open.items():
-            while rows:
-                take = 1 << (len(rows).bit_length() - 1)
-                self._close(length, rows[:take])
-                rows = rows[take:]
+        """Put what is left in the fewest sequences that taking the longest first gives."""
+        left = sorted((x for pieces in self.open.values() for x in pieces), key=lambda x: -x[0])
+        room: list[int] = []
+        bins: list[list[tuple[int, tuple]]] = []
+        for piece in left:
+            i = next((i for i, r in enumerate(room) if r >= piece[0]), len(room))
+            if i == len(room):
+                room.append(self.capacity)
+                bins.append([])
+            room[i] -= piece[0]
+            bins[i].append(piece)
+        for pieces in bins:
+            self._close(pieces)
         self.open = {}
 
 
-def cuts(tokens: int, capacity: int) -> list[int]:
-    """Lengths of a document's pieces: whole sequences, then the powers of two of the remainder."""
-    rest = tokens % capacity
-    return [capacity] * (tokens // capacity) + [1 << i for i in reversed(range(rest.bit_length())) if rest >> i & 1]
+def cuts(tokens: int, capacity: int, waste: int = WASTE, least: int = LEAST) -> list[int]:
+    """Lengths of a document's pieces: whole sequences, then full lengths of classes while the rest would waste more than ``waste`` tokens.
+
+    Nothing shorter than ``least`` is cut off; the piece before it is shortened instead.
+    """
+    out, rest = [capacity] * (tokens // capacity), tokens % capacity
+    while rest:
+        count = capacity // rest
+        if capacity // count - rest <= waste or rest <= 2 * least:
+            return [*out, rest]
+        piece = min(capacity // (count + 1), rest - least)
+        out.append(piece)
+        rest -= piece
+    return out
 
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -231,15 +254,13 @@ def _pack_rows(path: str, capacity: int, with_ids: bool):
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """Pack whole documents, tokenized, into sequences of at most ``capacity`` (a power of two) tokens.
+    """Pack whole documents, tokenized, into sequences of at most ``capacity`` tokens.
 
     ``tokenizer``: path of a byte-level BPE file of the tokenizers library, on every machine. Each
     document ends with id 0. Returns a row for each piece: ``doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset`` and, with ``with_ids``, its ``ids``. Null text is empty: one piece
-    with the end id. Repeated rows are packed each; an id may be null; an empty table gives an
+    with the end id. Strings of special tokens in a text are ordinary text, as the tokenizers' notes advise. Repeated rows are packed each; an id may be null; an empty table gives an
     empty result; other columns are not read. Nothing is shuffled.
     """
-    if capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_pack_rows(tokenizer, capacity, with_ids), _SCHEMA + ", ids array<int>" * with_ids)

@@ -24,8 +24,11 @@ def test_ids_equal_the_tokenizer(texts):
 
 
 def test_cuts():
-    for n in (1, 5, 1023, 1024, 1025, 5000):
-        assert sum(cuts(n, 1024)) == n and len(cuts(n, 1024)) <= n // 1024 + 10
+    for n in range(1, 5000):
+        own = cuts(n, 1024)
+        assert sum(own) == n and len(own) <= n // 1024 + 4 and max(own) <= 1024
+        assert all(x >= 32 for x in own) or len(own) == n // 1024 + 1
+        assert all(1024 // (1024 // x) - x <= 48 for x in own)
 
 
 def test_pieces_put_documents_together(spark):
@@ -49,5 +52,7 @@ def test_pieces_put_documents_together(spark):
         for x in own:
             assert x.offset == total
             total += x.length
-        assert total <= 1024 and total & (total - 1) == 0
+        assert total <= 1024
+    # Little padding but for what each of the three workers has open at its end.
+    assert len(sequences) <= sum(x.length for x in got) / 1024 / 0.95 + 3
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
