@@ -26,8 +26,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of ``documents`` that strings of 400 bytes cover which occur more than once."""
-    return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    """Bytes of ``documents`` that strings of 400 bytes cover which occur more than once, and repeated passages of over 50 words."""
+    return suffix.repeats_and_passages(_table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

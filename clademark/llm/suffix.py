@@ -21,7 +21,7 @@ is split by window instead, down to one group for each window, so no task holds
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +69,33 @@ def _anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> dict[
 _RUNS = "anchor long, piece long, id0 long, tk long, start long, span int, at int"
 
 
+def _merged(spans: Iterable[dict]) -> list[list[int]]:
+    """Ranges in order, those that meet as one."""
+    out: list[list[int]] = []
+    for x in spans:
+        if out and x["a"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], x["b"])
+        else:
+            out.append([x["a"], x["b"]])
+    return out
+
+
 def _run_rows(length: int, gram: int):
+    """Pieces of the texts, or, with a fourth column of ranges, of what these cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, data, off in chunks(batch.column(2)):
+            for lo, hi, data, off in chunks(batch.column(2)):
+                inner = None
+                if batch.num_columns > 3:
+                    inner = [(i, a, b) for i, spans in enumerate(batch.column(3).slice(lo, hi - lo).to_pylist()) for a, b in _merged(spans) if b - a >= length]
+                    data = np.concatenate([data[off[i] + a : off[i] + b] for i, a, b in inner]) if inner else data[:0]
+                    off = np.cumsum([0, *(b - a for _, a, b in inner)])
                 x = _anchors(data, off, length, gram)
                 if x:
+                    if inner:
+                        x["start"] = x["start"] + np.array([a for _, a, _ in inner])[x["doc"]]
+                        x["doc"] = np.array([i for i, _, _ in inner])[x["doc"]]
                     row = pa.array(x["doc"] + lo)
                     columns = [pa.array(x["anchor"]), pa.array(x["piece"]), batch.column(0).take(row), batch.column(1).take(row), pa.array(x["start"]), pa.array(x["span"].astype(np.int32)), pa.array(x["at"].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, ["anchor", "piece", "id0", "tk", "start", "span", "at"])
@@ -204,16 +225,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, more: Sequence[Column] =
     return docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("id0"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"), doc_id.alias("doc_id"), *more)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY, inside: DataFrame | None = None) -> DataFrame:
     """Byte ranges ``[a, b)`` of the texts (UTF-8) that repeated strings of ``length`` bytes cover.
 
     Returns ``id0, tk, spans`` (an id, null as the least long, a hash of the text, and its ranges in order), one row
     for each text that has some. Ranges may overlap. Null, empty and shorter texts have none. Anchors and pieces of very many
-    texts are sent to all tasks instead of being joined in one.
+    texts are sent to all tasks instead of being joined in one. ``inside``: the result for a shorter length, which covers
+    everything that is repeated at this one, so that nothing else is searched.
     """
     with scratch(docs.sparkSession) as kept:
         keyed = _keyed(docs, id_col, text_col)
-        runs = written(keyed.select("id0", "tk", "text").mapInArrow(_run_rows(length, gram), _RUNS), "runs")
+        searched = keyed.select("id0", "tk", "text")
+        if inside is not None:
+            searched = searched.join(inside.hint("shuffle_hash"), ["id0", "tk"]).select("id0", "tk", "text", "spans")
+        runs = written(searched.mapInArrow(_run_rows(length, gram), _RUNS), "runs")
         anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("p0"), F.max("piece").alias("p1")).filter("n > 1")
         anchors = written(anchors.select("anchor", "n", (F.col("p0") != F.col("p1")).alias("mixed")), "anchors")
         again = written(joined(runs, anchors, ["anchor"], "n").drop("n"), "again")
@@ -245,13 +270,7 @@ def _remove_rows(text: bool, least_words: int):
             out: list[tuple] = []
             for body, spans in zip(batch.column(1), batch.column(2), strict=True):
                 body = (body.as_py() or "").encode()
-                merged: list[list[int]] = []
-                for x in spans.as_py() or []:
-                    if merged and x["a"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x["b"])
-                    else:
-                        merged.append([x["a"], x["b"]])
-                merged = [m for m in merged if not least_words or len(body[m[0] : m[1]].split()) >= least_words]
+                merged = [m for m in _merged(spans.as_py() or []) if not least_words or len(body[m[0] : m[1]].split()) >= least_words]
                 edges = [0, *(e for m in merged for e in m), len(body)]
                 left = b"".join(body[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
                 row = (len(body), len(body) - len(left), len(merged), hashlib.sha256(left).hexdigest())
@@ -297,3 +316,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _keyed(docs, id_col, text_col, row).join(spans.hint("shuffle_hash"), ["id0", "tk"], "left").select("doc_id", "text", "spans", *["row"] * carry)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return found.mapInArrow(_remove_rows(texts, least_words), with_row(schema + ", kept string, spans array<struct<a:long,b:long>>" * texts, found))
+
+
+def _both_rows(words: int):
+    remove = _remove_rows(False, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, sizes = [], []
+            for body, spans in zip(batch.column(1), batch.column(3), strict=True):
+                body = (body.as_py() or "").encode()
+                long = [m for m in _merged(spans.as_py() or []) if len(body[m[0] : m[1]].split()) >= words]
+                counts.append(len(long))
+                sizes.append(sum(b - a for a, b in long))
+            (kept,) = remove(iter([batch.select([0, 1, 2])]))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], [*kept.schema.names, "n_passages", "passage_bytes"])
+
+    return run
+
+
+def repeats_and_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = 240, passage_gram: int = 40, words: int = 51) -> DataFrame:
+    """``remove_repeats`` at ``length`` bytes, and how much of a text is in repeated passages of ``words`` words or more.
+
+    Adds ``n_passages, passage_bytes``: runs that repeated strings of ``passage`` bytes (at most ``length``) cover, of at least so many words. The shorter
+    strings are found first; the longer ones are searched only where these are.
+    """
+    if passage > length:
+        raise ValueError("passages must not be longer than the strings")
+    wide = repeated_spans(docs, id_col, text_col, passage, passage_gram)
+    spans = repeated_spans(docs, id_col, text_col, length, gram, inside=wide)
+    told = wide.join(spans.withColumnRenamed("spans", "long"), ["id0", "tk"], "left")
+    out = _keyed(docs, id_col, text_col).join(told.hint("shuffle_hash"), ["id0", "tk"], "left")
+    return out.select("doc_id", "text", "long", "spans").mapInArrow(_both_rows(words), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")

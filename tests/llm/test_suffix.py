@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from clademark.llm.suffix import remove_repeats
+from clademark.llm.suffix import remove_repeats, repeats_and_passages
 
 SCHEMA = "doc_id long, text string, spans string"
 
@@ -57,3 +57,23 @@ def test_texts_keep_whole_characters(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_passages_beside_long_strings(spark):
+    rows = corpus(4, 60)
+    df = spark.createDataFrame([(i, t, "?") for i, t in rows], SCHEMA)
+    got = repeats_and_passages(df, length=60, gram=16, passage=30, passage_gram=8, words=3).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got), key=str) == brute(rows, 60)
+    bodies = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[i : i + 30] for b in bodies for i in range(len(b) - 29))
+    want = []
+    for (k, _), b in zip(rows, bodies, strict=True):
+        gone = bytearray(len(b) + 1)
+        for i in range(len(b) - 29):
+            if seen[b[i : i + 30]] > 1:
+                gone[i : i + 30] = b"\1" * 30
+        edges = [i for i in range(len(gone)) if gone[i] != (gone[i - 1] if i else 0)]
+        long = [b[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True) if len(b[x:y].split()) >= 3]
+        want.append((k, len(long), sum(map(len, long))))
+    assert sorted(((x.doc_id, x.n_passages, x.passage_bytes) for x in got), key=str) == sorted(want, key=str)
+    assert repeats_and_passages(spark.createDataFrame([], SCHEMA)).count() == 0
