@@ -10,8 +10,8 @@ No list is expanded into all its pairs:
 * equal sets are collapsed to their smallest id before anything else;
 * each list is first compared with its pivot (its smallest member) only, and the
   verified links are contracted to components;
-* then only documents of lists with several components go on, with their whole sets, and only
-  those of different components are paired, since a link inside a component changes nothing.
+* then only documents of lists with several components go on, with their whole sets; long lists are compared with
+  random members first, and only documents of different components are paired, since a link inside a component changes nothing.
 
 Of a sketch of m values that must have ``need`` in common with any partner's, the
 m - need + 1 that the fewest sketches hold are enough for a list, as both sides share
@@ -40,6 +40,9 @@ from ._text import NOT_SPACE, chunks, gram_hashes, lists, mix, word_hashes
 
 SKETCH = 192
 MISS = 1e-10
+#: Pairs of a list for each of its members up to which they are compared at once; how often lists are compared with one member at most, and the share of components
+#: that must be left at most for another time.
+PAIRS, TURNS, GAIN = 8, 12, 0.8
 
 
 def needs(k: int, percent: int, miss: float = MISS) -> list[int]:
@@ -171,14 +174,38 @@ def near_duplicates(
         own = W.partitionBy("doc_id")
         ranked = whole.withColumns({"r": F.row_number().over(own.orderBy("c", "v")), "h": F.count("*").over(own)})
         prefix = written(ranked.filter(F.col("r") <= F.col("h") - F.ceil(F.col("n") * percent / 100) + 1), "prefix")
+        # Lists are compared with one random member first, again and again while lists are long and that joins a good part of
+        # what is apart: in a large group of copies, where the first pivot was like few, it soon joins nearly all.
+        links, tested, apart = found, stars.select("a", "b"), None
+        for turn in range(TURNS):
+            lists = prefix.groupBy("v").agg(F.count("*").alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1")
+            load = lists.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).alias("pairs")).first()
+            live = prefix.join(lists.select("v"), "v", "left_semi")
+            last, apart = apart, live.select("g").distinct().count() if load["pairs"] > PAIRS * load["rows"] else 0
+            if not apart or (last and apart > last * GAIN):
+                break
+            pivot = live.groupBy("v").agg(F.min_by(F.struct("doc_id", "n", "g"), F.xxhash64("doc_id", "v", F.lit(turn))).alias("p"))
+            near = live.join(pivot, "v").filter(F.col("g") != F.col("p.g"))
+            ends = F.struct(F.col("doc_id").alias("id"), F.col("n").alias("n")), F.struct(F.col("p.doc_id").alias("id"), F.col("p.n").alias("n"))
+            near = near.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+            near = written(near.filter(_sizes_fit(percent)).distinct().join(tested, ["a", "b"], "left_anti"), "near")
+            tested = tested.unionByName(near.select("a", "b"))
+            links = links.unionByName(_verified(full, reps, near, percent, k))
+            groups = connected_components(links)
+            own = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("to"))
+            prefix = written(prefix.join(own, "doc_id", "left").withColumn("g", F.coalesce("to", "g")).drop("to"), "prefix")
+
+        # All pairs that are still in different components.
+        live = prefix.groupBy("v").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("v")
+        prefix = prefix.join(live, "v", "left_semi")
         side = lambda end: prefix.select("v", F.col("doc_id").alias(end), *(F.col(c).alias(c + end) for c in ("n", "g", "r", "h")))
         # A pair needs this overlap; what comes before a common value in both prefixes is not common.
         both = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
         far = (F.col("ra") <= F.col("ha") - both + 1) & (F.col("rb") <= F.col("hb") - both + 1)
         pairs = side("a").alias("x").join(side("b").alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b")) & _sizes_fit(percent) & far)
         across = written(pairs.select("a", "b", "na", "nb").distinct(), "across")
-        more = _verified(full, reps, across.join(stars, ["a", "b"], "left_anti"), percent, k)
-        groups = connected_components(found.unionByName(more))
+        more = _verified(full, reps, across.join(tested, ["a", "b"], "left_anti"), percent, k)
+        groups = connected_components(links.unionByName(more))
 
         member = reps.select("one", "two", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         member = member.select("one", "two", "n", F.coalesce("component", "rep").alias("component"))
