@@ -83,9 +83,9 @@ class Machine:
         return self.bias + _sums(self.weight[at], sizes) + pairs, total
 
     def known(self, buckets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.place[buckets]
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        return at[at >= 0], np.bincount(row[at >= 0], minlength=len(sizes))
+        use = (self.place >= 0)[buckets]
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        return self.place[buckets[use]], np.bincount(row[use], minlength=len(sizes))
 
     def scores(self, buckets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         raw, _ = self.raw(*self.known(buckets, sizes))
@@ -95,7 +95,7 @@ class Machine:
 def _uneven(labels: np.ndarray, row: np.ndarray, buckets: np.ndarray, bits: int, least: int) -> np.ndarray:
     """By bucket, how many deviations the labels of the documents that hold it are off those of all; 0 for buckets of fewer than ``least``."""
     df = np.bincount(buckets, minlength=1 << bits)
-    with_label = np.bincount(buckets, weights=labels[row], minlength=1 << bits)
+    with_label = np.bincount(buckets[(labels > 0)[row]], minlength=1 << bits)
     share = max(labels.sum(), 1.0) / max(len(labels), 1)
     z = (with_label - df * share) / np.sqrt(df * max(share * (1 - share), 0) + 1e-9)
     return np.where(df >= least, z, 0.0)
@@ -104,16 +104,18 @@ def _uneven(labels: np.ndarray, row: np.ndarray, buckets: np.ndarray, bits: int,
 def train(labels: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, bits: int = BITS, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-4, least: int = 3, uneven: float = 3.5) -> Machine:
     """Fit a machine to documents given by their distinct buckets, in ``steps`` steps of 128 documents (or all, if fewer) whatever their number."""
     labels = labels.astype(float)
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     n, share = len(labels), max(labels.sum(), 1.0) / max(len(labels), 1)
     z = _uneven(labels, row, buckets, bits, least)
     use = np.abs(z) >= uneven
     # Among the documents that hold a term of the label, what tells the two kinds apart.
     held = np.zeros(n, bool)
-    held[row[z[buckets] >= uneven]] = True
+    held[row[(z >= uneven)[buckets]]] = True
     if held.any():
         inside = held[row]
-        use |= np.abs(_uneven(labels[held], (np.cumsum(held) - 1)[row[inside]], buckets[inside], bits, least)) >= uneven
+        use |= np.abs(_uneven(labels[held], (np.cumsum(held, dtype=np.int32) - 1)[row[inside]], buckets[inside], bits, least)) >= uneven
+        del inside
+    del row
     place = np.full(1 << bits, -1, np.int64)
     place[use] = np.arange(use.sum())
     fm = Machine(place, factors)
@@ -174,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     key = np.array([int(mix(np.array([np.add.reduce(mix(flat[a : a + n].astype(np.uint64))) + np.uint64(y)], np.uint64))[0]) for y, a, n in zip(label, first, sizes, strict=True)], np.uint64)
     order = np.argsort(key, kind="stable")
     flat = np.concatenate([flat[first[i] : first[i] + sizes[i]] for i in order])
+    del table, own
     return train((label[order] > 0).astype(float), flat, sizes[order], bits)
 
 
