@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ANY_INSERTION = "INS_any"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` in the expression once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_frameshift_token(token: Column) -> Column:
     """``fsX``, also after one anchor letter."""
     return F.upper(token).rlike(r"^.?FSX$")
@@ -48,10 +55,17 @@ def normalize_mutation(raw: Column, reference: Column, position: Column) -> Colu
 
     A mutation with a place is residues, number, perhaps a second place, perhaps a word, and residues.
     """
-    s, ref = F.upper(F.trim(raw)), F.upper(F.trim(F.coalesce(reference, F.lit(""))))
-    part = lambda i: F.regexp_extract(s, r"^([A-Z*]*)(\d+)(_[A-Z*]\d+)?(INS|DEL|STOP|FRAMESHIFT|FS)?(.*)$", i)
-    left, place, second, word, rest = (part(i) for i in range(1, 6))
-    right = F.concat(word, rest)
+    return let(F.upper(F.trim(raw)), lambda s: _placed(s, F.upper(F.trim(F.coalesce(reference, F.lit("")))), position))
+
+
+def _placed(s: Column, ref: Column, position: Column) -> Column:
+    pattern = r"^([A-Z*]*)(\d+)(_[A-Z*]\d+)?(INS|DEL|STOP|FRAMESHIFT|FS)?(.*)$"
+    part = lambda i: F.regexp_extract(s, pattern, i)
+    parts = F.struct(*(part(i).alias(n) for i, n in enumerate(("left", "place", "second", "word", "rest"), 1)), F.concat(part(4), part(5)).alias("right"))
+    return let(parts, lambda p: _canonical(s, ref, position, *(p[n] for n in ("left", "place", "second", "word", "rest", "right"))))
+
+
+def _canonical(s: Column, ref: Column, position: Column, left: Column, place: Column, second: Column, word: Column, rest: Column, right: Column) -> Column:
     anchored, single = F.length(left) == 1, second == ""
     resized = (right.startswith(left) & (F.length(right) > F.length(left))) | (left.startswith(right) & (F.length(left) > F.length(right)))
     placed = (
@@ -65,11 +79,12 @@ def normalize_mutation(raw: Column, reference: Column, position: Column) -> Colu
         .when(single & (left != "") & (right != "") & resized, F.concat(left, place, right))
     )
     bare = F.trim(F.substring(s, 4, 2**30))
-    return (
-        F.when(s.rlike(r"^(FS|FRAMESHIFT)"), "fsX")
-        .when(placed.isNotNull(), placed)
-        .when(s.isin("*", "STOP"), "*")
-        .when(s == "INS_ANY", ANY_INSERTION)
+    alone = (
+        F.when(s.isin("*", "STOP"), "*").when(s == "INS_ANY", ANY_INSERTION)
         .when(s.startswith("INS") & (bare != "") & (ref != "") & position.isNotNull(), F.concat(ref, position.cast("string"), ref, bare))
         .when(s.rlike("^[A-WYZ]$"), s)
     )
+    return (
+        F.when(s.rlike(r"^(FS|FRAMESHIFT)"), "fsX")
+        .otherwise(F.coalesce(placed, alone))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import consensus, formulas
+from . import consensus, formulas, knowledge_import
 from .catalog import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "consensus", "formulas"]
+__all__ = ["ORACLE", "QUERIES", "consensus", "formulas", "knowledge_import"]
