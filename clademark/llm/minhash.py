@@ -42,7 +42,7 @@ SKETCH = 192
 MISS = 1e-10
 #: Pairs of a list for each of its members up to which they are compared at once; how often lists are compared with one member at most, and the share of components
 #: that must be left at most for another time.
-PAIRS, TURNS, GAIN = 8, 12, 0.8
+PAIRS, TURNS, GAIN = 100, 12, 0.8
 
 
 def needs(k: int, percent: int, miss: float = MISS) -> list[int]:
