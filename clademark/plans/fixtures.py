@@ -31,6 +31,11 @@ SQL = {
     "nested": "SELECT formula_id, formula_id % 5 AS project_id, drug, shape, a, b, c, CASE shape WHEN 0 THEN b || ' and ' || a WHEN 1 THEN a || ' OR ' || b WHEN 2 THEN a || ' XOR (' || c || ' XOR ' || b || ')' WHEN 3 THEN 'NOT ' || b || ' AND ' || a WHEN 4 THEN '(' || a || ' OR ' || b || ') AND ' || c WHEN 5 THEN 'NOT ' || a || ' AND NOT (' || b || ')' WHEN 6 THEN a || ' XOR ' || b WHEN 7 THEN a || ' AND ' || b || ' OR ' || c WHEN 8 THEN '(' || a || ' AND ' || b ELSE '(' || a || ' OR ' || c || ') OR ' || b END AS expression FROM (SELECT p_partkey AS formula_id, 'drug' || CAST(p_partkey % 7 AS VARCHAR(9)) AS drug, CAST(floor(p_partkey / 7) % 10 AS INT) AS shape, 'r' || CAST(p_partkey AS VARCHAR(9)) AS a, 'r' || CAST(p_partkey + 100 AS VARCHAR(9)) AS b, 'r' || CAST(p_partkey + 7 AS VARCHAR(9)) AS c FROM {part})",
     "kb_features": "SELECT s_suppkey AS feature_id, 'g' || CAST(s_suppkey AS VARCHAR(9)) AS name, 'lt' || CAST(s_suppkey % 7 AS VARCHAR(9)) AS locus_tag, CASE WHEN s_suppkey % 3 = 0 THEN 'g' || CAST(s_suppkey + 1 AS VARCHAR(9)) ELSE 'p' || CAST(s_suppkey AS VARCHAR(9)) END AS protein_id, '' AS protein, 'ref' || CAST(s_suppkey % 4 AS VARCHAR(9)) AS reference_name, 'acc' || CAST(s_suppkey % 4 AS VARCHAR(9)) || '.1' AS accession, substr('ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWY', CAST(s_suppkey % 20 AS INT) + 1, 45) AS aa_sequence FROM {supplier}",
     "raw_rules": "SELECT row_no, file, kind, feature, reference_identifier, position, CASE WHEN kind = 10 THEN '' ELSE reference END AS reference, CASE kind WHEN 0 THEN 'A' WHEN 1 THEN lower(substr('CDEFG', CAST(row_no % 5 AS INT) + 1, 1)) WHEN 2 THEN reference || position || 'fs' WHEN 3 THEN 'stop' WHEN 4 THEN 'INS_any' WHEN 5 THEN reference || position || reference || 'GG' WHEN 6 THEN reference || CAST(CAST(position AS INT) + 3 AS VARCHAR(9)) || reference || 'GG' WHEN 7 THEN reference || 'KW' || position || reference WHEN 8 THEN 'del' WHEN 9 THEN 'B' WHEN 10 THEN 'L' WHEN 11 THEN reference || 'Y' || position || 'B' WHEN 12 THEN reference || position || 'BW' ELSE '' END AS mutation, member_id FROM (SELECT p_partkey AS row_no, p_partkey % 3 AS file, CAST(p_partkey % 14 AS INT) AS kind, CASE p_partkey % 4 WHEN 0 THEN 'g' || CAST(1 + p_partkey % 12 AS VARCHAR(9)) WHEN 1 THEN 'lt' || CAST(p_partkey % 9 AS VARCHAR(9)) WHEN 2 THEN 'p' || CAST(1 + p_partkey % 12 AS VARCHAR(9)) ELSE ' g' || CAST(1 + p_partkey % 10 AS VARCHAR(9)) END AS feature, CASE p_partkey % 5 WHEN 0 THEN 'ref' || CAST(p_partkey % 4 AS VARCHAR(9)) WHEN 1 THEN 'acc' || CAST(p_partkey % 4 AS VARCHAR(9)) || '.1' ELSE '' END AS reference_identifier, CAST(p_size AS VARCHAR(9)) AS position, substr('ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWY', CAST((1 + p_partkey % 12) % 20 + p_size - CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE 1 END AS INT) + 1, 1) AS reference, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'm' || CAST(p_partkey % 120 AS VARCHAR(9)) END AS member_id FROM {part})",
+    "links": "SELECT l_partkey AS rule_id, l_suppkey AS publication_id, l_orderkey * 10 + l_linenumber AS link_id FROM {lineitem}",
+    "pubs": "SELECT s_suppkey AS publication_id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '10.1/' || CAST(s_suppkey % 40 AS VARCHAR(9)) END AS doi, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR(9)) END AS pmid FROM {supplier}",
+    "settings": "SELECT p_partkey % 20 AS project_id, CASE p_partkey % 3 WHEN 0 THEN 'by_score' WHEN 1 THEN 'by_ic50' ELSE 'by_fold_ic50' END AS method, CASE WHEN p_size % 4 = 0 THEN 'acc' || CAST(p_size % 3 AS VARCHAR(9)) || '.' || CAST(p_partkey % 2 AS VARCHAR(9)) END AS reference, CASE WHEN p_size % 2 = 0 THEN 'Drug' || CAST(p_size % 5 AS VARCHAR(9)) END AS drug, CASE p_partkey % 4 WHEN 0 THEN 'susceptible' WHEN 1 THEN 'Intermediate' WHEN 2 THEN 'resistant' ELSE 'odd' END AS label, CAST(p_size % 11 AS DOUBLE) - 1 + CASE WHEN p_partkey % 13 = 0 THEN 0.5 ELSE 0 END AS value FROM {part}",
+    "reads": "SELECT l_orderkey % 5 AS run_id, 'chr' || CAST(l_suppkey % 3 AS VARCHAR(9)) AS chrom, 'q' || CAST(l_orderkey AS VARCHAR(9)) AS qname, CASE l_linenumber WHEN 3 THEN 1024 WHEN 4 THEN 256 ELSE 0 END AS flag, CAST(l_partkey % 40 AS BIGINT) AS pos, CAST(l_quantity AS INT) AS mapq, substr('ACGTTGCAACGTGGTCCAAT', CAST(l_partkey % 8 AS INT) + 1, 12) AS seq, l_linenumber = 2 AS gap FROM {lineitem}",
+    "places": "SELECT s_suppkey % 5 AS run_id, 'chr' || CAST(s_suppkey % 3 AS VARCHAR(9)) AS chrom, s_suppkey AS codon, CASE WHEN s_suppkey % 2 = 0 THEN '-' ELSE '+' END AS strand, s_suppkey % 45 AS p1, s_suppkey % 45 + 1 + s_suppkey % 2 AS p2 FROM {supplier}",
 }
 TABLES = ("supplier", "lineitem", "part", "orders", "events")
 

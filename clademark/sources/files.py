@@ -41,21 +41,24 @@ def vcf_contigs(calls: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, paths) -> DataFrame:
-    """Records with the id from the header's first word; upper case, U as T, N at the end removed (S-3)."""
-    x = spark.read.option("lineSep", ">").text(paths).filter(F.trim("value") != "")
+    """Records with the id from the header's first word; upper case, U as T, N at the end removed (S-3). Of an id that comes again the last record of the last file stays."""
+    x = spark.read.option("lineSep", ">").text(paths).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")).filter(F.trim("value") != "")
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", ""))
-    return x.select(F.split(F.trim(head), r"\s+")[0].alias("id"), F.regexp_replace(F.translate(seq, "U", "T"), "N+$", "").alias("sequence"))
+    x = x.select(F.split(F.trim(head), r"\s+")[0].alias("id"), F.regexp_replace(F.translate(seq, "U", "T"), "N+$", "").alias("sequence"), "at")
+    return x.groupBy("id").agg(F.max_by("sequence", "at").alias("sequence"))
 
 
 def read_alignments(spark: SparkSession, paths) -> DataFrame:
-    """PAF rows with a ``cg:Z:`` tag (S-8)."""
-    x = spark.read.text(paths)
+    """PAF rows with a ``cg:Z:`` tag, the first primary one for each query and feature (S-8)."""
+    x = spark.read.text(paths).withColumn("at", F.monotonically_increasing_id())
     f = F.split("value", "\t")
     names = ["query", "query_length", "query_start", "query_end", "strand", "feature", "feature_length", "feature_start", "feature_end", "matches", "block"]
     kinds = {n: "string" for n in ("query", "strand", "feature")}
-    x = x.select("value", *[F.get(f, F.lit(i)).try_cast(kinds.get(n, "int")).alias(n) for i, n in enumerate(names)])
-    return x.select(*names, F.try_divide("matches", "block").alias("identity"), F.regexp_extract("value", r"\tcg:Z:([0-9MIDNSHP=X]+)", 1).alias("cigar"))
+    x = x.filter(~F.col("value").rlike(r"\ttp:A:[Ss](\t|$)")).select("value", "at", *[F.get(f, F.lit(i)).try_cast(kinds.get(n, "int")).alias(n) for i, n in enumerate(names)])
+    x = x.select("at", *names, F.try_divide("matches", "block").alias("identity"), F.regexp_extract("value", r"\tcg:Z:([0-9MIDNSHP=X]+)", 1).alias("cigar"))
+    first = x.groupBy("query", "feature").agg(F.min(F.struct("at", *[c for c in x.columns if c not in ("at", "query", "feature")])).alias("r"))
+    return first.select("query", "feature", "r.*").drop("at").select(*names, "identity", "cigar")
 
 
 def read_sam(spark: SparkSession, paths) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,10 @@ def submissions_per_minute(events: DataFrame, by: str = "user_id", delay: str =
 def start_ingest(spark: SparkSession, folder: str, profile: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, files_per_trigger: int = 100):
     """Profile new text files of a folder as they come and append the results (R-1). A file is read whole in one batch.
 
-    A batch writes to a folder of its own number, so that a repeated batch replaces what it wrote before.
+    A batch writes to a folder of its stream and number, so that a repeated batch replaces what it wrote before and nothing else: the stream's name comes
+    from the checkpoint, with which the numbers begin anew.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder).select("value", F.col("_metadata.file_path").alias("path"))
-    write = lambda batch, number: profile(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    write = lambda batch, number: profile(batch).write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={number}")
     return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
