@@ -7,24 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from .coverage import merge_codon_gaps
-from .liftover import cigar_ops
+from .liftover import cds_to_genomic, cigar_ops
 
 _OPS = "array<struct<n:int,op:string>>"
 
 
-def cds_to_genomic(segments: Column, strand: Column, cds: Column) -> Column:
-    """Genomic place of a coding position: ``segments`` (``start, end``, ascending) are walked in coding order; null outside."""
-    ordered = F.when(strand == "-", F.reverse(segments)).otherwise(segments)
-
-    def step(s: Column, seg: Column) -> Column:
-        n = seg["end"] - seg["start"]
-        at = F.when(strand == "-", seg["end"] - 1 - s["left"]).otherwise(seg["start"] + s["left"])
-        here = s["at"].isNull() & (s["left"] >= 0) & (s["left"] < n)
-        return F.struct((s["left"] - n).alias("left"), F.when(here, at).otherwise(s["at"]).cast("long").alias("at"))
-
-    return F.aggregate(ordered, F.struct(cds.cast("long").alias("left"), F.lit(None).cast("long").alias("at")), step, lambda s: s["at"])
-
-
 def junctions(segments: Column, strand: Column) -> Column:
     """Coding positions at which the second and later exons begin."""
     sizes = F.transform(F.when(strand == "-", F.reverse(segments)).otherwise(segments), lambda x: (x["end"] - x["start"]).cast("long"))

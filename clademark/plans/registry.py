@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import consensus, formulas, knowledge, knowledge_import
+from . import consensus, formulas, knowledge, knowledge_import, upkeep
 from .catalog import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "consensus", "formulas", "knowledge", "knowledge_import"]
+__all__ = ["ORACLE", "QUERIES", "consensus", "formulas", "knowledge", "knowledge_import", "upkeep"]
