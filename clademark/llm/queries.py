@@ -81,6 +81,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE: dict[str, str] = {
+    "op1_minhash": r"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS set FROM w),
+        same AS MATERIALIZED (SELECT set, min(doc_id) AS rep, len(set) AS n FROM s WHERE len(set) > 0 GROUP BY set),
+        g AS MATERIALIZED (SELECT rep, n, unnest(set) AS g FROM same),
+        pairs AS MATERIALIZED (SELECT x.rep AS a, y.rep AS b, x.n AS na, y.n AS nb, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.rep <> y.rep AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 75 GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * i >= 75 * (na + nb - i)),
+        low(node, c) AS (SELECT rep, rep FROM same UNION SELECT l.b, low.c FROM low JOIN links l ON l.a = low.node AND low.c < l.b),
+        comp AS (SELECT node, min(c) AS c FROM low GROUP BY node)
+        SELECT s.doc_id, len(s.set) AS n_shingles, coalesce(comp.c, s.doc_id) AS component_id, s.doc_id = coalesce(comp.c, s.doc_id) AS kept
+        FROM s LEFT JOIN same ON s.set = same.set LEFT JOIN comp ON comp.node = same.rep""",
+    "op6_decontaminate": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS MATERIALIZED (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS g FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS j FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM iw),
+        dw AS MATERIALIZED (SELECT doc_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d JOIN sizes ON len(w) >= n)),
+        hit AS MATERIALIZED (SELECT doc_id, j, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(j, j + n)) AS p FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_vectors": r"""
+        WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        good AS MATERIALIZED (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v
+            WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND len(x.u) = len(y.u) AND x.vec_id <> y.vec_id WHERE list_dot_product(x.u, y.u) >= 0.93),
+        low(node, c) AS (SELECT vec_id, vec_id FROM good UNION SELECT l.b, low.c FROM low JOIN links l ON l.a = low.node AND low.c < l.b),
+        comp AS (SELECT node, min(c) AS c FROM low GROUP BY node), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(comp.c, v.vec_id) AS component_id, v.vec_id = coalesce(comp.c, v.vec_id) AS kept FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN comp ON comp.node = v.vec_id""",
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, upper(sha1(coalesce(html, ''))) AS x FROM pages),
+        d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            CAST(CAST('0x' || substr(x, CAST(i * 5 + 1 AS INT), 5) AS BIGINT) // CAST(pow(32, 3 - j) AS BIGINT) % 32 AS INT) + 1, 1)), '')), '') AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
     # The tables name no canonical address and no redirect, so that components hold one page each.
     "op9_urls": r"""
         WITH rules(rhost, rpath, decision) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),

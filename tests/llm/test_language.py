@@ -56,3 +56,16 @@ def test_odd_rows(spark):
     none = language.fit(empty)
     assert language.predict(empty, none).count() == 0
     assert {x.lang_pred for x in language.predict(spark.createDataFrame(odd, SCHEMA), none).collect()} == {"und"}
+
+
+def test_the_network_equals_filters_one_by_one():
+    net = language.Network(["a", "b"], seed=5)
+    row = np.random.default_rng(2).integers(0, 256, language.WINDOW)
+    best = []
+    for w in language.WIDTHS:
+        for f in range(language.FILTERS):
+            best.append(max(sum(float(net.p["e"][row[t + i]] @ net.p[f"w{w}"][i][:, f]) for i in range(w)) for t in range(language.WINDOW - w + 1)))
+    hidden = np.maximum(np.array(best) + net.p["b"], 0)
+    raw = hidden @ net.p["o"] + net.p["c"]
+    want = raw - np.log(np.exp(raw).sum())
+    assert np.allclose(language.log_probabilities(net.tables(), row[None].astype(np.uint8))[0], want, atol=1e-3)
