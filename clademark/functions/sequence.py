@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 GENETIC_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = {"".join(c): a for c, a in zip(product("TCAG", repeat=3), GENETIC_CODE, strict=True)}
 
+# IUPAC nucleotide letters and the bases they stand for.
+IUPAC = {
+    "A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC",
+    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT",
+}
+
 # Phenotype labels and their ranks; 0 is unknown, -1 contradictory.
 PHENOTYPE_RANKS = {
     "susceptible": 1, "sensitive": 1, "normal inhibition": 1, "ni": 1, "normal": 1,
@@ -30,9 +36,23 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*map(F.lit, chain.from_iterable(table.items()))), key)
 
 
+def _ambiguous(c: Column) -> Column:
+    """Amino acid of a codon with IUPAC letters: of all codons that it stands for, if it is the same."""
+    options = lambda i: F.split(F.coalesce(_lookup(IUPAC, F.substring(c, i, 1)), F.lit("")), "")
+    each = F.flatten(F.transform(options(1), lambda a: F.flatten(F.transform(options(2), lambda b: F.transform(options(3), lambda d: _lookup(CODONS, F.concat(a, b, d)))))))
+    seen = F.array_join(F.array_sort(F.array_distinct(each)), "")
+    # Letters for either of two amino acids.
+    return F.when(F.length(seen) == 1, seen).when(seen == "DN", "B").when(seen == "EQ", "Z").when(seen == "IL", "J").otherwise("X")
+
+
 def translate_codon(codon: Column) -> Column:
-    """Amino acid, ``*`` for a stop, ``?`` for what is no codon (F-1)."""
-    return F.coalesce(_lookup(CODONS, F.upper(codon)), F.lit("?"))
+    """Amino acid, ``*`` for a stop, ``-`` for three gaps, ``?`` for what is no codon (F-1).
+
+    A codon with ambiguous letters is the amino acid of all that it stands for, ``B``, ``Z`` or ``J`` for two that have a letter, else ``X``.
+    """
+    c = F.upper(codon)
+    letters = "".join(IUPAC)
+    return F.coalesce(_lookup(CODONS, c), F.when(c == "---", "-").when(c.rlike(f"^[{letters}]{{3}}$"), _ambiguous(c)).otherwise("?"))
 
 
 def translate_seq(seq: Column) -> Column:
@@ -119,13 +139,6 @@ def codon_position(cds: Column, codon_start: Column) -> Column:
     return F.pmod(cds - codon_start, F.lit(3)).cast("int")
 
 
-# IUPAC nucleotide letters and the bases they stand for.
-IUPAC = {
-    "A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC",
-    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT",
-}
-
-
 def iupac_alts(ref: Column, query: Column) -> Column:
     """Bases a letter stands for, but for the reference, sorted, each with its share of all of them (F-13)."""
     options = F.split(F.coalesce(_lookup(IUPAC, F.upper(query)), F.upper(query)), "")

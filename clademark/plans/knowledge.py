@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import knowledge, reads, tables
 from . import fixtures
-from .catalog import ORACLE, QUERIES, W_ANN, W_HITS, annotations, hits, query, r6
+from .catalog import _AA, ORACLE, QUERIES, W_ANN, W_HITS, annotations, hits, query, r6
 from .fixtures import fixture
 from .formulas import _compiled
 
@@ -170,3 +170,17 @@ def a3_observed_states(spark, d):
     r = fixture(spark, d, "reads").withColumn("cigar", F.when(F.col("gap"), "6M100N6M").otherwise("12M")).drop("gap")
     p = fixture(spark, d, "places").select("run_id", "chrom", "codon", "strand", F.array("p1", "p2").alias("at"))
     return r6(reads.observed_states(r, p, min_depth=5), "freq")
+
+
+@query(f"""WITH r AS ({fixtures.oracle('rules')}), f AS ({fixtures.oracle('feature')}), s AS (SELECT feature_id, CAST(unnest(range(20)) AS INT) AS bin FROM f), g AS (SELECT feature_id, CAST(floor(position / 10) AS INT) AS bin, {_R} AS rank, count(DISTINCT (position, mutation)) AS n FROM r GROUP BY ALL),
+ m AS (SELECT feature_id, bin, arg_max(rank, (n, CASE WHEN rank = -1 THEN 1.5 ELSE rank END)) AS dominant FROM g GROUP BY ALL), o AS (SELECT * FROM g JOIN m USING (feature_id, bin)) SELECT feature_id, bin, rank, coalesce(n, 0) AS n, dominant FROM s FULL JOIN o USING (feature_id, bin)""")
+def a24_histogram_by_rank(spark, d):
+    return tables.position_histogram_by_rank(fixture(spark, d, "rules"), fixture(spark, d, "feature"))
+
+
+@query(f"WITH c AS (SELECT l_orderkey, l_linenumber, substr('ACGTRYKN', CAST(l_partkey % 8 AS INT) + 1, 1) AS a, substr('ACGTN', CAST(l_suppkey % 5 AS INT) + 1, 1) AS b, substr('TCAGRYSWKMBDHVN', CAST(l_orderkey % 15 AS INT) + 1, 1) AS c FROM lineitem), i(letter, bases) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in S.IUPAC.items())}), e AS (SELECT l_orderkey, l_linenumber, c.a || c.b || c.c AS codon, unnest(string_split(x.bases, '')) AS a, y.bases AS yb, z.bases AS zb FROM c JOIN i x ON c.a = x.letter JOIN i y ON c.b = y.letter JOIN i z ON c.c = z.letter), e2 AS (SELECT l_orderkey, l_linenumber, codon, a, unnest(string_split(yb, '')) AS b, zb FROM e), e3 AS (SELECT l_orderkey, l_linenumber, codon, a || b || unnest(string_split(zb, '')) AS t FROM e2), aa AS (SELECT l_orderkey, l_linenumber, codon, string_agg(DISTINCT {_AA('t')}, '' ORDER BY {_AA('t')}) AS s FROM e3 GROUP BY ALL) SELECT l_orderkey, l_linenumber, codon, CASE WHEN length(s) = 1 THEN s WHEN s = 'DN' THEN 'B' WHEN s = 'EQ' THEN 'Z' WHEN s = 'IL' THEN 'J' ELSE 'X' END AS aa FROM aa")
+def f1_translate_codon(spark, d):
+    pick = lambda text, c: F.substring(F.lit(text), (F.col(c) % len(text)).cast("int") + 1, F.lit(1))
+    codon = F.concat(pick("ACGTRYKN", "l_partkey"), pick("ACGTN", "l_suppkey"), pick("TCAGRYSWKMBDHVN", "l_orderkey"))
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", codon.alias("codon"))
+    return x.withColumn("aa", S.translate_codon(F.col("codon"))).distinct()

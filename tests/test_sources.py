@@ -136,3 +136,11 @@ def test_a_certain_state_takes_the_place_of_an_impossible_exchange(spark):
 def test_strand_tokens(spark):
     x = spark.createDataFrame([("+",), ("minus",), ("-1",), ("Plus",)], "t string")
     assert [r[0] for r in x.select(knowledge.strand_sign(x.t)).collect()] == ["+", "-", "-", None]
+
+
+def test_translation(spark):
+    from clademark.functions import sequence as S
+
+    want = {"ATG": "M", "taa": "*", "TAR": "*", "GCN": "A", "RAY": "B", "SAR": "Z", "MTT": "J", "TAN": "X", "NNN": "X", "---": "-", "A-G": "?", "AT": "?", "": "?", "ATY": "I"}
+    x = spark.createDataFrame([(k,) for k in want], "c string")
+    assert {r.c: r.a for r in x.select("c", S.translate_codon(x.c).alias("a")).collect()} == want
