@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._store import scratch, written
+from ._store import dropped, scratch, written
 from ._text import NOT_SPACE, chunks, gram_hashes, lists, mix, word_hashes
 
 SKETCH = 192
@@ -144,6 +144,9 @@ def near_duplicates(
         base = written(docs.mapInArrow(_sketch_rows(k, width), "doc_id long, n long, one long, two long, sketch array<long>"), "sketches")
         reps = base.filter("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
         reps = written(reps, "sets")
+        # Sketches are with the sets from here on.
+        wide, base = base, written(base.drop("sketch"), "ids")
+        dropped(wide)
 
         # Inverted lists of retained values that two or more different sets hold.
         entries = reps.select("rep", "n", F.explode("sketch").alias("v"))
@@ -153,6 +156,7 @@ def near_duplicates(
         ranked = held.withColumns({"r": F.row_number().over(own.orderBy("c", "v")), "h": F.count("*").over(own), "need": _need(k, percent, F.col("n"))})
         # The length of the prefix: what a value's rank must not exceed.
         inverted = written(ranked.filter("r <= h - need + 1").select("v", "rep", "n"), "inverted")
+        dropped(held)
 
         # Whole sets of the documents that meet another in a list.
         pivots = inverted.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1").drop("c")
