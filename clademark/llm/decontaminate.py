@@ -3,7 +3,7 @@ r"""Benchmark decontamination by winnowing.
 Training and test texts are cut into words. Of every window of consecutive k-gram
 hashes the smallest is a fingerprint, so that any shared span of ``window`` words has a
 fingerprint in common. Fingerprints of both sides are joined, and every common one is
-extended along its diagonal to the maximal run of equal words; runs of a whole window
+extended on both sides along its diagonal, as far as a window that holds it reaches; runs of a whole window
 or more mark the document's words.
 
 Items shorter than the window are one window themselves. Their grams are as long as the
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import carried, with_row, written
-from ._text import ALNUM, chunks, gram_hashes, word_hashes
+from ._text import ALNUM, chunks, gram_hashes, mix, word_hashes
 
 WINDOW = 13
 GRAM = 8
@@ -30,6 +30,8 @@ GRAM = 8
 BROADCAST_WORDS = 1_000_000
 #: Words of items that one row of the shuffle path holds at most, but for a single longer item; a document that meets more has several rows.
 PART_WORDS = 1_000_000
+#: Pairs of places of a document and of items that are compared at a time.
+PAIRS = 1_000_000
 
 
 def fingerprints(words: np.ndarray, gram: int, window: int) -> np.ndarray:
@@ -43,27 +45,43 @@ def fingerprints(words: np.ndarray, gram: int, window: int) -> np.ndarray:
 
 
 class Items:
-    """Test items by id, with their fingerprints sorted by (gram length, hash)."""
+    """Test items by id, with their fingerprints sorted by (gram length, hash).
+
+    Of fingerprints of one item with the same words around them, as far as a window can reach, one is kept: the others would mark the same words.
+    """
 
     def __init__(self, ids: list, words: list[np.ndarray], gram: int, window: int):
-        self.ids, self.words, self.gram, self.window = ids, words, gram, window
+        self.ids, self.gram, self.window = ids, gram, window
+        self.off = np.cumsum([0, *map(len, words)])
+        self.flat = np.concatenate([*words, np.zeros(0, np.uint64)])
         by: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for n, w in enumerate(words):
             size = min(len(w), window)
             if size:
                 at = fingerprints(w, gram, window) if size == window else np.zeros(1, np.int64)
                 width = gram if size == window else size
-                by.setdefault(width if size < window else 0, []).append((gram_hashes(w, width)[at], np.full(len(at), n), at))
+                by.setdefault(width if size < window else 0, []).append((gram_hashes(w, width)[at], np.full(len(at), n), at + self.off[n]))
         self.tables = {}
         for width, parts in by.items():
             h, n, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if not width:
+                around = n.astype(np.uint64)
+                for i in range(gram - window, window):
+                    inside = (at + i >= self.off[n]) & (at + i < self.off[n + 1])
+                    around = mix(around * np.uint64(3) + np.where(inside, self.flat[np.where(inside, at + i, 0)], np.uint64(i + window)))
+                first = np.sort(np.unique(around, return_index=True)[1])
+                h, n, at = h[first], n[first], at[first]
             order = np.argsort(h, kind="stable")
             self.tables[width] = (h[order], n[order], at[order])
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, list]:
-        """Flags of the words of a document that are in occurring windows, and the ids of the items that have some."""
-        hit, found = np.zeros(len(words), bool), set()
+        """Flags of the words of a document that are in occurring windows, and the ids of the items that have some.
+
+        A fingerprint in common is extended on both sides as far as a window that holds it can reach; every shared window has one.
+        """
+        edge, found = np.zeros(len(words) + 1, np.int64), set()
         for width, (keys, owner, where) in self.tables.items():
+            size = width or self.gram
             if width:
                 at = np.arange(max(0, len(words) - width + 1))
                 hashes = gram_hashes(words, width)
@@ -73,20 +91,34 @@ class Items:
             lo = np.searchsorted(keys, hashes, "left")
             count = np.searchsorted(keys, hashes, "right") - lo
             some = np.flatnonzero(count)
-            if not len(some):
-                continue
-            rows = np.repeat(lo[some], count[some]) + np.arange(count[some].sum()) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-            shift = np.repeat(at[some], count[some]) - where[rows]
-            for n, d in set(zip(owner[rows].tolist(), shift.tolist(), strict=True)):
-                item = self.words[n]
-                a, b = max(0, d), min(len(words), d + len(item))
-                same = np.concatenate(([False], words[a:b] == item[a - d : b - d], [False]))
-                edges = np.flatnonzero(same[1:] != same[:-1])
-                for s, e in zip(edges[::2], edges[1::2], strict=True):
-                    if e - s >= min(len(item), self.window):
-                        hit[a + s : a + e] = True
-                        found.add(self.ids[n])
-        return hit, list(found)
+            # A bounded number of pairs of places at a time.
+            block = np.cumsum(count[some]) // PAIRS
+            for part in np.split(some, np.flatnonzero(np.diff(block)) + 1) if len(some) else ():
+                c = count[part]
+                rows = np.repeat(lo[part], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                a, p, n = np.repeat(at[part], c), where[rows], owner[rows]
+                same = np.ones(len(a), bool)
+                for i in range(size):
+                    same &= words[a + i] == self.flat[p + i]
+                a, p, n = a[same], p[same], n[same]
+                side = 0 if width else self.window - self.gram
+                left = self._reach(words, a, p, n, -1, side)
+                right = self._reach(words, a + size - 1, p + size - 1, n, 1, side)
+                good = left + size + right >= (width or self.window)
+                np.add.at(edge, (a - left)[good], 1)
+                np.add.at(edge, (a + size + right)[good], -1)
+                found.update(np.unique(n[good]).tolist())
+        return np.cumsum(edge[:-1]) > 0, list({self.ids[n] for n in found})
+
+    def _reach(self, words: np.ndarray, a: np.ndarray, p: np.ndarray, n: np.ndarray, step: int, most: int) -> np.ndarray:
+        """How many words beyond places ``a`` and ``p`` are equal, up to ``most``, inside the document and the item."""
+        far, live = np.zeros(len(a), np.int64), np.arange(len(a))
+        for i in range(1, most + 1):
+            x, y = a[live] + i * step, p[live] + i * step
+            live = live[(x >= 0) & (x < len(words)) & (y >= self.off[n[live]]) & (y < self.off[n[live] + 1])]
+            live = live[words[a[live] + i * step] == self.flat[p[live] + i * step]]
+            far[live] = i
+        return far
 
 
 def _row(n_words: int, hit: np.ndarray, found: list) -> tuple[int, int, int, str]:

@@ -1,4 +1,7 @@
-"""The operators as stages over ``documents``: each keeps the table's columns, but for the last."""
+"""The operators as stages over ``documents``: each keeps the table's columns, but for the last.
+
+Every stage gives an empty table for an empty one, decides each row by itself, with or without an id, and reads null texts as empty.
+"""
 
 from __future__ import annotations
 

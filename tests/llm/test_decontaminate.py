@@ -75,3 +75,14 @@ def test_null_ids_on_both_paths(spark):
         assert sorted((tuple(x) for x in contamination(a, b, **options).collect()), key=str) == want
     carried = contamination(a, b, broadcast_words=0, carry=True).filter("contaminated").select("row.*").collect()
     assert sorted(((x.doc_id, x.text) for x in carried), key=str) == sorted(((i, t) for (i, t) in docs if brute([(i, t)], items)[0][5]), key=str)
+
+
+def test_very_long_texts_and_repeated_items(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    long = "x y " * 300000 + item + " z" * 1000
+    docs = [(1, long, ""), (1, long, ""), (2, item, ""), (3, "x " * 13, "")]
+    items = [(7, item, 0), (8, item, 0), (7, item, 0), (9, "x y " * 2000, 0)]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    for words in (10**6, 1):
+        got = sorted((x.doc_id, x.n_words, x.n_hit, x.n_items, x.contaminated) for x in contamination(d, b, broadcast_words=words).collect())
+        assert got == [(1, 601020, 600020, 3, True), (1, 601020, 600020, 3, True), (2, 20, 20, 2, True), (3, 13, 0, 0, False)]

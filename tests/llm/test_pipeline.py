@@ -85,3 +85,13 @@ def test_rows_without_id_and_repeated_rows(spark, tmp_path):
     for i, t in ((803, clean[1]), (500, clean[2]), (None, clean[3]), (601, clean[0])):
         assert (i, t) in pairs[2] and (i, t) in pairs[3]
     assert (None, bad[0]) not in pairs[3] and len(last) == len(cut) - 6
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    at = str(tmp_path)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    df = spark.createDataFrame([], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, at)
+        assert out.count() == 0 and (name == "packing" or out.columns == df.columns)

@@ -62,3 +62,16 @@ def test_blocks_of_addresses_without_a_page(spark):
     more = spark.createDataFrame([("http://gone.org", "http://x.net/es/1"), ("http://e.org/1", "http://e.org/2")], "source string, target string")
     got = judged(spark, pages, more)
     assert [got[i].verdict for i in range(1, 7)] == ["block", "block", "allow", "allow", "block", "allow"] and len(got) == 6
+
+
+def test_repeated_rows_ties_and_very_long_pages(spark):
+    link = "<p>" * 200000 + "<link rel=canonical href='http://example.com/en/b'>"
+    rows = [(1, "http://a.com/x", link), (1, "http://a.com/x", link), (2, "http://b.org/", link), (2, "http://b.org/", None)]
+    p = spark.createDataFrame([(*x, "") for x in rows], PAGES)
+    # Two rules of one length and place: allow wins.
+    r = spark.createDataFrame([(*x, 0) for x in [*urls.RULES, ("example.com", "/en/", "allow")]], RULES)
+    got = sorted((x.page_id, x.verdict, x.rule) for x in urls.judge(p, r).collect())
+    assert got == [(1, "allow", "com/"), (1, "allow", "com/"), (2, "allow", None), (2, "allow", None)]
+    r = spark.createDataFrame([(*x, 0) for x in urls.RULES], RULES)
+    got = sorted((x.page_id, x.verdict, x.rule) for x in urls.judge(p, r).collect())
+    assert got == [(1, "allow", "com/"), (1, "allow", "com/"), (2, "block", None), (2, "block", None)]

@@ -32,3 +32,19 @@ def test_empty(spark, tmp_path):
     warc.write(spark.createDataFrame([], SCHEMA), str(tmp_path / "e"))
     assert warc.captures(warc.records(spark, str(tmp_path / "e"))).count() == 0
     assert "op8_warc" in queries.queries()
+
+
+def test_repeated_rows_and_partitions(spark, tmp_path):
+    rows = [(1, "http://a.org/", "same", "")] * 3 + [(i, f"http://a.org/{i}", f"page {i}", "") for i in range(2, 200)] + [(500 + i, "u", "same", "") for i in range(100)]
+    path = str(tmp_path / "r")
+    warc.write(spark.createDataFrame(rows, SCHEMA), path, file_bytes=300)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = warc.captures(warc.records(spark, path)).select("type", "body", "origin")
+        assert got.filter("type = 'response'").count() == 199 and got.filter("type = 'revisit'").count() == 102
+        assert got.filter("type = 'revisit' and origin.bytes = 4").count() == 102
+        # Captures are dealt to more than one task, whatever they refer to.
+        assert got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).filter(lambda n: n > 0).count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
