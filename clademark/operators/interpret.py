@@ -72,12 +72,6 @@ def assess_drugs(hits: DataFrame, thresholds: dict[str, DataFrame]) -> DataFrame
     return drug.withColumn("m", F.array_min(order)).select("run_id", "drug", "m.rank", "m.label", "m.method_no")
 
 
-def final_call(methods: DataFrame) -> DataFrame:
-    """Strongest assessment over methods, the earlier method on ties (K-6): ``run_id, drug, method_no, rank, label``."""
-    w = W.partitionBy("run_id", "drug").orderBy(strength(F.col("rank")).desc(), "method_no")
-    return methods.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
 def metric_stats(values: DataFrame, value: str) -> DataFrame:
     """Mean and sample deviation; null for fewer than two values or no spread (A-12)."""
     x = values.filter(F.col(value).isNotNull()).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))

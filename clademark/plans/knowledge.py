@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import knowledge, reads, tables
+from ..operators import knowledge, reads, rules, tables
+from ..sources import store
 from . import fixtures
 from .catalog import _AA, ORACLE, QUERIES, W_ANN, W_HITS, annotations, hits, query, r6
 from .fixtures import fixture
@@ -184,3 +186,48 @@ def f1_translate_codon(spark, d):
     codon = F.concat(pick("ACGTRYKN", "l_partkey"), pick("ACGTN", "l_suppkey"), pick("TCAGRYSWKMBDHVN", "l_orderkey"))
     x = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", codon.alias("codon"))
     return x.withColumn("aa", S.translate_codon(F.col("codon"))).distinct()
+
+
+@query(f"WITH r AS ({fixtures.oracle('rules')}), f AS ({fixtures.oracle('feature')}) SELECT feature_id, chrom FROM f WHERE feature_id IN (SELECT feature_id FROM r WHERE drug <> 'drug3')")
+def p3_ruled_features(spark, d):
+    """Features with a rule that is not a part of formulas only (P-3, P-4); one drug stands for such parts here."""
+    parts = fixture(spark, d, "rules").withColumn("drug", F.when(F.col("drug") == "drug3", rules.COMPONENT_DRUG).otherwise(F.col("drug")))
+    return rules.ruled_features(fixture(spark, d, "feature"), rules.public_rules(parts)).select("feature_id", "chrom")
+
+
+@query("SELECT count(DISTINCT n_name) AS n, min(n_name) AS name FROM nation WHERE contains(lower(n_name), 'an')")
+def p8_pick_reference(spark, d):
+    return knowledge.pick_reference(spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name")), " AN ")
+
+
+@query("SELECT p_partkey, p_brand, CASE WHEN p_size > 25 THEN 'x' ELSE '' END AS some FROM part")
+def p10_non_empty_columns(spark, d):
+    x = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", F.lit(" ").alias("blank"), F.lit(None).cast("string").alias("none"), F.when(F.col("p_size") > 25, "x").otherwise("").alias("some"))
+    return tables.non_empty_columns(x)
+
+
+@query("WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN CAST(p_size AS VARCHAR) ELSE upper(p_type) END AS v FROM part) SELECT p_partkey, v, row_number() OVER (ORDER BY TRY_CAST(v AS DOUBLE) NULLS LAST, lower(v), p_partkey) AS place FROM x")
+def o2_mixed_sort(spark, d):
+    k = F.col("p_partkey") % 3
+    x = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(k == 0, F.col("p_brand")).when(k == 1, F.col("p_size").cast("string")).otherwise(F.upper("p_type")).alias("v"))
+    # A table for display, numbered as a whole.
+    return x.withColumn("place", F.row_number().over(W.orderBy(*tables.mixed_sort("v"), "p_partkey")))
+
+
+@query(f"WITH {W_ANN} SELECT run_id, feature_id, codon_pos, coding_alt, max(CAST(depth > 40 AS INT)) OVER (PARTITION BY run_id, feature_id, codon_pos) AS tagged FROM ann")
+def w9_expand_formula_tag(spark, d):
+    x = annotations(spark, d).withColumn("tagged", (F.col("depth") > 40).cast("int"))
+    return tables.expand_formula_tag(x, "tagged").select("run_id", "feature_id", "codon_pos", "coding_alt", "tagged")
+
+
+@query(f"WITH e AS ({fixtures.oracle('effects')}) SELECT * FROM e WHERE drug IN ('drug1', 'drug2')")
+def k8_known_drugs_only(spark, d):
+    return knowledge.known_drugs_only(fixture(spark, d, "effects"), spark.createDataFrame([(" DRUG1",), ("Drug2",)], "name string"))
+
+
+@query("WITH c AS (SELECT o_custkey AS run_id, o_orderpriority AS label FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) SELECT run_id, CASE WHEN run_id % 4 = 0 THEN 'resistant' ELSE label END AS label FROM c")
+def k9_manual_classification(spark, d):
+    """The latest label of each run, with new ones in place of the old."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("run_id"), F.col("o_orderpriority").alias("label"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    now = tables.latest(o, "run_id", "at").select("run_id", "label")
+    return store.upsert(now, now.filter("run_id % 4 = 0").withColumn("label", F.lit("resistant")), ["run_id"])
