@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, minhash, packing, sharding, suffix, toxicity, urls, vectors, warc
+from . import decontaminate, language, lines, minhash, packing, sharding, suffix, toxicity, urls, vectors, warc
 from ._store import new_path
 
 
@@ -76,8 +76,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(warc.page_id_of(F.col("metadata.fields")).alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), warc.page_id_of(F.col("origin.fields")).alias("refers_to"))
 
 
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without lines that many of them hold."""
+    out = lines.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_vectors": op7_vectors, "op8_warc": op8_warc, "op9_urls": op9_urls, "op10_suffix": op10_suffix}
+    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_vectors": op7_vectors, "op8_warc": op8_warc, "op9_urls": op9_urls, "op10_suffix": op10_suffix, "op12_lines": op12_lines}
 
 
 ORACLE: dict[str, str] = {
@@ -129,6 +135,13 @@ ORACLE: dict[str, str] = {
             coalesce(max_by(decision, length(rhost || rpath)), 'allow') AS verdict
         FROM parsed p LEFT JOIN rules r ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)
         GROUP BY ALL""",
+    "op12_lines": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+        k AS MATERIALIZED (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        o AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> last) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (last IS NULL OR doc_id = last), '')) AS kept_sha256
+        FROM k LEFT JOIN o USING (key) GROUP BY doc_id""",
 }
 
 
