@@ -21,7 +21,7 @@ def _trimmed(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_WHITE)))
 
 
-def _lower(x: Column) -> Column:
+def lower_ascii(x: Column) -> Column:
     """A-Z alone to a-z; texts of single bytes by the faster function, which does the same for them."""
     return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, _UPPER, _UPPER.lower()))
 
@@ -33,7 +33,7 @@ def _two(*values: Column) -> list[Column]:
 
 def _marks(text: Column, least_chars: int) -> Column:
     """``h1, h2, pos`` of the lines that are long enough, ordered."""
-    keys = F.transform(_trimmed(text), lambda x: F.when(F.char_length(x) >= least_chars, _lower(x)))
+    keys = F.transform(_trimmed(text), lambda x: F.when(F.char_length(x) >= least_chars, lower_ascii(x)))
     hashed = F.transform(keys, lambda x, i: F.when(x.isNotNull(), F.struct(*(h.alias(n) for h, n in zip(_two(x), ("h1", "h2"), strict=True)), i.alias("pos"))))
     return F.sort_array(F.filter(hashed, lambda m: m.isNotNull()))
 

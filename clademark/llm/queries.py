@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, minhash, packing, sharding, suffix, toxicity, urls, vectors, warc
+from . import decontaminate, divergence, language, lines, minhash, packing, sharding, suffix, toxicity, urls, vectors, warc
 from ._store import new_path
 
 
@@ -82,8 +82,13 @@ def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the terms of the sources of ``documents`` differ."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_vectors": op7_vectors, "op8_warc": op8_warc, "op9_urls": op9_urls, "op10_suffix": op10_suffix, "op12_lines": op12_lines}
+    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_vectors": op7_vectors, "op8_warc": op8_warc, "op9_urls": op9_urls, "op10_suffix": op10_suffix, "op12_lines": op12_lines, "op13_divergence": op13_divergence}
 
 
 ORACLE: dict[str, str] = {
@@ -142,6 +147,22 @@ ORACLE: dict[str, str] = {
         o AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> last) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (last IS NULL OR doc_id = last), '')) AS kept_sha256
         FROM k LEFT JOIN o USING (key) GROUP BY doc_id""",
+    "op13_divergence": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS MATERIALIZED (SELECT doc_id, lang, source, term, count(*) AS n FROM (SELECT doc_id, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+        k AS MATERIALIZED (SELECT lang, term, sum(n) AS total FROM t GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, source, term, sum(n) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+        g AS MATERIALIZED (SELECT lang, source, coalesce(sum(c), 0) AS own_n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        f AS MATERIALIZED (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + 1000000000 * (coalesce(c, 0) + 1) // (own_n + v) AS p, 1 + 1000000000 * (total + 1) // (lang_n + v) AS q
+            FROM g JOIN langs USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM f x JOIN f y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+        parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM f WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM parts QUALIFY part = 'pair' OR rank <= 200""",
 }
 
 
