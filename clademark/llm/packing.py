@@ -76,7 +76,7 @@ def word_starts(code: np.ndarray, off: np.ndarray) -> np.ndarray:
     return start
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: itself if printable, else the next free one from 256."""
     shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
     hidden = [b for b in range(256) if b not in shown]
@@ -94,7 +94,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         # The same vocabulary for single pre-tokens: ids are ranks of merges.
-        letter = _byte_letters()
+        letter = byte_letters()
         ranks = {bytes(letter[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in letter for c in t)}
         self.core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.clear()

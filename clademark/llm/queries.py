@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, language, lines, minhash, packing, sharding, suffix, toxicity, urls, vectors, warc
+from . import alignment, decontaminate, divergence, language, lines, minhash, packing, sharding, suffix, toxicity, urls, vectors, warc
 from ._store import new_path
 
 
@@ -76,6 +76,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(warc.page_id_of(F.col("metadata.fields")).alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), warc.page_id_of(F.col("origin.fields")).alias("refers_to"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over ``documents``, aligned."""
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    out = alignment.align(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_links") == 0, "").otherwise(F.sha2(F.encode("groups", "utf-8"), 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without lines that many of them hold."""
     out = lines.drop_repeated_lines(_table(spark, sf_dir, "documents"))
@@ -88,7 +98,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_vectors": op7_vectors, "op8_warc": op8_warc, "op9_urls": op9_urls, "op10_suffix": op10_suffix, "op12_lines": op12_lines, "op13_divergence": op13_divergence}
+    return {"op1_minhash": op1_minhash, "op2_language": op2_language, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_vectors": op7_vectors, "op8_warc": op8_warc, "op9_urls": op9_urls, "op10_suffix": op10_suffix, "op11_alignment": op11_alignment, "op12_lines": op12_lines, "op13_divergence": op13_divergence}
 
 
 ORACLE: dict[str, str] = {
