@@ -60,7 +60,7 @@ def a18_validate_reference_aa(spark, d):
 
 
 @query(f"""WITH {W_KF}, x AS (SELECT row_no, reference AS ref, mutation AS m, upper(mutation) AS u, CAST(position AS INT) - 1 AS p, kind FROM raw),
- y AS (SELECT *, CASE kind WHEN 2 THEN ref || 'fsX' WHEN 3 THEN '*' WHEN 4 THEN 'INS_any' WHEN 5 THEN ref || 'GG' WHEN 6 THEN ref || 'GG' WHEN 7 THEN substr(m, 1, length(m) - length(CAST(p + 1 AS VARCHAR)) - 1) WHEN 8 THEN NULL WHEN 11 THEN NULL WHEN 12 THEN NULL ELSE u END AS t FROM x)
+ y AS (SELECT *, CASE kind WHEN 2 THEN ref || 'fsX' WHEN 3 THEN '*' WHEN 4 THEN 'INS_any' WHEN 5 THEN ref || 'GG' WHEN 6 THEN ref || 'GG' WHEN 7 THEN substr(m, 1, length(m) - length(CAST(p + 1 AS VARCHAR)) - 1) WHEN 8 THEN NULL WHEN 11 THEN NULL WHEN 12 THEN NULL WHEN 13 THEN NULL ELSE u END AS t FROM x)
  SELECT row_no, CASE WHEN kind = 7 THEN ref ELSE CASE WHEN kind IN (0, 1, 9) THEN u ELSE t END END AS mutation, CASE WHEN ref = '' OR m = '' THEN 'blank' WHEN kind IN (8, 11, 12) THEN 'unrecognised' WHEN kind = 6 THEN 'position conflict' WHEN kind IN (0, 1, 9) AND ref = u THEN 'no change' WHEN kind = 9 AND u = 'B' THEN 'unsupported' END AS problem FROM y""")
 def f9_rule_alleles(spark, d):
     x = _raw(spark, d).withColumn("a", kb_import.rule_alleles(F.col("reference"), F.col("mutation"), F.col("position").cast("int") - 1))

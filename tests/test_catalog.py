@@ -18,7 +18,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 
 
 def norm(x):
-    return sorted((tuple("" if v is None else str(v) for v in r) for r in x))
+    return sorted((tuple("null" if v is None else f"={v}" for v in r) for r in x))
 
 
 @pytest.fixture(scope="session")
