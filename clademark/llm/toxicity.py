@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import carried, with_row
+from ._store import carried, scratch, with_row, written
 from ._text import ALNUM, LOWER, Rolling, chunks, lists, mix, words
 
 BITS = 20
@@ -55,7 +55,10 @@ def _term_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, flat, sizes in terms(batch.column(1), bits):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), lists(flat.astype(np.int32), sizes, pa.int32())], ["of", "terms"])
+                scrambled = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat.astype(np.uint64)), dtype=np.uint64)))
+                stop = np.cumsum(sizes)
+                key = mix(scrambled[stop] - scrambled[stop - sizes]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), lists(flat.astype(np.int32), sizes, pa.int32()), pa.array(key)], ["of", "terms", "key"])
 
     return run
 
@@ -92,31 +95,43 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def _uneven(labels: np.ndarray, row: np.ndarray, buckets: np.ndarray, bits: int, least: int) -> np.ndarray:
-    """By bucket, how many deviations the labels of the documents that hold it are off those of all; 0 for buckets of fewer than ``least``."""
-    df = np.bincount(buckets, minlength=1 << bits)
-    with_label = np.bincount(buckets[(labels > 0)[row]], minlength=1 << bits)
-    share = max(labels.sum(), 1.0) / max(len(labels), 1)
-    z = (with_label - df * share) / np.sqrt(df * max(share * (1 - share), 0) + 1e-9)
-    return np.where(df >= least, z, 0.0)
+def _uneven(counts: DataFrame, bits: int, least: int) -> np.ndarray:
+    """By bucket, how many deviations the labels of the documents that hold it are off those of all; 0 for buckets of fewer than ``least``.
 
+    ``counts``: documents by ``label`` with their ``terms``. One row for each bucket comes to the driver, at most.
+    """
+    positive = F.sum((F.col("label") > 0).cast("long"))
+    n, with_label = counts.agg(F.count("*"), F.coalesce(positive, F.lit(0))).first()
+    each = counts.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), positive.alias("y")).filter(F.col("df") >= least).toArrow()
+    share = max(with_label, 1.0) / max(n, 1)
+    df, y = (each.column(c).to_numpy().astype(float) for c in ("df", "y"))
+    z = np.zeros(1 << bits)
+    z[each.column("term").to_numpy()] = (y - df * share) / np.sqrt(df * max(share * (1 - share), 0) + 1e-9)
+    return z
+
+
+def _filtered(flags: np.ndarray, whole: bool):
+    """Documents of which some term is flagged, if ``whole``; else all with their flagged terms alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(2)
+            sizes, flat = np.diff(own.offsets.to_numpy()), own.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            hit = flags[flat]
+            if whole:
+                yield batch.filter(pa.array(np.bincount(row[hit], minlength=len(sizes)) > 0))
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(flat[hit], np.bincount(row[hit], minlength=len(sizes)), pa.int32())], batch.schema.names)
 
-def train(labels: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, bits: int = BITS, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-4, least: int = 3, uneven: float = 3.5) -> Machine:
-    """Fit a machine to documents given by their distinct buckets, in ``steps`` steps of 128 documents (or all, if fewer) whatever their number."""
+    return run
+
+
+def train(labels: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, use: np.ndarray, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-4) -> Machine:
+    """Fit a machine on the buckets in ``use`` to documents given by their distinct buckets, in ``steps`` steps of 128 documents (or all, if fewer) whatever their number."""
     labels = labels.astype(float)
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     n, share = len(labels), max(labels.sum(), 1.0) / max(len(labels), 1)
-    z = _uneven(labels, row, buckets, bits, least)
-    use = np.abs(z) >= uneven
-    # Among the documents that hold a term of the label, what tells the two kinds apart.
-    held = np.zeros(n, bool)
-    held[row[(z >= uneven)[buckets]]] = True
-    if held.any():
-        inside = held[row]
-        use |= np.abs(_uneven(labels[held], (np.cumsum(held, dtype=np.int32) - 1)[row[inside]], buckets[inside], bits, least)) >= uneven
-        del inside
-    del row
-    place = np.full(1 << bits, -1, np.int64)
+    place = np.full(len(use), -1, np.int64)
     place[use] = np.arange(use.sum())
     fm = Machine(place, factors)
     if not use.any():
@@ -156,28 +171,39 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.expr(f"crc32(cast(cast({doc_id} as string) as binary)) % 3 = 1"), F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> Machine:
-    """Train on at most ``sample`` labelled rows, none of them held out. Rows without label, or with labels that differ, are not used; of an id with several texts one is."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS, least: int = 3, uneven: float = 3.5) -> Machine:
+    """Train on at most ``sample`` labelled rows, none of them held out. Rows without label, or with labels that differ, are not used; of an id with several texts one is.
+
+    Terms of fewer than ``least`` of these rows, or less uneven than ``uneven`` deviations, take no part. They are counted in the tasks: what comes to
+    the driver is bounded by the number of buckets, and the terms that take part by the rows of the sample, however long texts are.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null").filter(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
     known = known.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample).select("doc_id", "label")
     # At most ``sample`` rows of two numbers go to the tasks, and as many lists of terms come back.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
-    found = rows.select(F.struct("doc_id", "label").alias("of"), "text").mapInArrow(_term_rows(bits), "of struct<doc_id:long,label:int>, terms array<int>")
-    table = found.groupBy("of.doc_id").agg(F.min(F.struct("of.label", "terms")).alias("one")).select("one.label", "one.terms").toArrow().combine_chunks()
-    if not table.num_rows:
-        return train(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), bits)
-    own = table.column("terms").combine_chunks()
+    found = rows.select(F.struct("doc_id", "label").alias("of"), "text").mapInArrow(_term_rows(bits), "of struct<doc_id:long,label:int>, terms array<int>, key long")
+    one = found.groupBy("of.doc_id").agg(F.min(F.struct("of.label", "terms", "key")).alias("one"))
+    with scratch(docs.sparkSession):
+        table = written(one.select("one.label", "one.key", "one.terms"), "terms")
+        kind = table.schema
+        z = _uneven(table, bits, least)
+        use = np.abs(z) >= uneven
+        if (z >= uneven).any():
+            # Among the documents that hold a term of the label, what tells the two kinds apart.
+            use |= np.abs(_uneven(table.mapInArrow(_filtered(z >= uneven, True), kind), bits, least)) >= uneven
+        rest = table.mapInArrow(_filtered(use, False), kind).toArrow().combine_chunks()
+    if not rest.num_rows:
+        return train(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), use)
+    own = rest.column("terms").combine_chunks()
     own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
-    sizes = np.diff(own.offsets.to_numpy())
-    label, flat = table.column("label").to_numpy(), own.flatten().to_numpy()
+    sizes, flat = np.diff(own.offsets.to_numpy()), own.flatten().to_numpy()
+    label, key = (rest.column(c).to_numpy() for c in ("label", "key"))
     # The order of rows from executors is not fixed: sort them, so that training repeats.
+    order = np.lexsort((label, key.view(np.uint64)))
     first = np.cumsum(sizes) - sizes
-    key = np.array([int(mix(np.array([np.add.reduce(mix(flat[a : a + n].astype(np.uint64))) + np.uint64(y)], np.uint64))[0]) for y, a, n in zip(label, first, sizes, strict=True)], np.uint64)
-    order = np.argsort(key, kind="stable")
     flat = np.concatenate([flat[first[i] : first[i] + sizes[i]] for i in order])
-    del table, own
-    return train((label[order] > 0).astype(float), flat, sizes[order], bits)
+    return train((label[order] > 0).astype(float), flat, sizes[order], use)
 
 
 def _score_rows(fm: Machine, bits: int):
