@@ -6,7 +6,7 @@ cell c and y within r of x, then d(y, c) <= d(y, own) + 2r by the triangle inequ
 copied to the cells where that holds, and every cell finds all partners of its own vectors alone. A
 cell beyond ``block`` vectors is split into pairs of blocks.
 
-Equal vectors are collapsed to the smallest id with a count first. A task returns, for each of its
+Equal vectors of a label are collapsed to one with its smallest id and a count first. A task returns, for each of its
 vectors, how many it is linked with and a link to the smallest vector that it reaches in the task,
 never all pairs.
 """
@@ -37,12 +37,11 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-_PLACED = "label int, dim int, cell long, home boolean, id long, m long, v array<float>"
+_PLACED = ["label", "dim", "cell", "home", "id", "m", "v"]
 
 
 def _place(radius: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [x.split()[0] for x in _PLACED.split(", ")]
         if not left.num_rows or not right.num_rows:
             cell = np.zeros(left.num_rows, np.int64) - 1
             take, home = np.arange(left.num_rows), np.ones(left.num_rows, bool)
@@ -60,7 +59,7 @@ def _place(radius: float):
                 parts.append((row + lo, ids[at], at == own[row]))
             take, cell, home = (np.concatenate(c) for c in zip(*parts, strict=True))
         rows = left.take(pa.array(take))
-        return pa.table([rows.column("label"), rows.column("dim"), pa.array(cell), pa.array(home), rows.column("id"), rows.column("m"), rows.column("v")], names=names)
+        return pa.table([rows.column("label"), rows.column("dim"), pa.array(cell), pa.array(home), rows.column("id"), rows.column("m"), rows.column("v")], names=_PLACED)
 
     return run
 
@@ -108,13 +107,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Returns ``vec_id, n_links, component_id, kept``, one row per input row: other vectors linked directly, the smallest
     id reachable, and whether that is the row's own. Vectors that are null, empty, all zero or hold null or
     non-finite numbers, and rows without id or label, have no links; without id the component is null and the row is kept. Vectors of different lengths are not
-    linked. A repeated row is a vector of its own with the same id. Other columns are not read.
+    linked. Vectors are known by label and value, ids only name them: a repeated row, or another vector with the same id, is a vector of its own. Labels may be of any type. Other columns are not read.
     """
+    kind = vectors.schema[label_col].dataType.simpleString()
+    # Cosines are of double precision; vectors of floats are moved as such.
+    number = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
     with scratch(vectors.sparkSession) as kept:
-        rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
-        fine = F.expr("id is not null and label is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
+        rows = vectors.select(F.col(id_col).cast("long").alias("named"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{number}>").alias("v"))
+        fine = F.expr("named is not null and label is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
         good = rows.filter(fine).withColumn("dim", F.size("v"))
-        classes = written(good.groupBy("label", "dim", "v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "classes")
+        classes = good.groupBy("label", "dim", "v").agg(F.min("named").alias("named"), F.count("*").alias("m"))
+        classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
         # One row for each label.
         many = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
         sized = classes.join(many, ["label", "dim"])
@@ -126,7 +129,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         salted = sized.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(32)), salts).cast("int")).select("label", "dim", "id", "m", "v", "salt")
         keys = ["label", "dim", "salt"]
         radius = sqrt(2 - 2 * cosine)
-        placed = written(salted.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(_place(radius), _PLACED), "placed")
+        placed = written(salted.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(_place(radius), f"label {kind}, dim int, cell long, home boolean, id long, m long, v array<{number}>"), "placed")
         cells = placed.groupBy("label", "dim", "cell").agg((F.floor(F.count("*") / block) + 1).cast("int").alias("blocks"))
         spread = placed.join(cells, ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(33)), F.col("blocks")).cast("int"))
         each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -136,8 +139,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         found = written(one.unionByName(two).groupBy("label", "dim", "cell", "i", "j").applyInArrow(_join(cosine), "id long, links long, root long"), "found")
         counts = found.groupBy("id").agg(F.sum("links").alias("links"))
         groups = connected_components(found.filter("id != root"), "id", "root")
-        known = classes.join(counts, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-        known = known.select("label", "dim", "v", (F.col("m") - 1 + F.col("links")).alias("links"), F.coalesce("component", "id").alias("component"))
+        known = classes.join(counts, "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        least = known.groupBy("component").agg(F.min("named").alias("least"))
+        known = known.join(least, "component").select("label", "dim", "v", (F.col("m") - 1 + F.col("links")).alias("links"), "least")
         out = rows.withColumn("dim", F.when(fine, F.size("v"))).join(known, ["label", "dim", "v"], "left")
-        out = out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        out = out.select(F.col("named").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "named").alias("component_id"))
         return kept(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "groups")

@@ -5,11 +5,11 @@ from clademark.llm.vectors import near_duplicates
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
 
 
-def brute(rows, cosine=0.93):
+def brute(rows, cosine=0.93, kind=np.float32):
     good = {}
     for n, (i, v, y) in enumerate(rows):
         if i is not None and v and y is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            x = np.array(v, np.float32).astype(float)
+            x = np.array(v, kind).astype(float)
             good[n] = (i, x / np.sqrt(x @ x), y)
     root = {n: n for n in good}
 
@@ -50,5 +50,15 @@ def test_equals_brute_force(spark):
         assert got == want
 
 
+def test_repeated_ids_text_labels_and_doubles(spark):
+    rows = [(1, [1.0, 0.0], "L1"), (1, [1.0, 0.01], "L1"), (2, [1.0, 0.02], "L1"), (3, [0.0, 1.0], "L2"), (1, [0.0, 1.0], "L2"), (1, [0.0, 1.0], "L2"), (4, [0.0, 1.0], "é"), (4, [0.5, 0.5], None)]
+    # A cosine at the bound in double precision that single precision would lose.
+    rows += [(10, [1.0, 0.0, 0.0], "x"), (11, [0.93, (1 - 0.93**2) ** 0.5 - 1e-9, 0.0], "x")]
+    df = spark.createDataFrame([(*x, "") for x in rows], "vec_id long, embedding array<double>, label string, n_links string")
+    got = sorted((tuple(x) for x in near_duplicates(df).collect()), key=str)
+    assert got == brute(rows, kind=float)
+    assert {x[0]: x[1] for x in got}[3] == 2 and {x[0]: x[1] for x in got}[11] == 1
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
