@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, decontaminate, divergence, language, lines, minhash, packing, sharding, suffix, toxicity, urls, vectors, warc
-from ._store import new_path
+from ._store import new_path, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +69,13 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` written to archives and read back."""
-    path = new_path(spark, "warc")
-    warc.write(_table(spark, sf_dir, "pages"), path)
-    got = warc.captures(warc.records(spark, path))
-    size = F.coalesce("origin.bytes", "bytes")
-    return got.select(warc.page_id_of(F.col("metadata.fields")).alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), warc.page_id_of(F.col("origin.fields")).alias("refers_to"))
+    with scratch(spark) as kept:
+        path = new_path(spark, "warc")
+        warc.write(_table(spark, sf_dir, "pages"), path)
+        got = warc.captures(warc.records(spark, path), bodies=False)
+        size = F.coalesce("origin.bytes", "bytes")
+        rows = got.select(warc.page_id_of(F.col("metadata.fields")).alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), warc.page_id_of(F.col("origin.fields")).alias("refers_to"))
+        return kept(rows, "pages")
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,14 +129,16 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(_parse, _RECORDS)
 
 
-def captures(found: DataFrame) -> DataFrame:
+def captures(found: DataFrame, bodies: bool = True) -> DataFrame:
     """One nested row for each response or revisit, with its request and metadata and, of a revisit, what it refers to.
 
     A response's ``bytes`` and ``digest`` are those of the payload that was read; a revisit has no payload, and its header's digest.
-    A capture without request or metadata has null there; of several, one is taken. Records that belong to no response are left out.
+    A capture without request or metadata has null there; of several, one is taken. Records that belong to no response are left out. Without ``bodies`` there is
+    no ``body``, and payloads are measured where they are read and not moved.
     """
     read = F.col("type") == "response"
     main = found.filter("type in ('response', 'revisit')").withColumn("bytes", F.octet_length("body").cast("long")).withColumn("digest", F.when(read, base32_sha1(F.col("body"))).otherwise(F.col("digest")))
+    main = main if bodies else main.drop("body")
     text = F.decode("body", "utf-8")
     of = lambda kind, fields: F.min(F.when(F.col("type") == kind, F.struct("record_id", "date", "head", fields.alias("fields")))).alias(kind)
     parts = found.filter("type in ('request', 'metadata') and concurrent_to is not null").groupBy(F.col("concurrent_to").alias("record_id")).agg(of("request", F.lit(None).cast("string")), of("metadata", text))
@@ -149,7 +151,7 @@ def captures(found: DataFrame) -> DataFrame:
     # Only revisits are joined: responses refer to nothing and stay where they are.
     kind = origin.schema["origin"].dataType
     out = whole.filter(~linked).withColumn("origin", F.lit(None).cast(kind)).unionByName(joined(revisits, origin, ["refers_to"], "c").drop("c"))
-    return out.select("record_id", "type", "uri", "date", "digest", "head", "body", "bytes", "request", "metadata", "origin")
+    return out.select("record_id", "type", "uri", "date", "digest", "head", *["body"] * bodies, "bytes", "request", "metadata", "origin")
 
 
 def page_id_of(fields: Column) -> Column:

@@ -26,6 +26,8 @@ def test_round_trip(spark, tmp_path):
         else:
             assert x.type == "revisit" and x.refers == first[payload] and x.origin.bytes == len(payload) and not x.body
         assert (x.uri is None) == (u is None)
+    thin = warc.captures(warc.records(spark, path), bodies=False)
+    assert "body" not in thin.columns and sorted((x.digest, x.bytes or 0) for x in thin.collect()) == sorted((x.digest, x.bytes or 0) for x in got)
 
 
 def test_empty(spark, tmp_path):
