@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, minhash, packing, suffix, toxicity
-from ._store import scratch, written
+from ._store import carried, dropped, scratch, written
 
 #: Tells rows of a stage apart; ids may be null or repeated.
 KEY = "_row"
@@ -25,13 +25,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id, rows without id last."""
-    keyed = written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    # The row as one column, so that none of its columns can be taken for the number.
+    keyed = written(docs.select(F.monotonically_increasing_id().alias(KEY), *carried(docs)), "keyed")
     with scratch(spark) as kept:
-        groups = minhash.near_duplicates(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id")
+        groups = minhash.near_duplicates(keyed, id_col=KEY, text_col="row.text").select(F.col("doc_id").alias(KEY), "component_id")
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)
-        first = keyed.select("doc_id", KEY).join(groups, KEY).groupBy("component_id").agg(F.min(order).alias("first"))
+        first = keyed.select("row.doc_id", KEY).join(groups, KEY).groupBy("component_id").agg(F.min(order).alias("first"))
         first = kept(first.select(f"first.{KEY}"), "first")
-    return keyed.join(first, KEY, "left_semi").select(docs.columns)
+    return keyed.join(first, KEY, "left_semi").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def chain(spark: SparkSession, docs: DataFrame, sf_dir: str, stages: list) -> DataFrame:
-    """Apply stages one after the other, each to what the one before has written."""
+    """Apply stages one after the other, each to what the one before has written; this is deleted when the next has written its own."""
+    before = None
     for name, stage in stages:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:
+            docs = kept(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs

@@ -95,3 +95,17 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, df, at)
         assert out.count() == 0 and (name == "packing" or out.columns == df.columns)
+
+
+def test_columns_of_any_name_stay_with_their_rows(spark, tmp_path):
+    at = str(tmp_path)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    names = ["_row", "row", "kept", "component_id", "label", "n", "score", "first", "number", "docs"]
+    r = random.Random(2)
+    say = lambda: " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(90))
+    rows = [(i, say(), "en", "s", 0, *(f"{c} {i}" for c in names)) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", `{c}` string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stages.written(stage(spark, docs, at), name)
+        assert sorted(map(tuple, docs.collect())) == rows
