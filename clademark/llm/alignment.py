@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,13 @@ SENT_PAIRS = 4_000_000
 SHARD, FAN, HELD = 1 << 16, 16, 1 << 20
 #: Segments, and bytes of these, that a worker keeps.
 KEPT, KEPT_BYTES = 200_000, 16 << 20
+#: Bytes from which a segment is encoded alone.
+LONG = 2_000
+# Fixed value: what byte-level BPE cuts texts into.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes behind which a space begins a segment, whatever comes before them.
+_ENDS = np.zeros(256, bool)
+_ENDS[0x21:0x7F] = True
 _U = np.uint64
 _WIDTH = 32
 
@@ -54,26 +62,35 @@ def _segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return before[:-1], np.diff(before), held.dictionary_encode()
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
+
+
 class Aligner:
     """Alignments of segments, kept by worker."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
 
         self.path_a = path_a
         letter = byte_letters()
         with open(path_a) as f:
-            spec = json.load(f)
-        vocab = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+            vocab = json.load(f)["model"]["vocab"]
+        ranks = {bytes(letter[c] for c in t): i for t, i in vocab.items() if all(c in letter for c in t)}
+        self.a = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for t, i in vocab.items():
-            self.a_bytes[i] = bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode()
+        for t, i in ranks.items():
+            self.a_bytes[i] = t
         self.b = b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         piece = lambda i: bytes([int(b.id_to_piece(i)[1:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
         self.b_bytes = [piece(i) for i in range(b.get_piece_size())]
         if any(b" " in x.lstrip(b" ") for x in self.b_bytes):
             raise ValueError("pieces with a space inside cross segments")
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # What an id adds to the text of groups: itself and what separates it from the next.
+        self.shown = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"]
         self.clear()
 
     def clear(self) -> None:
@@ -83,52 +100,72 @@ class Aligner:
         self.counts = np.zeros((0, 4), np.int64)
         self.pairs, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def codes(self, segments: pa.Array) -> np.ndarray:
-        """The place of each segment's alignment."""
-        if len(self.known) > KEPT or self.bytes > KEPT_BYTES:
+    def codes(self, segments: pa.Array, texts: bool) -> np.ndarray:
+        """The place of each segment's alignment; with ``texts``, these are made too."""
+        if len(self.known) > KEPT or self.bytes > KEPT_BYTES or (texts and len(self.texts) < len(self.known)):
             self.clear()
         found = segments.to_pylist()
-        self._learn([s for s in found if s not in self.known])
-        return np.array([self.known[s] for s in found], np.int64)
-
-    def _learn(self, new: list[bytes]) -> None:
+        self._learn([s for s in found if s not in self.known], texts)
+        return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+
+    def _ids_a(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, one after the other, and their number. Segments that can be followed by a space go as one text."""
+        alone = [i for i, s in enumerate(new) if not _ENDS[s[-1]] or len(s) > LONG]
+        apart = dict.fromkeys(alone)
+        for i in alone:
+            text = new[i].decode()
+            apart[i] = encoder(self.path_a).encode([text])[0].tolist() if len(text) > LONG else self.a.encode_ordinary(text)
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        size[alone] = 0
+        ids = np.array(self.a.encode_ordinary(b"".join(new if not alone else [s for i, s in enumerate(new) if i not in apart]).decode()), np.int64)
+        cut = np.searchsorted(np.cumsum(self.a_size[ids]), np.cumsum(size), side="right")
+        number = np.diff(cut, prepend=0)
+        if alone:
+            rest, number[alone] = _flat([apart[i] for i in alone])
+            ids = np.insert(ids, np.repeat(cut[alone], number[alone]), rest)
+        return ids, number
+
+    def _learn(self, new: list[bytes], texts: bool) -> None:
         if not new:
             return
         self.known.update((s, len(self.good) + i) for i, s in enumerate(new))
-        self.bytes += sum(map(len, new))
-        ids_a = encoder(self.path_a).encode([s.decode() for s in new])
+        length = np.fromiter(map(len, new), np.int64, len(new))
+        self.bytes += int(length.sum())
+        a, n_a = self._ids_a(new)
         # A lone space ends a text; of an empty text the model would make nothing.
         lone = self.b.piece_to_id("▁")
-        ids_b = [ids if s != b" " else [lone] for s, ids in zip(new, self.b.encode([s[1:].decode() for s in new], num_threads=1), strict=True)]
-        same = lambda ids, table, s: b"".join([table[i] for i in ids]) == s
-        good = np.array([same(b, self.b_bytes, s) and same(a, self.a_bytes, s) for a, b, s in zip(ids_a, ids_b, new, strict=True)])
-        none = np.zeros(0, np.int64)
-        ids_a = [np.asarray(x, np.int64) if g else none for x, g in zip(ids_a, good, strict=True)]
-        ids_b = [np.asarray(x, np.int64) if g else none for x, g in zip(ids_b, good, strict=True)]
-        a, b = np.concatenate(ids_a), np.concatenate(ids_b)
+        b, n_b = _flat([ids if s != b" " else [lone] for s, ids in zip(new, self.b.encode([s[1:].decode() for s in new], num_threads=1), strict=True)])
+        whole = b"".join(new)
+        good = np.ones(len(new), bool)
+        for ids, number, size, table in ((a, n_a, self.a_size, self.a_bytes), (b, n_b, self.b_size, self.b_bytes)):
+            stop = np.concatenate(([0], np.cumsum(number)))
+            good &= np.diff(np.concatenate(([0], np.cumsum(size[ids])))[stop]) == length
+            if not good.all() or b"".join(map(table.__getitem__, ids.tolist())) != whole:
+                good &= np.array([b"".join(map(table.__getitem__, ids[x:y].tolist())) == s for x, y, s in zip(stop[:-1], stop[1:], new, strict=True)])
+        if not good.all():
+            a, b, length = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], np.where(good, length, 0)
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
         # Between two ends of either side lies one piece of text, of one token each: a link.
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        ends = np.union1d(end_a, end_b)
+        marks = np.zeros(int(length.sum()) + 1, np.int8)
+        marks[end_a] = 1
+        marks[end_b] += 2
+        ends = np.flatnonzero(marks)
+        both = np.flatnonzero(marks == 3)
         in_a, in_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        common = np.isin(ends, end_a) & np.isin(ends, end_b)
-        sizes = np.array([len(s) if g else 0 for s, g in zip(new, good, strict=True)])
-        edge = np.searchsorted(ends, np.concatenate(([0], np.cumsum(sizes))), side="right")
-        links = np.diff(edge)
-        groups = np.diff(np.concatenate(([0], np.cumsum(common)))[edge])
+        stop = np.cumsum(length)
+        edge = np.concatenate(([0], np.searchsorted(ends, stop, side="right")))
+        at = np.concatenate(([0], np.searchsorted(both, stop, side="right")))
         self.first = np.concatenate((self.first, len(self.pairs) + edge[:-1]))
         self.pairs = np.concatenate((self.pairs, a[in_a] << _WIDTH | b[in_b]))
-        self.counts = np.concatenate((self.counts, np.column_stack((list(map(len, ids_a)), list(map(len, ids_b)), groups, links))))
+        self.counts = np.concatenate((self.counts, np.column_stack((n_a, n_b, np.diff(at), np.diff(edge)))))
         self.good = np.concatenate((self.good, good))
-        # The text of every group, then of every segment.
-        stop_a, stop_b = in_a[common] + 1, in_b[common] + 1
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        i = j = 0
-        each = []
-        for p, q in zip(stop_a.tolist(), stop_b.tolist(), strict=True):
-            each.append(f"{','.join(text_a[i:p])}|{','.join(text_b[j:q])}")
-            i, j = p, q
-        at = np.concatenate(([0], np.cumsum(groups))).tolist()
-        self.texts += [";".join(each[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
+        if texts:
+            order = np.argsort(np.concatenate((np.searchsorted(both, end_a) * 2, np.searchsorted(both, end_b) * 2 + 1)), kind="stable")
+            shown = np.concatenate((a * 2 + (marks[end_a] == 3), 2 * len(self.a_bytes) + b * 2 + (marks[end_b] == 3)))
+            parts = list(map(self.shown.__getitem__, shown[order].tolist()))
+            stop = np.cumsum(n_a + n_b).tolist()
+            self.texts += ["".join(parts[lo:hi]) for lo, hi in zip([0, *stop[:-1]], stop, strict=True)]
 
     def links(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of ``codes`` each link belongs to, and its pair."""
@@ -146,12 +183,12 @@ def _aligner(*paths: str) -> Aligner:
     return _aligners[paths]
 
 
-def _aligned(column: pa.Array, paths: tuple[str, str]) -> Iterator[tuple]:
+def _aligned(column: pa.Array, paths: tuple[str, str], texts: bool = False) -> Iterator[tuple]:
     """(rows from, to; aligner; row and alignment of each segment of texts that have tokens; distinct alignments, and which of them a segment has)."""
     aligner = _aligner(*paths)
-    for lo, hi, data, off in chunks(column, 4 << 20):
+    for lo, hi, data, off in chunks(column, 2 << 20):
         _, number, held = _segments(data, off)
-        codes = aligner.codes(held.dictionary)
+        codes = aligner.codes(held.dictionary, texts)
         which = held.indices.to_numpy()
         row = np.repeat(np.arange(hi - lo), number)
         bad = np.diff(off) == 0
@@ -179,6 +216,17 @@ def _held(row: np.ndarray, codes: np.ndarray, which: np.ndarray, aligner: Aligne
     return key // max(1, len(distinct)), distinct[key % max(1, len(distinct))], n
 
 
+def _distinct(row: np.ndarray, codes: np.ndarray, which: np.ndarray, aligner: Aligner) -> np.ndarray:
+    """The pairs of each row, once."""
+    m = max(1, len(codes))
+    own = np.sort(row * m + which)
+    own = own[np.diff(own, prepend=-1) > 0]
+    at, pairs = aligner.links(codes[own % m])
+    distinct, code = np.unique(pairs, return_inverse=True)
+    key = np.sort((own // m)[at] * max(1, len(distinct)) + code)
+    return distinct[key[np.diff(key, prepend=-1) > 0] % max(1, len(distinct))]
+
+
 def _pair_rows(paths: tuple[str, str]):
     """Pairs and in how many documents of the task they are, in bounded parts."""
 
@@ -189,7 +237,7 @@ def _pair_rows(paths: tuple[str, str]):
         pairs = docs = np.zeros(0, np.int64)
         for batch in batches:
             for _, _, aligner, row, codes, which in _aligned(batch.column(0), paths):
-                _, got, _ = _held(row, codes, which, aligner)
+                got = _distinct(row, codes, which, aligner)
                 pairs, docs = _summed(np.concatenate((pairs, got)), np.concatenate((docs, np.ones(len(got), np.int64))))
                 if len(pairs) > HELD:
                     yield rows(pairs, docs)
@@ -320,13 +368,15 @@ def _doc_rows(paths: tuple[str, str], shared=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, aligner, row, codes, which in _aligned(batch.column(1), paths):
+            for lo, hi, aligner, row, codes, which in _aligned(batch.column(1), paths, texts=True):
                 n = hi - lo
                 segment = codes[which]
                 edge = np.searchsorted(row, np.arange(n + 1))
                 parts = np.zeros((n, 4), np.int64)
                 np.add.at(parts, row, aligner.counts[segment])
-                texts = [";".join([aligner.texts[s] for s in segment[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                shown = list(map(aligner.texts.__getitem__, segment.tolist()))
+                texts = ["".join(shown[a:b])[:-1] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                del shown
                 columns = [batch.column(0).slice(lo, n), *(pa.array(parts[:, i]) for i in range(4)), pa.array(texts, pa.string())]
                 names = [x.split()[0] for x in _DOC.split(", ")]
                 if shared is None:
