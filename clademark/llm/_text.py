@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +61,13 @@ class Rolling:
         return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n])
 
 
+def released() -> None:
+    """Give freed memory back to the system: workers are used again and again, and what one job has freed would stay theirs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after the other, and the n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -80,6 +89,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    released()
 
 
 def table(ranges: list[tuple[int, int]]) -> np.ndarray:

@@ -26,7 +26,7 @@ END_ID = 0
 #: Tokens that a piece may fall short of its class's length before it is cut, and the shortest piece that is cut off.
 WASTE, LEAST = 24, 32
 #: Distinct pre-token ids kept by a worker; when full, it starts again.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 
 #: Letters, numbers, white space and the rest of the code points that are classified here; a text with others
 #: goes to the tokenizer whole.
