@@ -24,9 +24,12 @@ PHENOTYPE_RANKS = {
     "low-level resistance": 3, "reduced susceptibility": 3, "limited susceptibility": 3,
     "intermediate": 4, "intermediate resistance": 4, "reduced inhibition": 4, "ri": 4,
     "resistant": 5, "high-level resistance": 5, "highly reduced inhibition": 5, "hri": 5,
-    "unknown": 0, "not analysed": 0, "none": 0, "": 0, "contradictory": -1,
+    "unknown": 0, "not analysed": 0, "none": 0, "": 0, "contradictory": -1, "conflicting": -1,
 }
 
+# The label that stands for a rank.
+RANK_LABELS = {1: "susceptible", 2: "potential low-level resistance", 3: "low-level resistance", 4: "intermediate", 5: "resistant", 0: "unknown", -1: "contradictory"}
+
 # Inclusive frequency bins of variant calls and of consensus sequences.
 AF_BINS = {"high": (0.75, 1.0), "intermediate": (0.25, 0.7499), "low": (0.01, 0.2499)}
 AF_BINS_FASTA = {"high": (0.75, 1.0), "intermediate": (0.35, 0.74), "low": (0.01, 0.34)}
@@ -104,6 +107,18 @@ def label_to_rank(label: Column) -> Column:
     return F.coalesce(_lookup(PHENOTYPE_RANKS, F.lower(F.trim(label))), F.lit(0))
 
 
+def rank_to_label(rank: Column) -> Column:
+    """The label that stands for a rank; ``unknown`` for others (F-20)."""
+    return F.coalesce(_lookup(RANK_LABELS, rank.cast("int")), F.lit(RANK_LABELS[0]))
+
+
+def phenotype_label(text: Column) -> Column:
+    """A label as stored: lower case, other words for unknown as ``unknown``, a bare rank from 1 to 5 as its label, blank as ``''``; null if it is none of these (F-20)."""
+    key = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    rank = _lookup(PHENOTYPE_RANKS, key)
+    return F.when(key == "", "").when(rank == 0, RANK_LABELS[0]).when(rank.isNotNull(), key).when(key.rlike(r"^0*[1-5]$"), rank_to_label(key.try_cast("int")))
+
+
 def strength(rank: Column) -> Column:
     """Order of ranks: contradictory lies between 1 and 2, unknown is lowest (K-6)."""
     return F.when(rank == -1, 1.5).otherwise(F.coalesce(rank, F.lit(0)).cast("double"))
@@ -114,6 +129,32 @@ def leading_number(text: Column) -> Column:
     return F.regexp_extract(text, r"^[\s><=~≥≤≈]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
 
 
+def _significant(number: Column) -> Column:
+    """``%g`` in other words: six significant digits without zeros at the end, with an exponent below -4 and from 6."""
+    parts = F.split(F.format_string("%.5e", F.abs(number)), "e")
+    power = F.get(parts, F.lit(1)).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(0)), r"\.", ""), "0+$", "")
+    put = lambda whole, rest: F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = put(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.substring(digits, power + 2, F.lit(6)))
+    other = F.concat(put(F.substring(digits, 1, 1), F.substring(digits, 2, 6)), F.lit("e"), F.get(parts, F.lit(1)))
+    text = F.when((power < -4) | (power >= 6), other).when(power < 0, small).otherwise(large)
+    return F.when(number == 0, "0").otherwise(F.concat(F.when(number < 0, "-").otherwise(""), text))
+
+
+def number_in(text: Column) -> Column:
+    """The first number in a text as it is stored; blank and ``none`` are ``''``, and null is what has no number (F-21, as rules are imported)."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    found = F.regexp_extract(t, r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?", 0).try_cast("double")
+    return F.when((t == "") | (F.lower(t) == "none"), "").when(found.isNotNull(), _significant(found))
+
+
+def number_as_stored(text: Column) -> Column:
+    """A score as it is stored: the whole text must be a number; blank and ``none`` are ``''`` (F-21)."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return F.when((t == "") | (F.lower(t) == "none"), "").when(t.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), _significant(t.try_cast("double")))
+
+
 def number_or_percent(text: Column) -> Column:
     """``12.5%`` is 0.125 (F-18)."""
     t = F.trim(text)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def check_fingerprint(runs: DataFrame, projects: DataFrame) -> DataFrame:
     """Does each run belong to the knowledge base as it is now (J-16)? Adds ``ok``: the run's ``project_uuid`` is blank or that of its project."""
@@ -50,9 +52,5 @@ def species_collisions(matches: DataFrame) -> DataFrame:
 
 
 def feature_index(mutations: DataFrame) -> DataFrame:
-    """Number of each feature in the ordered list of mutations, from 0 (M-3).
-
-    The one task that numbers them holds distinct features of a knowledge base, not their mutations.
-    """
-    x = mutations.select("feature_id").distinct()
-    return x.withColumn("index", F.row_number().over(W.orderBy("feature_id")) - 1)
+    """Number of each feature in the ordered list of mutations, from 0 (M-3)."""
+    return numbered(mutations.select("feature_id").distinct(), ["feature_id"], "index", start=0)

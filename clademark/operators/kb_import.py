@@ -26,11 +26,11 @@ def contradictory_comment(comment: Column, phenotype: Column, clinical: Column)
     return F.when((phenotype == "contradictory") | (clinical == "contradictory"), said).otherwise(comment)
 
 
-def split_anchor_changed(rules: DataFrame) -> DataFrame:
+def split_anchor_changed(rules: DataFrame, by: str | None = None) -> DataFrame:
     """Insertions and deletions that also exchange their anchor, as two rules (F-10).
 
     ``GY50A`` is the exchange ``G`` to ``A`` and the deletion ``GY`` to ``G``; ``G50AW`` the exchange and the insertion ``G`` to ``GW``. The two get the suffixes ``__sub`` and ``__indel``
-    on their ``member_id`` (made from ``row_no`` where there is none). Rows whose place or reference says otherwise stay as they are.
+    on their ``member_id`` (made from ``row_no``, and a hash of ``by`` if given, where there is none). Rows whose place or reference says otherwise stay as they are.
     """
     m = F.upper(_blank("mutation"))
     left, place, right = (F.regexp_extract(m, _WRITTEN, i) for i in (1, 2, 3))
@@ -40,7 +40,8 @@ def split_anchor_changed(rules: DataFrame) -> DataFrame:
     ref = F.upper(_blank("reference"))
     fits = (place != "") & (place.try_cast("long") == _blank("position").try_cast("long")) & ((ref == "") | (ref == left) | (ref == F.substring(left, 1, 1)))
     mixed = F.coalesce(fits & ~word & (F.substring(left, 1, 1) != F.substring(right, 1, 1)) & longer, F.lit(False))
-    name = F.when(_blank("member_id") != "", _blank("member_id")).otherwise(F.concat(F.lit("__auto_anchor_split_row_"), F.col("row_no").cast("string")))
+    # The names of the two parts.
+    name = F.when(_blank("member_id") != "", _blank("member_id")).otherwise(F.concat(F.lit("__auto_anchor_split_row_"), F.col("row_no").cast("string"), *([F.lit("_"), F.substring(F.sha1(F.col(by).cast("string")), 1, 8)] if by else [])))
     row = lambda r, x, i: F.struct(r.alias("reference"), x.alias("mutation"), i.alias("member_id"))
     first = F.substring(left, 1, 1)
     two = F.array(row(first, F.substring(right, 1, 1), F.concat(name, F.lit("__sub"))), row(left, F.concat(first, b), F.concat(name, F.lit("__indel"))))
@@ -59,9 +60,9 @@ def resolve_rule_feature(rules: DataFrame, features: DataFrame) -> DataFrame:
     known = known.groupBy("feature_id", "aa_sequence", "reference_name", "accession", "_key").agg(F.min("_rank").alias("_rank"))
     given = _blank("reference_identifier")
     x = rules.select("row_no", _blank("feature").alias("_key"), given.alias("_given")).join(known, "_key")
-    x = x.filter((F.col("_given") == "") | (F.col("_given") == F.col("reference_name")) | (F.col("_given") == F.col("accession")))
     own = W.partitionBy("row_no")
     x = x.withColumn("_own", F.max((F.col("_rank") == 0).cast("int")).over(own)).filter("_own = 0 or _rank = 0")
+    x = x.filter((F.col("_given") == "") | (F.col("_given") == F.col("reference_name")) | (F.col("_given") == F.col("accession")))
     x = x.groupBy("row_no").agg(F.count_distinct("feature_id").alias("_n"), F.min(F.struct("feature_id", "aa_sequence")).alias("_f"))
     x = rules.join(x, "row_no", "left")
     one = F.col("_n") == 1
@@ -160,27 +161,3 @@ def new_rules_only(rules: DataFrame, stored: DataFrame, key: list[str]) -> DataF
     rest = rules.filter(_blank("member_id") == "").join(stored.select(*key).distinct(), key, "left_anti")
     first = rest.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("row_no"))).filter("_n = 1").drop("_n")
     return named.unionByName(first.select(*named.columns))
-
-
-def prepared_rules(rules: DataFrame, features: DataFrame) -> DataFrame:
-    """All steps up to storage, as a dry run (T-2): every rule row with ``position, reference, mutation`` as stored, ``outcome`` and ``reason``.
-
-    The order of the steps decides the reason: feature, coordinates, residues, alleles, repeated ids. ``outcome`` is ``rule``, ``skip`` or ``error``; an error forbids the import.
-    """
-    x = resolve_rule_feature(split_anchor_changed(rules).withColumnRenamed("row_no", "file_row").withColumn("row_no", F.xxhash64("file_row", "member_id", "reference", "mutation")), features)
-    base = detect_coordinate_base(x)
-    x = validate_reference_aa(x, base).join(F.broadcast(base.select("file", "base")), "file", "left")
-    at = _blank("position").try_cast("int") - F.coalesce("base", F.lit(1))
-    x = x.withColumn("_a", rule_alleles(F.col("reference"), F.col("mutation"), at))
-    x = x.withColumns({"_why": F.coalesce("problem", "skip", F.when(at.isNull(), "no position"), F.col("_a.problem")), "_base": F.col("base").isNull()})
-    x = x.select("file", "file_row", "member_id", "feature_id", F.col("_a.position").alias("position"), F.col("_a.reference").alias("reference"), F.col("_a.mutation").alias("mutation"), "_why", "_base")
-    good = first_definition(x.filter("_why is null").withColumnRenamed("file_row", "row_no"), ["feature_id", "position", "reference", "mutation"]).withColumnRenamed("row_no", "file_row")
-    all_ = good.unionByName(x.filter("_why is not null").withColumn("repeat", F.lit(None).cast("string")))
-    error = F.col("_base") | F.coalesce(F.col("_why").isin("unrecognised", "position conflict", "ambiguous feature"), F.lit(False)) | F.coalesce(F.col("repeat") == "conflict", F.lit(False))
-    reason = F.when(F.col("_base"), "coordinates").otherwise(F.coalesce("_why", F.when(F.col("repeat") == "conflict", "member id conflict")))
-    return all_.withColumns({"reason": reason, "outcome": F.when(error, "error").when(F.col("_why").isNotNull(), "skip").otherwise("rule")}).drop("_why", "_base")
-
-
-def import_report(prepared: DataFrame) -> DataFrame:
-    """Rows of each file by outcome and reason (A-31)."""
-    return prepared.groupBy("file", "outcome", F.coalesce("reason", "repeat", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .ranks import numbered
 
 # Consequences that count as high impact.
 HIGH_IMPACT = ("frameshift", "start_lost", "stop_gained", "stop_loss")
@@ -101,12 +101,8 @@ def publications(rows: DataFrame, column: str = "publication") -> DataFrame:
 
 
 def number_bibliography(cited: DataFrame, key: str = "raw") -> DataFrame:
-    """Publications numbered by first appearance (W-10). ``cited``: ``row_no`` and ``key``.
-
-    A report's bibliography is one list; the one task that numbers it holds distinct publications, not their mentions.
-    """
-    first = cited.groupBy(key).agg(F.min("row_no").alias("first"))
-    return first.withColumn("number", F.row_number().over(W.orderBy("first", key)))
+    """Publications numbered by first appearance (W-10). ``cited``: ``row_no`` and ``key``."""
+    return numbered(cited.groupBy(key).agg(F.min("row_no").alias("first")), ["first", key])
 
 
 def score_histogram(rules: DataFrame, by: list[str]) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import knowledge, reads, rules, tables
+from ..operators import knowledge, ranks, reads, rules, tables
 from ..sources import store
 from . import fixtures
 from .catalog import _AA, ORACLE, QUERIES, W_ANN, W_HITS, annotations, hits, query, r6
@@ -210,8 +209,8 @@ def p10_non_empty_columns(spark, d):
 def o2_mixed_sort(spark, d):
     k = F.col("p_partkey") % 3
     x = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(k == 0, F.col("p_brand")).when(k == 1, F.col("p_size").cast("string")).otherwise(F.upper("p_type")).alias("v"))
-    # A table for display, numbered as a whole.
-    return x.withColumn("place", F.row_number().over(W.orderBy(*tables.mixed_sort("v"), "p_partkey")))
+    keys = x.withColumns({"_number": F.col("v").try_cast("double"), "_text": F.lower("v")}).withColumn("_none", F.col("_number").isNull())
+    return ranks.numbered(keys, ["_none", "_number", "_text", "p_partkey"], "place").drop("_none", "_number", "_text")
 
 
 @query(f"WITH {W_ANN} SELECT run_id, feature_id, codon_pos, coding_alt, max(CAST(depth > 40 AS INT)) OVER (PARTITION BY run_id, feature_id, codon_pos) AS tagged FROM ann")

@@ -28,8 +28,8 @@ def f10_split_anchor_changed(spark, d):
 
 
 W_FEAT = W_KF + """, al AS (SELECT feature_id, aa_sequence, reference_name, accession, name AS key, 0 AS rank FROM kf UNION ALL SELECT feature_id, aa_sequence, reference_name, accession, locus_tag, 1 FROM kf UNION ALL SELECT feature_id, aa_sequence, reference_name, accession, protein_id, 2 FROM kf UNION ALL SELECT feature_id, aa_sequence, reference_name, accession, protein, 3 FROM kf),
- cand AS (SELECT row_no, feature_id, aa_sequence, rank FROM raw JOIN al ON trim(raw.feature) = al.key AND (reference_identifier = '' OR reference_identifier = reference_name OR reference_identifier = accession) WHERE al.key <> ''),
- own AS (SELECT *, min(rank) OVER (PARTITION BY row_no) AS least FROM cand), best AS (SELECT row_no, count(DISTINCT feature_id) AS n, min(feature_id) AS fid, arg_min(aa_sequence, feature_id) AS seq FROM own WHERE least > 0 OR rank = 0 GROUP BY row_no),
+ cand AS (SELECT row_no, feature_id, aa_sequence, rank, reference_identifier, reference_name, accession FROM raw JOIN al ON trim(raw.feature) = al.key WHERE al.key <> ''),
+ own AS (SELECT * FROM (SELECT *, min(rank) OVER (PARTITION BY row_no) AS least FROM cand) WHERE reference_identifier = '' OR reference_identifier = reference_name OR reference_identifier = accession), best AS (SELECT row_no, count(DISTINCT feature_id) AS n, min(feature_id) AS fid, arg_min(aa_sequence, feature_id) AS seq FROM own WHERE least > 0 OR rank = 0 GROUP BY row_no),
  res AS (SELECT raw.*, CASE WHEN n = 1 THEN fid END AS feature_id, CASE WHEN n = 1 THEN seq END AS aa_sequence, CASE WHEN n IS NULL THEN 'unknown feature' WHEN n > 1 THEN 'ambiguous feature' END AS problem FROM raw LEFT JOIN best USING (row_no))"""
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..operators.ranks import numbered
 
 
 def read_vcf(spark: SparkSession, paths) -> DataFrame:
@@ -80,6 +81,18 @@ def read_tsv(spark: SparkSession, path, aliases: dict[str, list[str]] | None = N
     return x
 
 
+def read_numbered_tsv(spark: SparkSession, path: str, aliases: dict[str, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
+    """(rows as ``read_tsv`` gives them with ``file`` and ``row_no``, the columns as written) of one file; the header is row 1."""
+    x = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    written = [c.strip() for c in x.columns]
+    plain = x.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) for c in x.columns], F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    for name, others in (aliases or {}).items():
+        have = [c for c in [name, *others] if c in plain.columns]
+        if have:
+            plain = plain.withColumn(name, F.coalesce(*map(F.col, have))).drop(*[c for c in have if c != name])
+    return numbered(plain, ["_block", "_id"], "row_no", start=2).drop("_block", "_id").withColumn("file", F.lit(path)), written
+
+
 def write_clean_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated text; tabs and line breaks in values become blanks (S-15)."""
     clean = [F.regexp_replace(F.col(c), r"[\t\r\n]+", " ").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]

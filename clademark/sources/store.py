@@ -5,20 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Tables
+
 RUN = "run_id string, project_id string, project_uuid string, sample_name string, reference_name string, created_at timestamp, status string"
 VARIANT = "feature_id long, codon_pos int, ref_aa string, alt_aa string, consequence string, af double"
 GAP = "feature_id long, codon_start int, codon_end int"
 DOCUMENT = f"run struct<{RUN.replace(' ', ':').replace(',:', ',')}>, variant_result array<struct<{VARIANT.replace(' ', ':').replace(',:', ',')}>>, coverage_gap array<struct<{GAP.replace(' ', ':').replace(',:', ',')}>>"
 
 
-def save_runs(rows: DataFrame, path: str) -> None:
-    """Append rows of runs to a table that is partitioned by project (S-12)."""
-    rows.write.mode("append").partitionBy("project_id").parquet(path)
+#: Tables of stored runs; all have ``run_id`` and are dealt by it.
+RUN_TABLES = ("run", "variant_result", "coverage_gap", "formula_rule_hit", "profiled_feature", "sample_classification")
+
+
+def save_runs(tables: Tables, batch: str, rows: dict[str, DataFrame]) -> int:
+    """Add runs to the tables of ``RUN_TABLES`` in one step (S-12); the version that has them.
+
+    Rows of a run that is there already are replaced, in all tables; a ``batch`` that is there changes nothing.
+    """
+    unknown = [n for n in rows if n not in RUN_TABLES]
+    if unknown or "run" not in rows:
+        raise ValueError(f"no tables of runs: {', '.join(unknown)}" if unknown else "the runs themselves are missing")
+    ids = rows["run"].select("run_id")
+    return tables.commit(batch, {n: (df, "run_id") for n, df in rows.items()}, {n: (ids, ["run_id"]) for n in RUN_TABLES})
+
+
+def delete_runs(tables: Tables, batch: str, ids: DataFrame) -> int:
+    """Delete runs from all their tables in one step (T-3). Only buckets that hold them are written anew; readers of older versions keep theirs."""
+    return tables.commit(batch, {}, {n: (ids, ["run_id"]) for n in RUN_TABLES})
 
 
-def delete_runs(table: DataFrame, ids: DataFrame, path: str) -> None:
-    """Write a new version of a table without some runs (T-3); ``path`` must be a new folder, as the old one is read meanwhile."""
-    table.join(ids.select("run_id").distinct(), "run_id", "left_anti").write.partitionBy("project_id").parquet(path)
+def put_rows(tables: Tables, batch: str, name: str, rows: DataFrame, key: list[str], by: str = "run_id") -> int:
+    """Rows in place of those of the same key (T-3, K-9)."""
+    return tables.commit(batch, {name: (rows, by)}, {name: (rows, key)})
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:

@@ -4,8 +4,8 @@ import datetime
 
 import pytest
 
-from clademark.operators import codon, combined, formulas, knowledge
-from clademark.sources import files, store
+from clademark.operators import codon, combined, formulas, knowledge, ranks
+from clademark.sources import files, store, versions
 from clademark.streaming import ingest
 
 
@@ -64,14 +64,56 @@ def test_result_documents_round_trip(spark, tmp_path):
     key = lambda df: sorted(tuple(x) for x in df.collect())
     assert key(back.select(runs.columns)) == key(runs) and key(v.select(variants.columns)) == key(variants) and key(g.select(gaps.columns)) == key(gaps)
     assert sorted(x.lacks for x in rejected.collect()) == ["coverage_gap", "run"]
-    store.save_runs(runs, str(tmp_path / "runs"))
-    table = spark.read.parquet(str(tmp_path / "runs"))
-    store.delete_runs(table, spark.createDataFrame([("r1",)], "run_id string"), str(tmp_path / "later"))
-    assert [x.run_id for x in store.list_runs(spark.read.parquet(str(tmp_path / "later"))).collect()] == ["r2"]
     new = runs.filter("run_id = 'r2'").selectExpr("run_id", "project_id", "project_uuid", "sample_name", "reference_name", "created_at", "'failed' as status")
     assert key(store.upsert(runs, new, ["run_id"]).select("run_id", "status")) == [("r1", "done"), ("r2", "failed")]
 
 
+def test_stored_runs_change_in_steps(spark, tmp_path):
+    when = datetime.datetime(2026, 1, 2, 3, 4, 5)
+    run = lambda *ids: spark.createDataFrame([(i, "p", "u", "s", "ref", when, status) for i, status in ids], store.RUN)
+    variant = lambda *rows: spark.createDataFrame(rows, f"run_id string, {store.VARIANT}")
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    tables = versions.Tables(spark, str(tmp_path / "runs"), buckets=4)
+    one = {"run": run(("r1", "done"), ("r2", "done"), ("r3", "done")), "variant_result": variant(*[(r, n, 5, "K", "E", "missense", 0.5) for r in ("r1", "r2") for n in range(3)])}
+    assert store.save_runs(tables, "a", one) == 1 and store.save_runs(tables, "a", one) == 1
+    assert tables.read("run").count() == 3 and tables.read("variant_result").count() == 6
+    # A run that comes again takes the place of the old one in every table.
+    assert store.save_runs(tables, "b", {"run": run(("r2", "again"))}) == 2
+    before = tables.read("run")
+    assert [x.status for x in before.filter("run_id = 'r2'").collect()] == ["again"] and {x.run_id for x in tables.read("variant_result").collect()} == {"r1"}
+    assert store.delete_runs(tables, "c", spark.createDataFrame([("r1",), ("none",)], "run_id string")) == 3
+    assert tables.read("variant_result").count() == 0 and [x.run_id for x in store.list_runs(tables.read("run")).collect()] == ["r2", "r3"]
+    # Who opened a version reads it to the end.
+    assert sorted(x.run_id for x in before.collect()) == ["r1", "r2", "r3"] and tables.read("run", 1).count() == 3
+    # A new column is null where rows lack it; keys may be null.
+    labels = spark.createDataFrame([("r3", "resistant"), (None, "x")], "run_id string, label string")
+    store.put_rows(tables, "d", "sample_classification", labels, ["run_id"])
+    store.put_rows(tables, "e", "sample_classification", spark.createDataFrame([(None, "y", 1)], "run_id string, label string, n int"), ["run_id"])
+    assert sorted(str(tuple(x)) for x in tables.read("sample_classification").collect()) == ["('r3', 'resistant', None)", "(None, 'y', 1)"]
+    assert tables.vacuum() > 0 and tables.read("run").count() == 2 and tables.version() == 5
+    with pytest.raises(ValueError):
+        store.save_runs(tables, "f", {"variant_result": one["variant_result"]})
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    tables = versions.Tables(spark, str(tmp_path / "t"), buckets=2)
+    row = spark.createDataFrame([(1,)], "n int")
+    tables.commit("a", {"t": (row, "n")})
+    late = tables.manifest() | {"version": 1}
+    with pytest.raises(versions.Conflict):
+        tables._place(late)
+    assert tables.version() == 1 and tables.read("t").count() == 1 and tables.read("t", 1).schema == row.schema
+
+
+def test_numbers_over_ranges(spark):
+    rows = [(i * 7919 % 1000, None if i % 50 == 0 else f"t{i % 9}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(5)
+    for n in (1, 4, 30):
+        got = {(x.t, x.k): x.number for x in ranks.numbered(df, ["t", "k"], start=0, ranges=n).collect()}
+        assert [got[t, k] for t, k in sorted(((t, k) for k, t in rows), key=lambda x: (x[0] is not None, x[0] or "", x[1]))] == list(range(1000))
+    assert ranks.numbered(df.limit(0), ["k"]).count() == 0
+
+
 def test_ingest_takes_each_file_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     put(tmp_path / "in", "a.txt", "one\ntwo\n")
