@@ -215,11 +215,11 @@ def load_rule_files(tables: Tables, batch: str, rule_paths: list[str], formula_p
     """
     features, old, old_formulas = tables.read("feature"), _stored(tables, "rule"), _stored(tables, "formula")
     raw, headers = read_rule_files(tables, rule_paths, RULE_ALIASES)
-    rules = checked_rules(raw, features, old, require_ids).persist()
+    rules = tables.staged(checked_rules(raw, features, old, require_ids))
     formulas = None
     if formula_paths:
         raw, more = read_rule_files(tables, formula_paths, FORMULA_ALIASES)
-        headers, formulas = headers.unionByName(more), checked_formulas(raw, rules, old, old_formulas).persist()
+        headers, formulas = headers.unionByName(more), tables.staged(checked_formulas(raw, rules, old, old_formulas))
     found = import_report(rules, formulas, headers)
     if dry_run or not found.filter("severity = 'error'").isEmpty() or batch in tables.manifest()["batches"]:
         return found

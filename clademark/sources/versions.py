@@ -130,6 +130,12 @@ class Tables:
                 raise Conflict(f"version {manifest['version']} of {self.root} is there already") from None
             raise
 
+    def staged(self, rows: DataFrame) -> DataFrame:
+        """Rows written beside the tables and read back, for several steps of one change; they stay until ``vacuum``."""
+        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def vacuum(self, keep: int = 1) -> int:
         """Delete data that none of the last ``keep`` versions has; the number of folders. Not while others write."""
         last = self.version()
@@ -139,6 +145,7 @@ class Tables:
             for part in self._list(f"data/{folder}"):
                 if part.startswith(_BUCKET) and f"data/{folder}/{part}" not in used:
                     gone += self._fs.delete(self._path(f"{self.root}/data/{folder}/{part}"), True)
+        self._fs.delete(self._path(f"{self.root}/staging"), True)
         for name in self._list("versions"):
             if name.endswith(".json") and int(name[:-5]) <= last - keep:
                 self._fs.delete(self._path(f"{self.root}/versions/{name}"), False)
