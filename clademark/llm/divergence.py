@@ -131,14 +131,16 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     docs = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"), F.monotonically_increasing_id().alias("number"))
     with scratch(docs.sparkSession) as kept:
         counted = docs.mapInArrow(_count_rows, _COUNTS).groupBy("lang", "source", "chunk")
-        counts = written(counted.agg(*(F.sum(c).alias(c) for c in ("n", "docs")), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "chunks")
+        # Where the number of documents decides, their row numbers are not needed.
+        few = lambda c: F.when(F.sum("docs") < least, c)
+        counts = written(counted.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), few(F.min("lo")).alias("lo"), few(F.max("hi")).alias("hi")), "chunks")
         real = counts.filter(F.col("chunk").isNotNull())
         distinct = real.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
         split = written(distinct.select("chunk", "rows", F.regexp_extract_all(lower_ascii(F.col("chunk")), F.lit(TERM), F.lit(0)).alias("terms")), "terms")
         each = joined(real, split, ["chunk"], "rows").select("lang", "source", F.explode("terms").alias("term"), "n", "docs", "lo", "hi")
         each = written(each, "each")
 
-        seen = F.when(F.col("docs") < least, F.array("lo", "hi")).otherwise(F.array(F.lit(None).cast("long")))
+        seen = F.when(F.col("lo").isNull() | (F.col("lo") == F.col("hi")), F.array("lo")).otherwise(F.array("lo", "hi"))
         held = each.select("lang", "term", "docs", F.explode(seen).alias("row")).groupBy("lang", "term")
         often = held.agg(F.max("docs").alias("docs"), F.count_distinct("row").alias("rows")).filter(F.greatest("docs", "rows") >= least).select("lang", "term")
         by_source = each.groupBy("lang", "source", "term").agg(F.sum("n").alias("c"))
