@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import liftover, report, rules
+from ..operators import liftover, report, result_table, rules
 from . import fixtures
 from .catalog import ORACLE, QUERIES, W_ANN, W_BEST, W_FLAT, annotations, hits, query, r6
 from .fixtures import fixture
@@ -141,3 +141,42 @@ def f13_iupac_alts(spark, d):
 @query("SELECT p_partkey, sha256(upper(p_name)) AS checksum FROM part")
 def f27_sequence_checksum(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", S.sequence_checksum(F.col("p_name")).alias("checksum"))
+
+
+W_TABLE = W_FIRED.replace(", fired AS", ", fired0 AS") + """, fired AS (SELECT run_id, formula_id, freq FROM flat),
+ ra AS (SELECT run_id, feature_id, codon_pos, codon_offset, coding_alt, ref_aa, alt_aa, consequence, max(af) AS af, max(depth) AS depth, CAST(feature_id * 10000 + codon_pos * 20 + codon_offset * 5 + instr('ACGT', coding_alt) AS BIGINT) AS ann_id FROM ann GROUP BY ALL),
+ rb AS (SELECT run_id, ann_id, 'ref' || CAST(feature_id % 3 AS VARCHAR) AS reference, 'g' || CAST(feature_id AS VARCHAR) AS gene, CAST(codon_pos * 3 + codon_offset + 1 AS VARCHAR) || coding_alt AS nt_mut, '' AS nt_mut_user, CASE WHEN feature_id % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(round(af, 3) AS VARCHAR) AS aa_frequency, CAST(depth AS VARCHAR) AS depth, consequence,
+  CASE WHEN round(af, 3) > 0 THEN ref_aa || CAST(codon_pos + 1 AS VARCHAR) || alt_aa || ' | ' || CAST(round(af, 3) AS VARCHAR) || ' | lower bound' ELSE '' END AS aa_effects, feature_id, codon_pos, alt_aa FROM ra),
+ rh AS (SELECT DISTINCT a.run_id, a.ann_id, h.rule_id, h.drug, h.phenotype, CAST(h.ic50 AS VARCHAR) AS ic50, CAST(h.score AS VARCHAR) AS score FROM rb a JOIN rules r ON a.feature_id = r.feature_id AND a.codon_pos = r.position AND a.alt_aa = r.mutation JOIN (SELECT DISTINCT run_id, feature_id, codon_pos, alt_aa, rule_id, drug, phenotype, ic50, score FROM hits) h ON h.run_id = a.run_id AND h.feature_id = a.feature_id AND h.codon_pos = a.codon_pos AND h.alt_aa = a.alt_aa AND h.rule_id = r.rule_id WHERE a.consequence <> 'synonymous'),
+ rm AS (SELECT f.run_id, f.formula_id, f.freq, m.rule_id AS member_no, min(rh.ann_id) AS ann_id FROM fired f JOIN members m USING (formula_id) JOIN rh ON rh.run_id = f.run_id AND rh.rule_id = m.rule_id GROUP BY ALL),
+ re AS (SELECT DISTINCT b.run_id, b.ann_id, e.drug FROM rb b JOIN effects e ON b.feature_id = e.feature_id AND b.consequence = e.effect)"""
+
+
+@query(f"""WITH {W_TABLE.replace(", fired0 AS", f", effects AS ({fixtures.oracle('effects')}), fired0 AS")},
+ rp AS (SELECT DISTINCT run_id, ann_id, TRUE AS part FROM rm)
+ SELECT b.run_id, 1 AS branch, reference, gene, nt_mut, nt_mut_user, strand, aa_frequency, b.depth, consequence, aa_effects, CASE WHEN rule_id IS NOT NULL OR part THEN 'yes' ELSE 'no' END AS in_database, CASE WHEN rule_id IS NOT NULL THEN 'single' WHEN part THEN 'formula-member' ELSE 'n/a' END AS rule_type,
+  coalesce(drug, 'n/a') AS drug, coalesce(phenotype, 'n/a') AS phenotype, CASE WHEN rule_id IS NULL THEN 'n/a' ELSE '' END AS clinical_phenotype, coalesce(ic50, '') AS ic50, '' AS fold_ic50, coalesce(score, '') AS score, CASE WHEN rule_id IS NULL THEN 'n/a' ELSE 'kb' END AS source, '' AS publications FROM rb b LEFT JOIN rh USING (run_id, ann_id) LEFT JOIN rp USING (run_id, ann_id)
+ UNION ALL SELECT rm.run_id, 2, arg_min(reference, (member_no, rm.ann_id)), string_agg(gene, ';' ORDER BY member_no, rm.ann_id), string_agg(nt_mut, ';' ORDER BY member_no, rm.ann_id), string_agg(nt_mut_user, ';' ORDER BY member_no, rm.ann_id), string_agg(strand, ';' ORDER BY member_no, rm.ann_id), CAST(round(freq, 3) AS VARCHAR), '',
+  string_agg(consequence, ';' ORDER BY member_no, rm.ann_id), string_agg(aa_effects, ';' ORDER BY member_no, rm.ann_id), 'yes', 'formula', 'fdrug' || CAST(formula_id % 4 AS VARCHAR), 'resistant', '', '', '', '', 'kb', '' FROM rm JOIN rb ON rb.run_id = rm.run_id AND rb.ann_id = rm.ann_id GROUP BY rm.run_id, formula_id, freq
+ UNION ALL SELECT run_id, 3, reference, gene, nt_mut, nt_mut_user, strand, aa_frequency, depth, consequence, aa_effects, 'yes', 'single', drug, 'resistant', 'n/a', '', '', '', 'Metadata algorithm', '' FROM re JOIN rb USING (run_id, ann_id)""")
+def s14_result_rows(spark, d):
+    """Rows of the result table of all runs: annotations with their rules, fired formulas with their members, effects."""
+    place = ["run_id", "feature_id", "codon_pos", "codon_offset", "coding_alt", "ref_aa", "alt_aa", "consequence"]
+    a = annotations(spark, d).groupBy(*place).agg(F.max("af").alias("af"), F.max("depth").alias("depth"))
+    a = a.withColumn("ann_id", F.col("feature_id") * 10000 + F.col("codon_pos") * 20 + F.col("codon_offset") * 5 + F.instr(F.lit("ACGT"), F.col("coding_alt")))
+    text = lambda c: F.col(c).cast("string")
+    said = result_table.aa_effects(F.col("ref_aa"), F.col("codon_pos"), F.col("alt_aa"), F.col("af"), F.lit(None).cast("array<struct<alt_aa:string,lower:double,accepted:boolean>>"), F.lit(False))
+    nt = F.concat((F.col("codon_pos") * 3 + F.col("codon_offset") + 1).cast("string"), F.col("coding_alt"))
+    strand = F.when(F.col("feature_id") % 2 == 0, "+").otherwise("-")
+    gene, ref = F.concat(F.lit("g"), text("feature_id")), F.concat(F.lit("ref"), (F.col("feature_id") % 3).cast("string"))
+    ann = a.select("run_id", "ann_id", ref.alias("reference"), gene.alias("gene"), nt.alias("nt_mut"), F.lit("").alias("nt_mut_user"), strand.alias("strand"), "af", "depth", "consequence", said.alias("aa_effects"))
+    found = rules.match_rules(a, fixture(spark, d, "rules"))
+    blank = [F.lit("").alias(c) for c in ("clinical_phenotype", "fold_ic50", "publications")]
+    hit = found.select("run_id", "ann_id", "rule_id", "drug", "phenotype", text("ic50").alias("ic50"), text("score").alias("score"), F.lit("kb").alias("source"), *blank)
+    member = fixture(spark, d, "members")
+    fired = rules.evaluate_flat_formulas(rules.best_member_evidence(hits(spark, d)), member, fixture(spark, d, "formulas"), eps=1e-6)
+    drug = F.concat(F.lit("fdrug"), (F.col("formula_id") % 4).cast("string"))
+    formulas = fired.select("run_id", "formula_id", F.col("freq").alias("lower"), drug.alias("drug"), F.lit("resistant").alias("phenotype"), F.lit("kb").alias("source"), *blank, F.lit("").alias("ic50"), F.lit("").alias("score"))
+    parts = fired.select("run_id", "formula_id").join(member, "formula_id").join(hit.select("run_id", "rule_id", "ann_id"), ["run_id", "rule_id"]).groupBy("run_id", "formula_id", F.col("rule_id").alias("member_no")).agg(F.min("ann_id").alias("ann_id"))
+    effect = a.join(fixture(spark, d, "effects"), ["feature_id"]).filter("consequence = effect").select("run_id", "ann_id", "drug").distinct()
+    return result_table.result_rows(ann, hit, formulas, parts, effect).drop("first", "second")
