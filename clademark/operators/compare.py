@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .intervals import interval_join
 from .rules import COMPONENT_DRUG
 
-#: Samples that go to every task at most.
-SENT = 100_000
+#: Samples whose cells of a mutation are held in one row, and samples that go to every task at most.
+TOGETHER, SENT = 64, 100_000
 KEY = ["feature_id", "codon_pos", "ref_aa", "alt_aa"]
 
 
@@ -19,31 +19,38 @@ def mutation_matrix(ann: DataFrame, runs: DataFrame, gaps: DataFrame, hits: Data
     ``ann``: ``run_id`` and the key with ``af, consequence``; ``gaps``: ``run_id, feature_id, codon_start, codon_end``. Repeated keys of a sample keep the largest frequency.
     ``hits`` (``run_id`` and the key) adds ``db_hit``; with ``db_hits_only`` only mutations stay that some sample has as a hit.
 
-    What samples have of a mutation is gathered in one row for each first; the zeros are made at the end, where the row is, so that
-    the product of mutations and samples is neither shuffled nor joined. Gaps stay ranges. Up to ``SENT`` samples go to every task.
+    Samples are dealt to groups of about ``TOGETHER``. What a group has of a mutation, and which of it lack the place, is one row; the zeros are made at the end, where that row is. So no row grows with the
+    number of samples, and only a row for each group and mutation is shuffled. Gaps stay ranges.
     """
-    found = ann.filter("consequence != 'synonymous'") if non_synonymous_only else ann
-    cells = found.groupBy("run_id", *KEY).agg(F.max("af").alias("af"))
-    if hits is not None:
-        marked = hits.select("run_id", *KEY).distinct().withColumn("hit", F.lit(True))
-        cells = cells.join(marked, ["run_id", *KEY], "left")
-    else:
-        cells = cells.withColumn("hit", F.lit(None).cast("boolean"))
-    mine = cells.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("run_id", F.struct("af", "hit")))).alias("found"), F.max("hit").alias("any_hit"))
-    if db_hits_only:
-        mine = mine.filter("any_hit")
-    place = mine.select("feature_id", "codon_pos").distinct()
-    ranges = gaps.select("feature_id", F.col("run_id").alias("_run"), F.col("codon_start").alias("_a"), (F.col("codon_end") + 1).alias("_b"))
-    lost = interval_join(place, ranges, ["feature_id"], point="codon_pos", start="_a", end="_b", bin=64).groupBy("feature_id", "codon_pos").agg(F.collect_set("_run").alias("lost"))
-    wide = mine.join(lost, ["feature_id", "codon_pos"], "left")
+    cells = mutation_cells(ann, hits, non_synonymous_only)
     names = runs.select("run_id").distinct()
-    names = F.broadcast(names) if names.count() <= SENT else names
+    n = names.count()
+    groups = n // TOGETHER + 1
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int").alias("_group")
+    mine = cells.groupBy(*KEY, group("run_id")).agg(F.map_from_entries(F.collect_list(F.struct("run_id", F.struct("af", "hit")))).alias("found"))
+    keys = cells.groupBy(*KEY).agg(F.max("hit").alias("any_hit"))
+    keys = (keys.filter("any_hit") if db_hits_only else keys).drop("any_hit")
+    place = keys.select("feature_id", "codon_pos").distinct()
+    ranges = gaps.select("feature_id", F.col("run_id").alias("_run"), F.col("codon_start").alias("_a"), (F.col("codon_end") + 1).alias("_b"))
+    lost = interval_join(place, ranges, ["feature_id"], point="codon_pos", start="_a", end="_b", bin=64).groupBy("feature_id", "codon_pos", group("_run")).agg(F.collect_set("_run").alias("lost"))
+    wide = keys.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(mine, [*KEY, "_group"], "left").join(lost, ["feature_id", "codon_pos", "_group"], "left")
+    own_runs = names.groupBy(group("run_id")).agg(F.collect_list("run_id").alias("runs"))
+    out = wide.join(F.broadcast(own_runs) if n <= SENT else own_runs, "_group").withColumn("run_id", F.explode("runs"))
     own = F.element_at("found", F.col("run_id"))
     gap = F.coalesce(F.array_contains("lost", F.col("run_id")), F.lit(False))
-    out = wide.crossJoin(names).select("run_id", *KEY, F.when(own.isNotNull(), own["af"]).when(gap, F.lit(None)).otherwise(0.0).alias("cell"), F.coalesce(own["hit"], F.lit(False)).alias("db_hit"))
+    out = out.select("run_id", *KEY, F.when(own.isNotNull(), own["af"]).when(gap, F.lit(None)).otherwise(0.0).alias("cell"), F.coalesce(own["hit"], F.lit(False)).alias("db_hit"))
     return out if hits is not None else out.drop("db_hit")
 
 
+def mutation_cells(ann: DataFrame, hits: DataFrame | None = None, non_synonymous_only: bool = False) -> DataFrame:
+    """The cells that samples have, the form to store (M-1): ``run_id``, the key, ``af`` (the largest) and ``hit`` (true or null)."""
+    found = ann.filter("consequence != 'synonymous'") if non_synonymous_only else ann
+    cells = found.groupBy("run_id", *KEY).agg(F.max("af").alias("af"))
+    if hits is None:
+        return cells.withColumn("hit", F.lit(None).cast("boolean"))
+    return cells.join(hits.select("run_id", *KEY).distinct().withColumn("hit", F.lit(True)), ["run_id", *KEY], "left")
+
+
 def pivot_matrix(matrix: DataFrame, labels: list[str]) -> DataFrame:
     """A row for each sample and a column for each of the given labels, for display."""
     return matrix.groupBy("run_id").pivot("label", labels).agg(F.first("cell"))

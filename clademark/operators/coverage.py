@@ -20,13 +20,25 @@ def base_depth(blocks: DataFrame) -> DataFrame:
     return out.filter("depth > 0")
 
 
-def uncovered_codons(features: DataFrame, depth: DataFrame, min_depth: int = 10) -> DataFrame:
-    """Codons of which a base has too little depth (A-6): ``features`` (``feature_id, n_codons``) against ``depth`` (``run_id, feature_id, pos, depth``)."""
-    runs = depth.select("run_id", "feature_id").distinct()
-    spine = runs.join(features.select("feature_id", F.explode(F.sequence(F.lit(0), F.col("n_codons") - 1)).alias("codon_pos")), "feature_id")
-    fine = depth.filter(F.col("depth") >= min_depth).withColumn("codon_pos", F.floor(F.col("pos") / 3).cast("int"))
-    fine = fine.groupBy("run_id", "feature_id", "codon_pos").agg(F.count_distinct("pos").alias("n")).filter("n = 3")
-    return spine.join(fine, ["run_id", "feature_id", "codon_pos"], "left_anti").select("run_id", "feature_id", "codon_pos")
+def uncovered_ranges(features: DataFrame, stretches: DataFrame, min_depth: int = 10) -> DataFrame:
+    """Codons of which a base has too little depth, as inclusive ranges ``codon_start, codon_end`` (A-6, W-2).
+
+    ``features``: ``feature_id, n_codons``; ``stretches``: ``run_id, feature_id, start, end, depth`` in coding positions, apart from each other. Stretches with enough depth that meet are put together; the
+    codons that lie in one whole are known by its ends, and what is between is a gap. Codons are never listed.
+    """
+    own = W.partitionBy("run_id", "feature_id")
+    fine = stretches.filter(F.col("depth") >= min_depth).withColumn("_new", (F.coalesce(F.lag("end").over(own.orderBy("start")), F.lit(-1)) < F.col("start")).cast("int"))
+    fine = fine.withColumn("_island", F.sum("_new").over(own.orderBy("start"))).groupBy("run_id", "feature_id", "_island").agg(F.ceil(F.min("start") / 3).cast("int").alias("a"), F.floor(F.max("end") / 3).cast("int").alias("b"))
+    last = stretches.select("run_id", "feature_id").distinct().join(features.select("feature_id", F.col("n_codons").cast("int").alias("n")), "feature_id")
+    marks = fine.filter("a < b").select("run_id", "feature_id", "a", "b").unionByName(last.select("run_id", "feature_id", F.col("n").alias("a"), F.col("n").alias("b")))
+    gaps = marks.withColumn("_from", F.coalesce(F.lag("b").over(own.orderBy("a", "b")), F.lit(0))).filter("_from < a")
+    return gaps.select("run_id", "feature_id", F.col("_from").alias("codon_start"), (F.col("a") - 1).alias("codon_end"))
+
+
+def uncovered_codons(features: DataFrame, stretches: DataFrame, min_depth: int = 10) -> DataFrame:
+    """The codons of ``uncovered_ranges``, one by one (A-6)."""
+    gaps = uncovered_ranges(features, stretches, min_depth)
+    return gaps.select("run_id", "feature_id", F.explode(F.sequence("codon_start", "codon_end")).alias("codon_pos"))
 
 
 def merge_codon_gaps(codons: DataFrame) -> DataFrame:

@@ -191,9 +191,17 @@ W_GAPS = W_CALLS + """, depth AS (SELECT run_id, feature_id, cds_pos AS pos, sum
  gaps AS (SELECT run_id, feature_id, min(codon_pos) AS codon_start, max(codon_pos) AS codon_end FROM isl GROUP BY run_id, feature_id, g)"""
 
 
+def stretches(spark: SparkSession, d: str) -> DataFrame:
+    depth = located(spark, d).filter("feature_id is not null").groupBy("run_id", "feature_id", F.col("cds_pos").cast("int").alias("start")).agg(F.sum("depth").alias("depth"))
+    return depth.withColumn("end", F.col("start") + 1)
+
+
 def uncovered(spark: SparkSession, d: str) -> DataFrame:
-    depth = located(spark, d).filter("feature_id is not null").groupBy("run_id", "feature_id", F.col("cds_pos").alias("pos")).agg(F.sum("depth").alias("depth"))
-    return coverage.uncovered_codons(fixture(spark, d, "feature"), depth)
+    return coverage.uncovered_codons(fixture(spark, d, "feature"), stretches(spark, d))
+
+
+def gaps(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.uncovered_ranges(fixture(spark, d, "feature"), stretches(spark, d))
 
 
 @query(f"WITH {W_GAPS} SELECT * FROM bare")
@@ -208,13 +216,13 @@ def w2_merge_codon_gaps(spark, d):
 
 @query(f"WITH {W_GAPS} SELECT run_id, feature_id, CAST(round_even((200 - sum(codon_end - codon_start + 1)) * 100.0 / 200, 0) AS INT) AS coverage FROM gaps GROUP BY ALL")
 def a13_gene_coverage(spark, d):
-    return coverage.gene_coverage(coverage.merge_codon_gaps(uncovered(spark, d)), fixture(spark, d, "feature"))
+    return coverage.gene_coverage(gaps(spark, d), fixture(spark, d, "feature"))
 
 
 @query(f"WITH {W_GAPS.replace(W_CALLS, W_ANN)}, cells AS (SELECT run_id, feature_id, codon_pos, ref_aa, alt_aa, max(af) AS af FROM ann WHERE consequence <> 'synonymous' GROUP BY ALL), keys AS (SELECT DISTINCT feature_id, codon_pos, ref_aa, alt_aa FROM cells), runs AS (SELECT DISTINCT run_id FROM ann) SELECT r.run_id, k.*, CASE WHEN c.af IS NOT NULL THEN c.af WHEN b.run_id IS NOT NULL THEN NULL ELSE 0.0 END AS cell FROM keys k CROSS JOIN runs r LEFT JOIN cells c ON c.run_id = r.run_id AND c.feature_id = k.feature_id AND c.codon_pos = k.codon_pos AND c.ref_aa = k.ref_aa AND c.alt_aa = k.alt_aa LEFT JOIN bare b ON b.run_id = r.run_id AND b.feature_id = k.feature_id AND b.codon_pos = k.codon_pos")
 def m1_mutation_matrix(spark, d):
     ann = annotations(spark, d)
-    return compare.mutation_matrix(ann, ann.select("run_id").distinct(), coverage.merge_codon_gaps(uncovered(spark, d)), non_synonymous_only=True)
+    return compare.mutation_matrix(ann, ann.select("run_id").distinct(), gaps(spark, d), non_synonymous_only=True)
 
 
 KB = f"kb AS ({fixtures.oracle('kbs')})"
