@@ -48,7 +48,7 @@ class Tables:
         if not version:
             return {"version": 0, "batches": [], "tables": {}}
         at = f"{self.root}/versions/{version:09d}.json"
-        return json.loads(self.spark.read.option("wholetext", True).text(at).first()[0])
+        return json.loads(self.spark.read.text(at, wholetext=True).first()[0])
 
     def has(self, name: str) -> bool:
         return name in self.manifest()["tables"]
