@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import sequence_checksum
-from .rules import match_rules
+from .formulas import evaluate_formulas
+from .rules import best_member_evidence, effect_hits, match_rules
 
 
 def _filled(*columns: str) -> Column:
@@ -88,6 +89,23 @@ def resync(runs: DataFrame, stored: DataFrame, projects: DataFrame, rules: DataF
     return match_rules(stored.join(good, "run_id", "left_semi"), rules), x.filter("reason is not null").select("run_id", "project_id", "reason")
 
 
+def resync_all(runs: DataFrame, stored: DataFrame, projects: DataFrame, rules: DataFrame, formulas: DataFrame, effects: DataFrame, min_fraction: float = 2 / 3, eps: float = 1e-9) -> dict[str, DataFrame]:
+    """All that rules, formulas and effects as they are now say of stored runs (T-6): ``hits``, ``formulas``, ``effects``, ``counts`` (for the runs) and ``skipped``.
+
+    ``runs``: ``run_id, project_id, project_uuid``; ``rules`` with ``member_id``; ``formulas``: ``project_id, formula_id, postfix, atoms`` (``compiled``); ``effects``: ``feature_id, effects, drug``. Runs of another knowledge base
+    are skipped as in ``resync``. ``counts`` has every renewed run, also with zeros. Nothing is gathered by run but its counts.
+    """
+    renewed, skipped = resync(runs, stored, projects, rules)
+    good = runs.join(skipped.select("run_id"), "run_id", "left_anti").select("run_id", "project_id")
+    named = rules.filter(F.coalesce("member_id", F.lit("")) != "").select("rule_id", F.col("member_id").alias("member"))
+    evidence = best_member_evidence(renewed, eps).join(named, "rule_id").groupBy("run_id", "member").agg(F.max("af").alias("lower"))
+    fired = evaluate_formulas(good, evidence, formulas, min_fraction, eps)
+    lost = effect_hits(stored.join(good.select("run_id"), "run_id", "left_semi"), effects)
+    count = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))
+    counts = good.select("run_id").join(count(renewed, "resistance_hits"), "run_id", "left").join(count(fired, "formula_hits"), "run_id", "left").join(count(lost, "effect_hits"), "run_id", "left").na.fill(0)
+    return {"hits": renewed, "formulas": fired, "effects": lost, "counts": counts, "skipped": skipped}
+
+
 def rebuild_hits(stored: DataFrame, schema: str = "array<struct<rule_id:bigint,drug:string,phenotype:string>>") -> DataFrame:
     """Hits from the texts that runs store them as (T-7): one row for each; a text that does not parse gives none. ``stored``: ``run_id, ann_id, drug_hits``."""
     x = stored.withColumn("_h", F.from_json("drug_hits", schema))

@@ -8,6 +8,7 @@ from ..operators import liftover, upkeep
 from . import fixtures
 from .catalog import ORACLE, QUERIES, W_ANN, W_HITS, _B, annotations, hits, query
 from .fixtures import fixture
+from .formulas import _RUNS, W_EVAL, _compiled
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -91,11 +92,16 @@ def j12_reattach_evidence(spark, d):
 W_RUNS = "r AS (SELECT DISTINCT run_id, run_id % 6 AS project_id, CASE WHEN run_id % 4 = 0 THEN '' WHEN run_id % 4 = 1 THEN 'old' ELSE 'u' || CAST(run_id % 6 AS VARCHAR) END AS u FROM ann), pr AS (SELECT DISTINCT s_suppkey % 5 AS project_id, 'u' || CAST(s_suppkey % 5 AS VARCHAR) AS uuid FROM supplier)"
 
 
-def _resync(spark, d):
+def _kept(spark, d):
     ann = annotations(spark, d)
     k = F.col("run_id") % 4
     runs = ann.select("run_id").distinct().withColumns({"project_id": F.col("run_id") % 6, "project_uuid": F.when(k == 0, "").when(k == 1, "old").otherwise(F.concat(F.lit("u"), (F.col("run_id") % 6).cast("string")))})
     pr = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") % 5).alias("project_id")).distinct().withColumn("uuid", F.concat(F.lit("u"), F.col("project_id").cast("string")))
+    return runs, ann, pr
+
+
+def _resync(spark, d):
+    runs, ann, pr = _kept(spark, d)
     return upkeep.resync(runs, ann, pr, fixture(spark, d, "rules"))
 
 
@@ -109,6 +115,20 @@ def t6_resync_skipped(spark, d):
     return _resync(spark, d)[1].select("run_id", "reason")
 
 
+W_RENEWED = W_EVAL.replace(_RUNS, f"{W_RUNS}, runs AS (SELECT run_id, project_id FROM r JOIN pr USING (project_id) WHERE u = '' OR u = uuid)")
+
+
+@query(f"""WITH {W_RENEWED}, effects AS ({fixtures.oracle('effects')}), n1 AS (SELECT run_id, count(*) AS n FROM hits GROUP BY run_id), n2 AS (SELECT run_id, count(*) AS n FROM fired GROUP BY run_id),
+ n3 AS (SELECT run_id, count(*) AS n FROM ann a JOIN effects x ON a.feature_id = x.feature_id AND a.consequence = x.effect GROUP BY run_id)
+ SELECT runs.run_id, coalesce(n1.n, 0) AS resistance_hits, coalesce(n2.n, 0) AS formula_hits, coalesce(n3.n, 0) AS effect_hits FROM runs LEFT JOIN n1 USING (run_id) LEFT JOIN n2 USING (run_id) LEFT JOIN n3 USING (run_id)""")
+def t6_resync_all(spark, d):
+    """What rules, formulas and effects as they are now say of the runs that are renewed."""
+    runs, ann, pr = _kept(spark, d)
+    named = fixture(spark, d, "rules").withColumn("member_id", F.concat(F.lit("r"), F.col("rule_id").cast("string")))
+    effects = fixture(spark, d, "effects").groupBy("feature_id", "drug").agg(F.collect_list("effect").alias("effects"))
+    return upkeep.resync_all(runs, ann, pr, named, _compiled(spark, d), effects, eps=1e-6)["counts"]
+
+
 @query(f"WITH {W_HITS} SELECT run_id, feature_id * 1000 + codon_pos AS ann_id, rule_id, drug, phenotype, count(*) AS n FROM hits GROUP BY ALL")
 def t7_rebuild_hits(spark, d):
     h = hits(spark, d).withColumn("ann_id", F.col("feature_id") * 1000 + F.col("codon_pos"))

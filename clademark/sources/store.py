@@ -10,7 +10,13 @@ from .versions import Tables
 RUN = "run_id string, project_id string, project_uuid string, sample_name string, reference_name string, created_at timestamp, status string"
 VARIANT = "feature_id long, codon_pos int, ref_aa string, alt_aa string, consequence string, af double"
 GAP = "feature_id long, codon_start int, codon_end int"
-DOCUMENT = f"run struct<{RUN.replace(' ', ':').replace(',:', ',')}>, variant_result array<struct<{VARIANT.replace(' ', ':').replace(',:', ',')}>>, coverage_gap array<struct<{GAP.replace(' ', ':').replace(',:', ',')}>>"
+FORMULA = "formula_id string, drug string, lower double, members string"
+FEATURE = "reference_name string, feature_name string"
+SETTING = "method string, reference string, drug string, label string, value double"
+#: The lists of a document beside its run, and their columns.
+LISTS = {"variant_result": VARIANT, "coverage_gap": GAP, "formula_rule_hit": FORMULA, "profiled_feature": FEATURE, "setting": SETTING}
+_struct = lambda columns: f"struct<{columns.replace(' ', ':').replace(',:', ',')}>"
+DOCUMENT = f"run {_struct(RUN)}, " + ", ".join(f"{n} array<{_struct(c)}>" for n, c in LISTS.items())
 
 
 #: Tables of stored runs; all have ``run_id`` and are dealt by it.
@@ -49,15 +55,25 @@ def list_runs(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "project_id", "sample_name", "created_at", "status").orderBy(F.desc("created_at"), "run_id")
 
 
-def run_documents(runs: DataFrame, variants: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One document for each run (S-13): ``run_id, document``. Lists are sorted, so that equal runs give equal texts."""
-    listed = lambda df, name, cols: df.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
-    v = listed(variants, "variant_result", [x.split()[0] for x in VARIANT.split(", ")])
-    g = listed(gaps, "coverage_gap", [x.split()[0] for x in GAP.split(", ")])
-    x = runs.join(v, "run_id", "left").join(g, "run_id", "left")
+def run_documents(runs: DataFrame, variants: DataFrame, gaps: DataFrame, formulas: DataFrame | None = None, profiled: DataFrame | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """One document for each run (S-13): ``run_id, document``, with the lists of ``LISTS``. They are sorted, so that equal runs give equal texts; what is not given is empty.
+
+    ``settings`` are those of projects (``project_id`` and the columns of ``SETTING``), which each of their runs then tells.
+    """
+    given = {"variant_result": variants, "coverage_gap": gaps, "formula_rule_hit": formulas, "profiled_feature": profiled}
+    if settings is not None:
+        given["setting"] = runs.select("run_id", "project_id").join(settings, "project_id")
+    x = runs
+    for name, columns in LISTS.items():
+        none = F.array().cast(f"array<{_struct(columns)}>")
+        if given.get(name) is None:
+            x = x.withColumn(name, none)
+            continue
+        kinds = [c.split(" ") for c in columns.split(", ")]
+        rows = given[name].groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast(t).alias(c) for c, t in kinds]))).alias(name))
+        x = x.join(rows, "run_id", "left").withColumn(name, F.coalesce(name, none))
     run = F.struct(*[F.col(c.split()[0]) for c in RUN.split(", ")])
-    empty = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType))
-    return x.select("run_id", F.to_json(F.struct(run.alias("run"), empty("variant_result", v).alias("variant_result"), empty("coverage_gap", g).alias("coverage_gap"))).alias("document"))
+    return x.select("run_id", F.to_json(F.struct(run.alias("run"), *LISTS)).alias("document"))
 
 
 def write_run_json(documents: DataFrame, path: str) -> None:
@@ -66,10 +82,16 @@ def write_run_json(documents: DataFrame, path: str) -> None:
 
 
 def read_run_json(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(runs, variants, gaps, rejected) of result documents, one on each line (S-10). A document without run, its id or its lists is rejected, with what it lacks."""
+    """(runs, variants, gaps, rejected) of result documents, one on each line (S-10). A document without run, its id or the lists of variants and gaps is rejected, with what it lacks."""
+    tables, rejected = read_run_tables(spark, paths)
+    return tables["run"], tables["variant_result"], tables["coverage_gap"], rejected
+
+
+def read_run_tables(spark: SparkSession, paths) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(``run`` and the tables of ``LISTS``, rejected) of result documents (S-10). Lists that later versions added may be missing."""
     x = spark.read.text(paths).withColumn("d", F.from_json("value", DOCUMENT))
     lack = F.when(F.col("d.run.run_id").isNull(), "run").when(F.col("d.variant_result").isNull(), "variant_result").when(F.col("d.coverage_gap").isNull(), "coverage_gap")
     x = x.withColumn("lacks", lack)
     good = x.filter("lacks is null")
-    run_id = F.col("d.run.run_id").alias("run_id")
-    return good.select("d.run.*"), good.select(run_id, F.inline("d.variant_result")), good.select(run_id, F.inline("d.coverage_gap")), x.filter("lacks is not null").select("value", "lacks")
+    tables = {n: good.select(F.col("d.run.run_id").alias("run_id"), F.inline(f"d.{n}")) for n in LISTS}
+    return {"run": good.select("d.run.*"), **tables}, x.filter("lacks is not null").select("value", "lacks")

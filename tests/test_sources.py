@@ -68,6 +68,26 @@ def test_result_documents_round_trip(spark, tmp_path):
     assert key(store.upsert(runs, new, ["run_id"]).select("run_id", "status")) == [("r1", "done"), ("r2", "failed")]
 
 
+def test_full_documents_round_trip(spark, tmp_path):
+    when = datetime.datetime(2026, 1, 2, 3, 4, 5)
+    df = spark.createDataFrame
+    runs = df([("r1", "p", "u", "s1", "ref", when, "done"), ("r2", "q", "u", "s2", "ref", when, "done")], store.RUN)
+    lists = {
+        "variant_result": [("r1", 1, 2, "A", "V", "missense", 1.0)], "coverage_gap": [("r2", 1, 3, 9)], "formula_rule_hit": [("r1", "f2", "acv", 0.5, "m1,m2"), ("r1", "f1", None, 0.25, "")],
+        "profiled_feature": [("r1", "ref", "tk"), ("r2", "ref", "pol")], "setting": [("p", "by_score", None, "acv", "resistant", 3.0)],
+    }
+    made = {n: df(rows, f"{'project_id' if n == 'setting' else 'run_id'} string, {store.LISTS[n]}") for n, rows in lists.items()}
+    docs = store.run_documents(runs, *made.values())
+    store.write_run_json(docs, str(tmp_path / "full"))
+    tables, rejected = store.read_run_tables(spark, str(tmp_path / "full"))
+    key = lambda x: sorted(map(str, map(tuple, x.collect())))
+    assert rejected.count() == 0 and key(tables["run"]) == key(runs)
+    for n, rows in lists.items():
+        assert key(tables[n]) == sorted(str(("r1", *r[1:]) if n == "setting" else r) for r in rows)
+    again = store.run_documents(runs, *[x.repartition(3) for x in made.values()])
+    assert key(again) == key(docs)
+
+
 def test_stored_runs_change_in_steps(spark, tmp_path):
     when = datetime.datetime(2026, 1, 2, 3, 4, 5)
     run = lambda *ids: spark.createDataFrame([(i, "p", "u", "s", "ref", when, status) for i, status in ids], store.RUN)
