@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import liftover, report, result_table, rules
+from ..operators import liftover, narrative, report, result_table, rules
 from . import fixtures
-from .catalog import ORACLE, QUERIES, W_ANN, W_BEST, W_FLAT, annotations, hits, query, r6
+from .catalog import ORACLE, QUERIES, RANK, W_ANN, W_BEST, W_CALLS, W_FLAT, W_GAPS, W_HITS, annotations, gaps, hits, query, r6
 from .fixtures import fixture
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -180,3 +180,28 @@ def s14_result_rows(spark, d):
     parts = fired.select("run_id", "formula_id").join(member, "formula_id").join(hit.select("run_id", "rule_id", "ann_id"), ["run_id", "rule_id"]).groupBy("run_id", "formula_id", F.col("rule_id").alias("member_no")).agg(F.min("ann_id").alias("ann_id"))
     effect = a.join(fixture(spark, d, "effects"), ["feature_id"]).filter("consequence = effect").select("run_id", "ann_id", "drug").distinct()
     return result_table.result_rows(ann, hit, formulas, parts, effect).drop("first", "second")
+
+
+_LIST = lambda x: f"CASE len({x}) WHEN 0 THEN '' WHEN 1 THEN {x}[1] WHEN 2 THEN {x}[1] || ' and ' || {x}[2] ELSE array_to_string({x}[1:len({x}) - 1], ', ') || ', and ' || {x}[len({x})] END"
+
+
+@query(f"""WITH {W_GAPS.replace(W_CALLS, W_HITS)}, np AS (SELECT run_id, list_sort(list(DISTINCT 'g' || CAST(feature_id AS VARCHAR))) AS x FROM ann GROUP BY run_id),
+ nd AS (SELECT run_id, drug, CASE WHEN count(*) >= 2 THEN min(phenotype) END AS label FROM hits GROUP BY ALL), nc AS (SELECT run_id, count(label) AS n FROM nd GROUP BY run_id),
+ ns AS (SELECT run_id, drug, label AS phenotype FROM nd WHERE label IS NOT NULL UNION SELECT h.run_id, h.drug, h.phenotype FROM hits h JOIN nd ON nd.run_id = h.run_id AND nd.drug = h.drug WHERE nd.label IS NOT NULL),
+ nl AS (SELECT run_id, phenotype, list_sort(list(drug)) AS x FROM ns GROUP BY ALL), nt AS (SELECT run_id, string_agg('Drugs assessed as ' || phenotype || ': ' || {_LIST('x')} || '.', chr(10) ORDER BY -({RANK}), phenotype) AS t FROM nl WHERE ({RANK}) <> 0 GROUP BY run_id),
+ ng AS (SELECT run_id, sum(codon_end - codon_start + 1) AS n, list_sort(list(DISTINCT 'g' || CAST(feature_id AS VARCHAR))) AS x FROM gaps GROUP BY run_id),
+ ni AS (SELECT run_id, count(*) AS n FROM ann ANTI JOIN (SELECT DISTINCT run_id, feature_id, codon_pos, alt_aa FROM hits) USING (run_id, feature_id, codon_pos, alt_aa) WHERE consequence IN ('stop_gained', 'start_lost') GROUP BY run_id)
+ SELECT np.run_id, 'The tested sequence information mapped to ' || {_LIST('np.x')} || ' of org' || CAST(np.run_id % 3 AS VARCHAR) || CASE WHEN nc.n > 0 THEN ' and was evaluated against known resistance-associated mutations for ' || CAST(nc.n AS VARCHAR) || CASE WHEN nc.n = 1 THEN ' drug.' ELSE ' drugs.' END
+   WHEN nc.n = 0 THEN ' and was evaluated against known resistance-associated mutations, but no final drug interpretation algorithm is configured.' ELSE ' and was evaluated, but no in-scope drugs were available for interpretation.' END AS lead,
+  CASE WHEN ng.n > 0 THEN 'However, ' || CAST(ng.n AS VARCHAR) || CASE WHEN ng.n = 1 THEN ' position' ELSE ' positions' END || ' of ' || {_LIST('ng.x')} || ' could not be assessed due to incomplete sequence data.' ELSE '' END AS uncovered,
+  CASE WHEN ni.n > 0 THEN 'Importantly, ' || CAST(ni.n AS VARCHAR) || CASE WHEN ni.n = 1 THEN ' high-impact variant was' ELSE ' high-impact variants were' END || ' detected and require manual interpretation.' ELSE '' END AS high_impact, coalesce(t, '') AS drugs
+ FROM np LEFT JOIN nc USING (run_id) LEFT JOIN nt USING (run_id) LEFT JOIN ng USING (run_id) LEFT JOIN ni USING (run_id)""")
+def f33_narrative(spark, d):
+    """What reports say in words, for all runs."""
+    a, h = annotations(spark, d), hits(spark, d)
+    named, organism = F.concat(F.lit("g"), F.col("feature_id").cast("string")).alias("feature"), F.concat(F.lit("org"), (F.col("run_id") % 3).cast("string")).alias("organism")
+    drugs = h.groupBy("run_id", "drug").agg(F.when(F.count("*") >= 2, F.min("phenotype")).alias("assessment"))
+    impacts = a.filter("consequence in ('stop_gained', 'start_lost')").join(h, ["run_id", "feature_id", "codon_pos", "alt_aa"], "left_anti").select("run_id")
+    lost = gaps(spark, d).select("run_id", named, "codon_start", "codon_end")
+    out = narrative.narrative(a.select("run_id", organism).distinct(), a.select("run_id", organism, named), drugs, h.select("run_id", "drug", F.col("phenotype").alias("label")), lost, impacts)
+    return out.withColumn("drugs", F.array_join(F.transform("drugs", lambda x: x.text), "\n"))
