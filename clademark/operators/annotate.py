@@ -18,9 +18,10 @@ def locate_in_features(calls: DataFrame, segments: DataFrame, bin: int = 512) ->
     """Coding position of each call in each feature whose segments hold it (J-1).
 
     ``segments``: ``chrom, feature_id, strand, start, end, cds_offset``, where the offset is the coding length of the
-    segments before it in coding order. A call without feature stays with null feature and position.
+    segments before it in coding order. A call without feature stays with null feature and position. Segments are as many as genomes are
+    long, so they are shuffled: a broadcast would lie in the driver.
     """
-    found = interval_join(calls, segments, ["chrom"], bin=bin, how="left")
+    found = interval_join(calls, segments.hint("shuffle_hash"), ["chrom"], bin=bin, how="left")
     cds = F.when(F.col("strand") == "+", F.col("cds_offset") + F.col("pos") - F.col("start")).otherwise(F.col("cds_offset") + F.col("end") - 1 - F.col("pos"))
     return found.withColumn("cds_pos", cds)
 
@@ -34,13 +35,14 @@ def coding_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("cds_offset", F.coalesce(F.sum(F.col("end") - F.col("start")).over(before), F.lit(0)))
 
 
-def annotate_snps(located: DataFrame, features: DataFrame) -> DataFrame:
+def annotate_snps(located: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """Codons, amino acids and consequence of single exchanges (F-6, F-5).
 
-    ``features``: ``feature_id, codon_start, nt_sequence`` in coding orientation. An allele on the reverse strand is
-    complemented. What equals the reference base is no exchange and is left out.
+    ``features``: ``feature_id, codon_start, nt_sequence`` in coding orientation, or none if ``located`` has them already (from its segments, which saves to move the calls
+    once more). An allele on the reverse strand is complemented. What equals the reference base is no exchange and is left out.
     """
-    x = located.filter("feature_id is not null").join(features, "feature_id")
+    x = located.filter("feature_id is not null")
+    x = x if features is None else x.join(features.hint("shuffle_hash"), "feature_id")
     start = F.coalesce("codon_start", F.lit(0))
     codon, place = S.codon_index(F.col("cds_pos"), start), S.codon_position(F.col("cds_pos"), start)
     base = F.when(F.col("strand") == "-", S.complement(F.col("alt"))).otherwise(F.upper("alt"))

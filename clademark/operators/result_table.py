@@ -39,15 +39,15 @@ def result_rows(ann: DataFrame, hits: DataFrame, formulas: DataFrame, members: D
     where an effect alone counts as resistant.
 
     An annotation gives a row (``single``) for each rule; without one, a row as ``formula-member`` if a fired formula has it, else one that is not in the database. A formula gives one row, members joined by ``;``, if it has any. Keys are of runs
-    and annotations, so nothing gathers a run in one place.
+    and annotations, so nothing gathers a run in one place. All sides of the joins grow with the calls, and their shuffles compress well: none is left to become a broadcast.
     """
     shared = ["reference", "gene", "nt_mut", "nt_mut_user", "strand", "aa_frequency", "depth", "consequence", "aa_effects"]
     text = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none)).alias(c)
     a = ann.select("run_id", "ann_id", _number(F.col("af")).alias("aa_frequency"), *[text(c, "") for c in shared if c != "aa_frequency"])
     one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rule = hits.select("run_id", "ann_id", "rule_id", F.lit(True).alias("_hit"), *map(one, _RULE))
-    part = members.join(formulas.select("run_id", "formula_id").distinct(), ["run_id", "formula_id"], "left_semi").select("run_id", "ann_id").distinct().withColumn("_part", F.lit(True))
-    x = a.join(rule, ["run_id", "ann_id"], "left").join(part, ["run_id", "ann_id"], "left")
+    part = members.join(formulas.select("run_id", "formula_id").distinct().hint("merge"), ["run_id", "formula_id"], "left_semi").select("run_id", "ann_id").distinct().withColumn("_part", F.lit(True))
+    x = a.join(rule.hint("merge"), ["run_id", "ann_id"], "left").join(part.hint("merge"), ["run_id", "ann_id"], "left")
     hit, member = F.col("_hit").isNotNull(), F.col("_part").isNotNull()
     kind = F.when(hit, "single").when(member, "formula-member").otherwise(NONE)
     lone = [F.when(hit, F.col(c)).otherwise(NONE if c in _WORDS else "").alias(c) for c in _RULE]
@@ -55,15 +55,15 @@ def result_rows(ann: DataFrame, hits: DataFrame, formulas: DataFrame, members: D
     rows = x.select("run_id", *key(1, "ann_id", F.col("rule_id")), *shared, F.when(hit | member, "yes").otherwise("no").alias("in_database"), kind.alias("rule_type"), *lone)
 
     # A formula's members, in their order; they are as many as its text names.
-    m = members.join(a, ["run_id", "ann_id"]).groupBy("run_id", "formula_id").agg(F.sort_array(F.collect_list(F.struct("member_no", "ann_id", *shared))).alias("m"))
+    m = members.hint("merge").join(a, ["run_id", "ann_id"]).groupBy("run_id", "formula_id").agg(F.sort_array(F.collect_list(F.struct("member_no", "ann_id", *shared))).alias("m"))
     each = lambda c: F.array_join(F.transform("m", lambda y: y[c]), ";").alias(c)
-    f = formulas.select("run_id", "formula_id", "lower", *map(one, _RULE)).join(m, ["run_id", "formula_id"])
+    f = formulas.select("run_id", "formula_id", "lower", *map(one, _RULE)).join(m.hint("merge"), ["run_id", "formula_id"])
     own = {"reference": F.get("m", F.lit(0))["reference"].alias("reference"), "aa_frequency": _number(F.col("lower")).alias("aa_frequency"), "depth": F.lit("").alias("depth")}
     rows = rows.unionByName(f.select("run_id", *key(2, "formula_id", F.lit(0)), *[own.get(c, each(c)) for c in shared], F.lit("yes").alias("in_database"), F.lit("formula").alias("rule_type"), *_RULE))
 
     # What a row says that an effect alone brings.
     said = {"phenotype": "resistant", "clinical_phenotype": NONE, "source": "Metadata algorithm"}
-    e = effects.select("run_id", "ann_id", F.trim("drug").alias("drug")).join(a, ["run_id", "ann_id"])
+    e = effects.select("run_id", "ann_id", F.trim("drug").alias("drug")).hint("merge").join(a, ["run_id", "ann_id"])
     numbered = [F.lit(said.get(c, "")).alias(c) for c in _RULE if c != "drug"]
     e = e.select("run_id", *key(3, "ann_id", F.xxhash64("drug")), *shared, F.lit("yes").alias("in_database"), F.lit("single").alias("rule_type"), "drug", *numbered)
     return rows.unionByName(e).select(*KEY, *COLUMNS)

@@ -16,17 +16,17 @@ def public_rules(rules: DataFrame) -> DataFrame:
 
 def ruled_features(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Features that some rule is about (P-3)."""
-    return features.join(rules, "feature_id", "left_semi")
+    return features.join(rules.select("feature_id").distinct(), "feature_id", "left_semi")
 
 
 def match_rules(ann: DataFrame, rules: DataFrame, eps: float = 0.0) -> DataFrame:
     """Rules that exchanges of amino acids fulfil (J-4): same feature, codon and amino acid, not silent, with a frequency.
 
-    A rule without reference amino acid fits any; a rule's table is as large as a knowledge base, which Spark broadcasts below its threshold.
+    A rule without reference amino acid fits any. Rules are shuffled, as their number in memory is not that of their files; of the exchanges only those in features with rules are.
     """
-    changed = ann.filter((F.col("consequence") != "synonymous") & (F.col("af") > eps))
+    changed = ruled_features(ann.filter((F.col("consequence") != "synonymous") & (F.col("af") > eps)), rules)
     rule = rules.select("rule_id", "feature_id", F.col("position").alias("codon_pos"), F.col("reference").alias("rule_ref"), F.col("mutation").alias("alt_aa"), "drug", "phenotype", "score", "ic50")
-    found = changed.join(rule, ["feature_id", "codon_pos", "alt_aa"])
+    found = changed.join(rule.hint("shuffle_hash"), ["feature_id", "codon_pos", "alt_aa"])
     return found.filter(F.coalesce(F.col("rule_ref"), F.lit("")).isin("") | (F.col("rule_ref") == F.col("ref_aa"))).drop("rule_ref")
 
 
@@ -43,9 +43,9 @@ def evaluate_flat_formulas(evidence: DataFrame, members: DataFrame, formulas: Da
     have evidence and the Fréchet bound of their frequencies holds at every step in the order of rule ids; OR fires with the best member.
     """
     n = members.groupBy("formula_id").agg(F.count("*").alias("n"))
-    got = members.join(evidence.select("run_id", "rule_id", "af"), "rule_id")
+    got = evidence.select("run_id", "rule_id", "af").hint("merge").join(members, "rule_id")
     got = got.groupBy("run_id", "formula_id").agg(F.sort_array(F.collect_list(F.struct("rule_id", "af"))).alias("m"))
-    got = got.join(formulas, "formula_id").join(n, "formula_id")
+    got = got.join(formulas.hint("merge"), "formula_id").join(n.hint("merge"), "formula_id")
 
     def step(s, x):
         total, least, count = s["total"] + x["af"], F.least(s["least"], x["af"]), s["count"] + 1
@@ -61,4 +61,4 @@ def evaluate_flat_formulas(evidence: DataFrame, members: DataFrame, formulas: Da
 
 def effect_hits(ann: DataFrame, effect_rules: DataFrame) -> DataFrame:
     """Consequences that count as resistance to a drug (J-6): same feature, the consequence among the rule's effects."""
-    return ann.join(effect_rules, "feature_id").filter(F.array_contains("effects", F.col("consequence")) & (F.col("drug") != "")).drop("effects")
+    return ann.join(effect_rules.hint("shuffle_hash"), "feature_id").filter(F.array_contains("effects", F.col("consequence")) & (F.col("drug") != "")).drop("effects")

@@ -37,12 +37,17 @@ def located(spark: SparkSession, d: str) -> DataFrame:
     return annotate.locate_in_features(calls, annotate.coding_segments(fixtures.segments(spark, d)))
 
 
-def annotations(spark: SparkSession, d: str) -> DataFrame:
-    return annotate.annotate_snps(located(spark, d), fixtures.features(spark, d)).select(ANN)
+def annotations(spark: SparkSession, d: str, about: DataFrame | None = None) -> DataFrame:
+    """Exchanges in all features, or in those that the rules ``about`` are about."""
+    calls, segments = annotate.filter_calls(fixture(spark, d, "calls")), annotate.coding_segments(fixtures.segments(spark, d))
+    segments = segments if about is None else rules.ruled_features(segments, about)
+    segments = segments.join(fixtures.features(spark, d).hint("shuffle_hash"), "feature_id")
+    return annotate.annotate_snps(annotate.locate_in_features(calls, segments)).select(ANN)
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    return rules.match_rules(annotations(spark, d), fixture(spark, d, "rules"))
+    r = fixture(spark, d, "rules")
+    return rules.match_rules(annotations(spark, d, r), r)
 
 
 _B = lambda i: f"substr('ACGT', CAST({fixtures.BASE.format(i=i, f='feature_id')} AS INT) + 1, 1)"

@@ -47,8 +47,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with their sequence in coding orientation."""
-    base = F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.substring(F.lit("ACGT"), F.when(i.isin(0, 598, 599), 0).when(i.isin(1, 597), 3).when(i == 2, 2).otherwise((i * 7 + i * i + F.col("feature_id")) % 4).cast("int") + 1, F.lit(1)))
-    return fixture(spark, sf_dir, "feature").select("feature_id", F.lit(0).alias("codon_start"), F.array_join(base, "").alias("nt_sequence"))
+    # Between start and stop, ``BASE`` repeats after four places.
+    four = F.concat(*[F.substring(F.lit("ACGT"), ((i * 7 + i * i + F.col("feature_id")) % 4).cast("int") + 1, F.lit(1)) for i in range(4)])
+    seq = F.concat(F.lit("ATG"), F.substring(F.repeat(four, F.lit(150)), 4, 594), F.lit("TAA"))
+    return fixture(spark, sf_dir, "feature").select("feature_id", F.lit(0).alias("codon_start"), seq.alias("nt_sequence"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
