@@ -126,13 +126,18 @@ def evaluate_formulas(runs: DataFrame, evidence: DataFrame, formulas: DataFrame,
     ``formulas``: ``project_id, formula_id, postfix, atoms`` (``compiled``). AND holds if the Fréchet bound of its members'
     frequencies does, at every step; OR takes the true side whose best member has the higher frequency, on ties that with the first names;
     XOR holds for an odd number of true parts, three or more of which must occur together; NOT turns the truth and has no frequency.
-    Returns ``run_id, formula_id, members, lower, forced``. A run meets its project's formulas only, and of those without NOT just the ones that share a member.
+    Returns ``run_id, formula_id, members, lower, forced``. A run meets its project's formulas only, and of those without NOT just the ones that share a member. Members meet the evidence by name, so that
+    a formula has the frequencies of its own members and never those of the whole run.
     """
-    seen = evidence.filter(F.col("lower") > eps).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("member", F.col("lower").cast("double").alias("lower")))).alias("of"))
-    empty = F.create_map().cast("map<string,double>")
-    x = runs.select("run_id", "project_id").distinct().join(seen, "run_id", "left").withColumn("of", F.coalesce("of", empty))
+    mine = runs.select("run_id", "project_id").distinct()
+    seen = evidence.filter(F.col("lower") > eps).select("run_id", "member", F.col("lower").cast("double").alias("lower")).join(mine, "run_id")
+    # No member has the empty name: by it a run meets the formulas with NOT, which can hold without any member.
+    seen = seen.unionByName(mine.select("run_id", "project_id", F.lit("").alias("member"), F.lit(None).cast("double").alias("lower")))
     turns = F.exists("postfix", lambda s: s["op"] == "NOT")
-    x = x.join(formulas.filter("postfix is not null").select("project_id", "formula_id", "postfix", "atoms"), "project_id").filter(turns | F.arrays_overlap("atoms", F.map_keys("of")))
+    names = F.array_distinct(F.concat("atoms", F.when(turns, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))))
+    parts = formulas.filter("postfix is not null").select("project_id", "formula_id", "postfix", F.explode(names).alias("member"))
+    own = F.map_from_entries(F.collect_set(F.when(F.col("lower").isNotNull(), F.struct("member", "lower"))))
+    x = parts.hint("merge").join(seen, ["project_id", "member"]).groupBy("run_id", "formula_id", "postfix").agg(own.alias("of"))
     of, none = F.col("of"), F.array().cast("array<string>")
     false = _value(F.lit(False), none, F.lit(0.0), F.lit(0.0))
     best = lambda v: F.coalesce(F.array_max(F.transform(v["ids"], lambda i: F.element_at(of, i))), F.lit(0.0))
@@ -171,7 +176,7 @@ def without_repeated_rules(fired: DataFrame, formulas: DataFrame, hits: DataFram
     ``formulas``: ``formula_id, drug, postfix``; ``hits``: ``run_id, member, drug`` of visible rules.
     """
     plain = ~F.exists("postfix", lambda s: s["op"].isin("AND", "XOR", "NOT"))
-    x = fired.join(formulas.select("formula_id", "drug", plain.alias("_plain")), "formula_id")
+    x = fired.join(formulas.select("formula_id", "drug", plain.alias("_plain")).hint("merge"), "formula_id")
     alone = F.when(F.col("_plain") & (F.size("members") == 1), F.get("members", F.lit(0)))
     told = hits.select("run_id", F.col("member").alias("_alone"), "drug").distinct()
     return x.withColumn("_alone", alone).join(told, ["run_id", "_alone", "drug"], "left_anti").drop("_alone", "_plain")

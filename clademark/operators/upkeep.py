@@ -98,7 +98,7 @@ def resync_all(runs: DataFrame, stored: DataFrame, projects: DataFrame, rules: D
     renewed, skipped = resync(runs, stored, projects, rules)
     good = runs.join(skipped.select("run_id"), "run_id", "left_anti").select("run_id", "project_id")
     named = rules.filter(F.coalesce("member_id", F.lit("")) != "").select("rule_id", F.col("member_id").alias("member"))
-    evidence = best_member_evidence(renewed, eps).join(named, "rule_id").groupBy("run_id", "member").agg(F.max("af").alias("lower"))
+    evidence = best_member_evidence(renewed, eps).join(named.hint("merge"), "rule_id").groupBy("run_id", "member").agg(F.max("af").alias("lower"))
     fired = evaluate_formulas(good, evidence, formulas, min_fraction, eps)
     lost = effect_hits(stored.join(good.select("run_id"), "run_id", "left_semi"), effects)
     count = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))

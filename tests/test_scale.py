@@ -5,8 +5,8 @@ import re
 from clademark.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-#: Tables of fixed size, or of a number for each feature, may go to every task.
-SMALL = re.compile(r"\[(alt_codon|ref_codon)#\d+\]|\[feature_id#\d+L\], \[feature_id#\d+L\], LeftSemi")
+#: Tables of fixed size, projects, or a number for each feature may go to every task.
+SMALL = re.compile(r"\[(alt_codon|ref_codon)#\d+\]|\[project_id#\d+L\], \[project_id#\d+L\], LeftOuter|\[feature_id#\d+L\], \[feature_id#\d+L\], LeftSemi")
 
 
 def large_broadcasts(df):
@@ -16,3 +16,10 @@ def large_broadcasts(df):
 def test_features_and_rules_are_not_broadcast(spark):
     for name in ("f6_annotate_snps", "j4_match_rules", "s14_result_rows"):
         assert not large_broadcasts(registry.QUERIES[name](spark, DIR)), name
+
+
+def test_no_row_holds_the_evidence_of_a_run(spark):
+    for name in ("a8_nested_formulas", "a8b_without_repeated_rules", "t6_resync_all"):
+        df = registry.QUERIES[name](spark, DIR)
+        assert not re.search(r"keys=\[run_id#\d+L\], functions=\[(partial_)?collect", df._jdf.queryExecution().simpleString()), name
+        assert not large_broadcasts(df), name
