@@ -2,6 +2,7 @@
 
 import re
 
+from clademark.operators.reads import observed_states
 from clademark.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -23,3 +24,11 @@ def test_no_row_holds_the_evidence_of_a_run(spark):
         df = registry.QUERIES[name](spark, DIR)
         assert not re.search(r"keys=\[run_id#\d+L\], functions=\[(partial_)?collect", df._jdf.queryExecution().simpleString()), name
         assert not large_broadcasts(df), name
+
+
+def test_codons_with_the_same_places_are_counted_once(spark):
+    reads = spark.createDataFrame([(1, "c", f"q{i}", 0, 0, 60, "4M", "ACGT") for i in range(6)], "run_id int, chrom string, qname string, flag int, pos long, mapq int, cigar string, seq string")
+    places = spark.createDataFrame([(1, "c", k, "+", [1, 2]) for k in range(40)], "run_id int, chrom string, codon int, strand string, at array<bigint>")
+    got = observed_states(reads, places, min_depth=5)
+    assert sorted((r.codon, r.bases, r.n, r.molecules) for r in got.collect()) == [(k, "CG", 6, 6) for k in range(40)]
+    assert "_places" in got._jdf.queryExecution().simpleString()
