@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.alleles import let
 from .coverage import merge_codon_gaps
 from .liftover import cds_to_genomic, cigar_ops
 
@@ -102,11 +103,13 @@ def aligned(matches: DataFrame, queries: DataFrame, features: DataFrame, toleran
     ``features``: ``feature_id, strand, codon_start, nt_sequence, segments``. Features without sequence are left out.
     """
     f = features.filter(F.coalesce(F.length("nt_sequence"), F.lit(0)) > 0).select("feature_id", F.col("strand").alias("feature_strand"), "codon_start", F.upper("nt_sequence").alias("cds"), "segments")
-    x = matches.join(queries, ["run_id", "query"]).join(f, "feature_id")
+    x = matches.join(queries.hint("shuffle_hash"), ["run_id", "query"]).join(f.hint("shuffle_hash"), "feature_id")
     at = F.transform(junctions(F.col("segments"), F.col("feature_strand")), lambda j: j - F.col("cds_start"))
     x = x.withColumn("_c", classify_introns(F.col("cigar"), at, tolerance)).withColumns({"ops": F.col("_c.ops"), "introns": F.col("_c.introns")})
     x = x.withColumn("region", coding_region(F.col("sequence"), F.col("query_start"), F.col("query_end"), F.col("strand"), F.col("introns"))).drop("sequence", "_c")
-    return x.withColumn("_a", aligned_columns(F.col("cds"), F.col("region"), F.col("ops"), F.col("cds_start"))).select("*", "_a.*").drop("_a", "region")
+    # Bound outside of the steps, the region is cut once and not at each of them; as a generated row, the texts are made once for all their columns.
+    texts = let(F.col("region"), lambda r: aligned_columns(F.col("cds"), r, F.col("ops"), F.col("cds_start")))
+    return x.select("*", F.inline(F.array(texts))).drop("region")
 
 
 def alignment_runs(matches: DataFrame) -> DataFrame:
@@ -123,8 +126,11 @@ def alignment_runs(matches: DataFrame) -> DataFrame:
 def _lost_codons(x: DataFrame) -> Column:
     codons = F.floor((F.length("cds") - F.col("codon_start")) / 3).cast("int")
     first = lambda c: F.col("codon_start") + c * 3
-    bad = lambda c: (first(c) < F.col("cds_start")) | (first(c) + 3 > F.col("cds_end")) | (F.substring("bases", first(c) + 1, F.lit(3)) == "NNN")
-    return F.when(codons > 0, F.filter(F.sequence(F.lit(0), F.greatest(codons - 1, F.lit(0))), bad)).otherwise(F.array().cast("array<int>"))
+    bad = lambda s, c: (first(c) < F.col("cds_start")) | (first(c) + 3 > s["cds_end"]) | (F.substring(s["bases"], first(c) + 1, F.lit(3)) == "NNN")
+    every = F.sequence(F.lit(0), F.greatest(codons - 1, F.lit(0)))
+    # The optimizer moves what the columns are made of into the expression: bound outside, it is not made again for each codon.
+    lost = let(F.struct("cds_end", "bases"), lambda s: F.filter(every, lambda c: bad(s, c)))
+    return F.when(codons > 0, lost).otherwise(F.array().cast("array<int>"))
 
 
 def unassessable_codons(matches: DataFrame) -> DataFrame:

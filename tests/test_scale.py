@@ -32,3 +32,9 @@ def test_codons_with_the_same_places_are_counted_once(spark):
     got = observed_states(reads, places, min_depth=5)
     assert sorted((r.codon, r.bases, r.n, r.molecules) for r in got.collect()) == [(k, "CG", 6, 6) for k in range(40)]
     assert "_places" in got._jdf.queryExecution().simpleString()
+
+
+def test_lost_codons_do_not_make_the_texts_again(spark):
+    plan = registry.QUERIES["c2_unassessable_codons"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    lost = [x for x in re.findall(r"filter\(sequence\(.*", plan)]
+    assert lost and not any("aggregate(" in x for x in lost)
