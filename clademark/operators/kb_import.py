@@ -57,14 +57,14 @@ def resolve_rule_feature(rules: DataFrame, features: DataFrame) -> DataFrame:
     """
     alias = F.posexplode(F.array(*[_blank(c) for c in ("name", "locus_tag", "protein_id", "protein")])).alias("_rank", "_key")
     known = features.select("feature_id", "aa_sequence", "reference_name", "accession", alias).filter("_key <> ''")
-    known = known.groupBy("feature_id", "aa_sequence", "reference_name", "accession", "_key").agg(F.min("_rank").alias("_rank"))
-    given = _blank("reference_identifier")
-    x = rules.select("row_no", _blank("feature").alias("_key"), given.alias("_given")).join(known, "_key")
-    own = W.partitionBy("row_no")
-    x = x.withColumn("_own", F.max((F.col("_rank") == 0).cast("int")).over(own)).filter("_own = 0 or _rank = 0")
-    x = x.filter((F.col("_given") == "") | (F.col("_given") == F.col("reference_name")) | (F.col("_given") == F.col("accession")))
-    x = x.groupBy("row_no").agg(F.count_distinct("feature_id").alias("_n"), F.min(F.struct("feature_id", "aa_sequence")).alias("_f"))
-    x = rules.join(x, "row_no", "left")
+    named = known.filter("_rank = 0").select("_key").distinct().withColumn("_own", F.lit(True))
+    known = known.join(named, "_key", "left").filter("_own is null or _rank = 0")
+    # What a name and a reference mean is decided once, however many rules say them and features share them.
+    known = known.withColumn("_given", F.explode(F.array_distinct(F.array(F.lit(""), "reference_name", "accession"))))
+    lowest = F.struct("feature_id", "aa_sequence")
+    known = known.groupBy("_key", "_given").agg(F.min(lowest).alias("_f"), (F.min("feature_id") == F.max("feature_id")).alias("_single"))
+    known = known.select("_key", "_given", F.when(F.col("_single"), 1).otherwise(2).alias("_n"), F.when(F.col("_single"), F.col("_f")).alias("_f"))
+    x = rules.withColumns({"_key": _blank("feature"), "_given": _blank("reference_identifier")}).join(known, ["_key", "_given"], "left").drop("_key", "_given")
     one = F.col("_n") == 1
     problem = F.when(F.col("_n").isNull(), "unknown feature").when(~one, "ambiguous feature")
     return x.withColumns({"feature_id": F.when(one, F.col("_f.feature_id")), "aa_sequence": F.when(one, F.col("_f.aa_sequence")), "problem": problem}).drop("_n", "_f")

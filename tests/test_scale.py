@@ -38,3 +38,8 @@ def test_lost_codons_do_not_make_the_texts_again(spark):
     plan = registry.QUERIES["c2_unassessable_codons"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     lost = [x for x in re.findall(r"filter\(sequence\(.*", plan)]
     assert lost and not any("aggregate(" in x for x in lost)
+
+
+def test_a_shared_alias_is_resolved_once(spark):
+    plan = registry.QUERIES["j9_resolve_rule_feature"](spark, DIR)._jdf.queryExecution().simpleString()
+    assert "Window" not in plan  # over a row for each rule and feature that share a name
