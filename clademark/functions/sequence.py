@@ -65,6 +65,11 @@ def translate_seq(seq: Column) -> Column:
     return F.when(n > 0, F.array_join(each, "")).otherwise("")
 
 
+def letters(seq: Column, at: Column, n: Column) -> Column:
+    """``n`` letters of a sequence from the 1-based place ``at``, as ``substring``; by bytes, which letters of sequences are, as a text would be counted from its start each time."""
+    return F.substring(seq.cast("binary"), at, n).cast("string")
+
+
 def complement(seq: Column) -> Column:
     return F.translate(F.upper(seq), "ACGTRYKMBVDHN", "TGCAYRMKVBHDN")
 

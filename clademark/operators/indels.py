@@ -15,20 +15,22 @@ def _amino_acid(x: DataFrame, codon: str, aa: str) -> DataFrame:
     return x.join(F.broadcast(table), codon, "left").withColumn(aa, F.coalesce(aa, F.lit("?")))
 
 
-def annotate_indels(located: DataFrame, features: DataFrame) -> DataFrame:
+def annotate_indels(located: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """Consequences of insertions and deletions (F-7).
 
     ``located``: calls with ``ref, alt`` (the first base is the anchor), ``strand, feature_id, cds_pos``; ``features``:
-    ``feature_id, codon_start, nt_sequence`` in coding orientation. A length that is no multiple of three is a
+    ``feature_id, codon_start, nt_sequence`` in coding orientation, or none if ``located`` has them already, as in ``annotate_snps``. A length that is no multiple of three is a
     frameshift. An insertion is read as anchor codon with the new bases inside: its first codon may be exchanged, the rest
     is what is inserted. A deletion inside a codon puts the bases behind it to the anchor; where the feature ends before,
     the amino acid is ``?``. So a call gives one row, or two where the anchor codon changes its amino acid. Calls whose anchor lies
     before the reading frame, or that are no indel, give none.
     """
-    x = located.filter("feature_id is not null and length(ref) <> length(alt) and least(length(ref), length(alt)) > 0").join(features, "feature_id")
+    x = located.filter("feature_id is not null and length(ref) <> length(alt) and least(length(ref), length(alt)) > 0")
+    x = x if features is None else x.join(features.hint("shuffle_hash"), "feature_id")
     start = F.coalesce("codon_start", F.lit(0))
     anchor = F.col("cds_pos") - start - F.when(F.col("strand") == "-", F.length("ref")).otherwise(0)
-    x = x.withColumns({"_at": anchor, "_coding": F.upper(F.substring("nt_sequence", start + 1, F.length("nt_sequence")))}).filter("_at >= 0").drop("nt_sequence")
+    coding = lambda at, n: F.upper(S.letters(F.col("nt_sequence"), start + at, n))
+    x = x.withColumn("_at", anchor).filter("_at >= 0")
     inserted = F.length("alt") > F.length("ref")
     longer = F.when(inserted, F.col("alt")).otherwise(F.col("ref"))
     moved = F.upper(F.substring(longer, F.lit(2), F.length(longer)))
@@ -37,18 +39,18 @@ def annotate_indels(located: DataFrame, features: DataFrame) -> DataFrame:
         "_shift": F.abs(F.length("alt") - F.length("ref")) % 3 != 0,
         "_bases": F.when(F.col("strand") == "-", S.reverse_complement(moved)).otherwise(moved),
     })
-    x = x.withColumn("ref_codon", F.substring("_coding", F.col("codon_pos") * 3 + 1, F.lit(3)))
+    x = x.withColumn("ref_codon", coding(F.col("codon_pos") * 3 + 1, F.lit(3)))
     kept, lost, n = F.substring("ref_codon", F.lit(1), F.col("_k")), F.substring("ref_codon", F.col("_k") + 1, F.lit(3)), F.length("_bases")
     open_codon = F.concat(kept, "_bases", lost)
     behind = F.col("codon_pos") * 3 + F.col("_k") + n
-    beyond = ~F.col("_ins") & (F.col("_k") < 3) & (behind + 3 - F.col("_k") > F.length("_coding"))
-    closed = F.concat(kept, F.substring("_coding", behind + 1, 3 - F.col("_k")))
-    gone = F.when(F.col("_k") == 3, F.col("_bases")).otherwise(F.substring("_coding", F.col("codon_pos") * 3 + 4, F.floor(n / 3).cast("int") * 3))
+    beyond = ~F.col("_ins") & (F.col("_k") < 3) & (behind + 3 - F.col("_k") > F.octet_length("nt_sequence") - start)
+    closed = F.concat(kept, coding(behind + 1, 3 - F.col("_k")))
+    gone = F.when(F.col("_k") == 3, F.col("_bases")).otherwise(coding(F.col("codon_pos") * 3 + 4, F.floor(n / 3).cast("int") * 3))
     x = x.withColumns({
         "_beyond": beyond & ~F.col("_shift"),
         "_codon": F.when(F.col("_shift") | beyond, F.col("ref_codon")).when(F.col("_ins"), F.substring(open_codon, 1, 3)).otherwise(closed),
         "_payload": F.when(F.col("_ins"), F.substring(open_codon, F.lit(4), n)).otherwise(gone),
-    }).drop("_coding")
+    }).drop("nt_sequence")
     x = _amino_acid(_amino_acid(x, "ref_codon", "ref_aa"), "_codon", "_aa")
     aa, both = F.col("ref_aa"), F.concat("ref_aa", S.translate_seq(F.col("_payload")))
     row = lambda codon, a, b, kind: F.struct(codon.alias("alt_codon"), a.alias("ref_aa"), b.alias("alt_aa"), kind.alias("consequence"))
@@ -58,8 +60,8 @@ def annotate_indels(located: DataFrame, features: DataFrame) -> DataFrame:
         .when(F.col("_beyond"), row(none, aa, F.lit("?"), F.lit("deletion")))
         .when(F.col("_ins"), row(none, aa, both, F.lit("insertion"))).otherwise(row(none, both, aa, F.lit("deletion")))
     )
-    exchange = F.when(F.col("_aa") != aa, row(F.col("_codon"), aa, F.col("_aa"), S.classify_snp(aa, F.col("_aa"), F.col("codon_pos"))))
-    x = x.withColumn("_row", F.explode(F.array_compact(F.array(exchange, indel)))).drop("ref_aa")
+    exchange = row(F.col("_codon"), aa, F.col("_aa"), S.classify_snp(aa, F.col("_aa"), F.col("codon_pos")))
+    x = x.withColumn("_row", F.explode(F.when(F.col("_aa") != aa, F.array(exchange, indel)).otherwise(F.array(indel)))).drop("ref_aa")
     return x.select("*", "_row.*").drop(*[c for c in x.columns if c.startswith("_")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import alleles
-from ..operators import annotate, cohort, indels, report
+from ..operators import annotate, cohort, indels, report, rules
 from . import fixtures
 from .catalog import _AA, _B, W_ANN, annotations, query
 from .fixtures import fixture
@@ -27,9 +27,13 @@ W_INDEL = f"""c AS ({fixtures.oracle('indel_calls')}), feature AS ({fixtures.ora
   UNION ALL SELECT run_id, feature_id, codon_pos, ref_codon, '', CASE WHEN fs OR beyond OR ins THEN aa ELSE aa || peptide END, CASE WHEN fs THEN aa || 'fsX' WHEN beyond THEN '?' WHEN ins THEN aa || peptide ELSE aa END, CASE WHEN fs THEN 'frameshift' WHEN ins THEN 'insertion' ELSE 'deletion' END, af FROM f)"""
 
 
-def indel_annotations(spark, d):
-    placed = annotate.locate_in_features(fixture(spark, d, "indel_calls"), annotate.coding_segments(fixtures.segments(spark, d)))
-    return indels.annotate_indels(placed, fixtures.features(spark, d)).select("run_id", "feature_id", "codon_pos", "ref_codon", "alt_codon", "ref_aa", "alt_aa", "consequence", "af")
+def indel_annotations(spark, d, about=None):
+    """Insertions and deletions in all features, or in those that the rules ``about`` are about."""
+    segments = annotate.coding_segments(fixtures.segments(spark, d))
+    segments = segments if about is None else rules.ruled_features(segments, about)
+    segments = segments.join(fixtures.features(spark, d).hint("shuffle_hash"), "feature_id")
+    placed = annotate.locate_in_features(fixture(spark, d, "indel_calls"), segments)
+    return indels.annotate_indels(placed).select("run_id", "feature_id", "codon_pos", "ref_codon", "alt_codon", "ref_aa", "alt_aa", "consequence", "af")
 
 
 @query(f"WITH {W_INDEL} SELECT * FROM ann")
@@ -46,7 +50,8 @@ W_FIT = f"""r AS ({fixtures.oracle('indel_rules')}), fit AS (SELECT a.run_id, r.
 
 
 def indel_hits(spark, d):
-    return indels.match_allele_rules(indel_annotations(spark, d), fixture(spark, d, "indel_rules"))
+    r = fixture(spark, d, "indel_rules")
+    return indels.match_allele_rules(indel_annotations(spark, d, r), r)
 
 
 @query(f"WITH {W_INDEL}, {W_FIT} SELECT run_id, rule_id, feature_id, codon_pos, ref_aa, alt_aa, consequence, af, drug FROM fit")
@@ -58,7 +63,8 @@ def f12_match_allele_rules(spark, d):
  SELECT run_id, rule_id, feature_id, codon_pos, consequence, reference AS expected, ref_aa AS observed FROM j WHERE consequence = 'insertion' AND length(mutation) > length(reference) AND ref_aa <> reference
  UNION ALL SELECT run_id, rule_id, feature_id, codon_pos, consequence, mutation, alt_aa FROM j WHERE consequence = 'deletion' AND length(reference) > length(mutation) AND alt_aa <> mutation""")
 def f12b_anchor_mismatches(spark, d):
-    return indels.anchor_mismatches(indel_annotations(spark, d), fixture(spark, d, "indel_rules"))
+    r = fixture(spark, d, "indel_rules")
+    return indels.anchor_mismatches(indel_annotations(spark, d, r), r)
 
 
 @query(f"""SELECT p_partkey, CASE kind WHEN 0 THEN '*' WHEN 1 THEN 'fsX' WHEN 2 THEN 'F' || CAST(position AS VARCHAR) || 'FGG' WHEN 3 THEN 'FGG' || CAST(position AS VARCHAR) || 'F' WHEN 4 THEN 'L'
