@@ -47,7 +47,7 @@ def annotate_snps(located: DataFrame, features: DataFrame | None = None) -> Data
     codon, place = S.codon_index(F.col("cds_pos"), start), S.codon_position(F.col("cds_pos"), start)
     base = F.when(F.col("strand") == "-", S.complement(F.col("alt"))).otherwise(F.upper("alt"))
     x = x.withColumns({"codon_pos": codon, "codon_offset": place, "coding_alt": base})
-    x = x.withColumn("ref_codon", F.upper(F.substring("nt_sequence", F.col("codon_pos") * 3 + start + 1, F.lit(3)))).drop("nt_sequence")
+    x = x.withColumn("ref_codon", F.upper(S.letters(F.col("nt_sequence"), F.col("codon_pos") * 3 + start + 1, F.lit(3)))).drop("nt_sequence")
     x = x.filter(F.substring("ref_codon", F.col("codon_offset") + 1, F.lit(1)) != F.col("coding_alt"))
     x = x.withColumn("alt_codon", F.overlay("ref_codon", "coding_alt", F.col("codon_offset") + 1, F.lit(1)))
     # The 64 codons as a broadcast table: as an expression, the translation would be repeated wherever an amino acid is used.

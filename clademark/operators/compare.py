@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import interval_join
 from .rules import COMPONENT_DRUG
 
 #: Samples whose cells of a mutation are held in one row, and samples that go to every task at most.
 TOGETHER, SENT = 64, 100_000
+#: Codons of a feature that look at the same gaps.
+PLACES = 64
 KEY = ["feature_id", "codon_pos", "ref_aa", "alt_aa"]
 
 
@@ -20,20 +22,29 @@ def mutation_matrix(ann: DataFrame, runs: DataFrame, gaps: DataFrame, hits: Data
     ``hits`` (``run_id`` and the key) adds ``db_hit``; with ``db_hits_only`` only mutations stay that some sample has as a hit.
 
     Samples are dealt to groups of about ``TOGETHER``. What a group has of a mutation, and which of it lack the place, is one row; the zeros are made at the end, where that row is. So no row grows with the
-    number of samples, and only a row for each group and mutation is shuffled. Gaps stay ranges.
+    number of samples, and only a row for each group and mutation is shuffled. Gaps stay ranges; those of a group at ``PLACES`` codons are one row.
     """
-    cells = mutation_cells(ann, hits, non_synonymous_only)
-    names = runs.select("run_id").distinct()
+    # Dealt by mutation at once, which also serves to find the largest frequency of each sample.
+    cells = mutation_cells(ann.repartition(*KEY), hits, non_synonymous_only)
+    names = runs.select("run_id").distinct().persist()  # as many rows as samples; read twice
     n = names.count()
     groups = n // TOGETHER + 1
     group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int").alias("_group")
-    mine = cells.groupBy(*KEY, group("run_id")).agg(F.map_from_entries(F.collect_list(F.struct("run_id", F.struct("af", "hit")))).alias("found"))
-    keys = cells.groupBy(*KEY).agg(F.max("hit").alias("any_hit"))
-    keys = (keys.filter("any_hit") if db_hits_only else keys).drop("any_hit")
-    place = keys.select("feature_id", "codon_pos").distinct()
-    ranges = gaps.select("feature_id", F.col("run_id").alias("_run"), F.col("codon_start").alias("_a"), (F.col("codon_end") + 1).alias("_b"))
-    lost = interval_join(place, ranges, ["feature_id"], point="codon_pos", start="_a", end="_b", bin=64).groupBy("feature_id", "codon_pos", group("_run")).agg(F.collect_set("_run").alias("lost"))
-    wide = keys.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(mine, [*KEY, "_group"], "left").join(lost, ["feature_id", "codon_pos", "_group"], "left")
+    mine = cells.groupBy(*KEY, group("run_id")).agg(F.map_from_entries(F.collect_list(F.struct("run_id", F.struct("af", "hit")))).alias("found"), F.max("hit").alias("_hit"))
+    own = W.partitionBy(*KEY)
+    if db_hits_only:
+        mine = mine.withColumn("_any", F.max("_hit").over(own)).filter("_any")
+    # Each row also stands for the groups without the mutation that follow, the first for those before: so cells are read once.
+    by = own.orderBy("_group")
+    first, behind = F.when(F.lag("_group").over(by).isNull(), 0).otherwise(F.col("_group")), F.coalesce(F.lead("_group").over(by), F.lit(groups))
+    wide = mine.withColumns({"_first": first, "_behind": behind}).withColumn("_at", F.explode(F.sequence("_first", F.col("_behind") - 1)))
+    wide = wide.select(*KEY, F.col("_at").alias("_group"), F.when(F.col("_at") == F.col("_group"), F.col("found")).alias("found"), F.floor(F.col("codon_pos") / PLACES).alias("_bin"))
+    bins = F.sequence(F.floor(F.col("codon_start") / PLACES), F.floor(F.col("codon_end") / PLACES))
+    ranges = gaps.filter("codon_start <= codon_end").select("feature_id", group("run_id"), F.struct(F.col("run_id").alias("run"), F.col("codon_start").alias("a"), F.col("codon_end").alias("b")).alias("gap"), F.explode(bins).alias("_bin"))
+    ranges = ranges.groupBy("feature_id", "_bin", "_group").agg(F.collect_list("gap").alias("gaps"))
+    wide = wide.join(ranges, ["feature_id", "_bin", "_group"], "left")
+    here = F.filter("gaps", lambda g: (g["a"] <= F.col("codon_pos")) & (g["b"] >= F.col("codon_pos")))
+    wide = wide.withColumn("lost", F.transform(here, lambda g: g["run"])).drop("gaps", "_bin")
     own_runs = names.groupBy(group("run_id")).agg(F.collect_list("run_id").alias("runs"))
     out = wide.join(F.broadcast(own_runs) if n <= SENT else own_runs, "_group").withColumn("run_id", F.explode("runs"))
     own = F.element_at("found", F.col("run_id"))

@@ -23,16 +23,21 @@ def base_depth(blocks: DataFrame) -> DataFrame:
 def uncovered_ranges(features: DataFrame, stretches: DataFrame, min_depth: int = 10) -> DataFrame:
     """Codons of which a base has too little depth, as inclusive ranges ``codon_start, codon_end`` (A-6, W-2).
 
-    ``features``: ``feature_id, n_codons``; ``stretches``: ``run_id, feature_id, start, end, depth`` in coding positions, apart from each other. Stretches with enough depth that meet are put together; the
-    codons that lie in one whole are known by its ends, and what is between is a gap. Codons are never listed.
+    ``features``: ``feature_id, n_codons``; ``stretches``: ``run_id, feature_id, start, end, depth`` in coding positions, apart from each other. Each stretch with enough depth gives its
+    bases to the codons at its ends, and those between as a range; what lies between whole ones is a gap. Codons inside stretches and gaps are never listed.
     """
-    own = W.partitionBy("run_id", "feature_id")
-    fine = stretches.filter(F.col("depth") >= min_depth).withColumn("_new", (F.coalesce(F.lag("end").over(own.orderBy("start")), F.lit(-1)) < F.col("start")).cast("int"))
-    fine = fine.withColumn("_island", F.sum("_new").over(own.orderBy("start"))).groupBy("run_id", "feature_id", "_island").agg(F.ceil(F.min("start") / 3).cast("int").alias("a"), F.floor(F.max("end") / 3).cast("int").alias("b"))
-    last = stretches.select("run_id", "feature_id").distinct().join(features.select("feature_id", F.col("n_codons").cast("int").alias("n")), "feature_id")
-    marks = fine.filter("a < b").select("run_id", "feature_id", "a", "b").unionByName(last.select("run_id", "feature_id", F.col("n").alias("a"), F.col("n").alias("b")))
-    gaps = marks.withColumn("_from", F.coalesce(F.lag("b").over(own.orderBy("a", "b")), F.lit(0))).filter("_from < a")
-    return gaps.select("run_id", "feature_id", F.col("_from").alias("codon_start"), (F.col("a") - 1).alias("codon_end"))
+    s, e = F.col("start").cast("int"), F.col("end").cast("int")
+    first, behind = F.floor(s / 3).cast("int"), F.ceil(e / 3).cast("int")
+    part = lambda a, b, n: F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
+    ends = [part(first, first + 1, (first + 1) * 3 - s), part(behind - 1, behind, e - (behind - 1) * 3)]
+    parts = F.when(F.col("depth") < min_depth, F.array(part(F.lit(0), F.lit(1), F.lit(0)))).when(first + 1 >= behind, F.array(part(first, behind, e - s)))
+    parts = parts.when(first + 2 == behind, F.array(*ends)).otherwise(F.array(ends[0], part(first + 1, behind - 1, (behind - first - 2) * 3), ends[1]))
+    own = ["run_id", "feature_id"]
+    x = stretches.select(*own, F.inline(parts)).groupBy(*own, "a", "b").agg(F.sum("n").alias("n"))
+    whole = F.when((F.col("n") > 0) & (F.col("n") == (F.col("b") - F.col("a")) * 3), F.struct("a", "b"))
+    x = x.groupBy(*own).agg(F.sort_array(F.collect_list(whole)).alias("_w")).join(features.select("feature_id", F.col("n_codons").cast("int").alias("n")), "feature_id")
+    x = x.select(*own, "n", F.inline(F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("_w.b")).alias("codon_start"), F.concat(F.col("_w.a"), F.array("n")).alias("codon_end"))))
+    return x.withColumn("codon_end", F.least("codon_end", "n") - 1).filter("codon_start <= codon_end").drop("n")
 
 
 def uncovered_codons(features: DataFrame, stretches: DataFrame, min_depth: int = 10) -> DataFrame:
@@ -42,10 +47,13 @@ def uncovered_codons(features: DataFrame, stretches: DataFrame, min_depth: int =
 
 
 def merge_codon_gaps(codons: DataFrame) -> DataFrame:
-    """Consecutive codons as inclusive ranges (W-2)."""
-    w = W.partitionBy("run_id", "feature_id").orderBy("codon_pos")
-    island = codons.distinct().withColumn("g", F.col("codon_pos") - F.row_number().over(w))
-    return island.groupBy("run_id", "feature_id", "g").agg(F.min("codon_pos").alias("codon_start"), F.max("codon_pos").alias("codon_end")).drop("g")
+    """Codons (``codon_pos``) or ranges of them (``codon_start, codon_end``) that meet, as inclusive ranges (W-2). Ranges are never listed."""
+    x = codons if "codon_start" in codons.columns else codons.withColumns({"codon_start": F.col("codon_pos"), "codon_end": F.col("codon_pos")})
+    own = W.partitionBy("run_id", "feature_id").orderBy("codon_start", "codon_end")
+    before = F.max("codon_end").over(own.rowsBetween(W.unboundedPreceding, -1))
+    x = x.withColumn("_new", F.coalesce(before + 1 < F.col("codon_start"), F.lit(True)).cast("int"))
+    x = x.withColumn("g", F.sum("_new").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return x.groupBy("run_id", "feature_id", "g").agg(F.min("codon_start").alias("codon_start"), F.max("codon_end").alias("codon_end")).drop("g")
 
 
 def gene_coverage(gaps: DataFrame, features: DataFrame) -> DataFrame:

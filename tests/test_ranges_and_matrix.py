@@ -52,3 +52,12 @@ def test_matrix_equals_cell_by_cell(spark, monkeypatch):
         want = {(x, *k): (cells.get((x, *k), None if lost(x, k) else 0.0), (x, *k) in cells and (x, *k) in marked) for x in runs for k in live}
         got = compare.mutation_matrix(*args, non_synonymous_only=True, db_hits_only=only).collect()
         assert {tuple(x)[:5]: tuple(x)[5:] for x in got} == want and len(got) == len(want)
+
+
+def test_gaps_end_with_the_feature_and_join_ranges(spark):
+    features = spark.createDataFrame([(1, 4), (2, 3)], "feature_id long, n_codons int")
+    rows = [("a", 1, 0, 2, 20), ("a", 1, 2, 7, 20), ("a", 1, 18, 21, 20), ("a", 2, 0, 30, 9), ("b", 2, 0, 30, 10), ("b", 1, 4, 11, 10), ("b", 1, 11, 12, 3)]
+    got = coverage.uncovered_ranges(features, spark.createDataFrame(rows, "run_id string, feature_id long, start int, end int, depth int"))
+    assert {tuple(x) for x in got.select("run_id", "feature_id", "codon_start", "codon_end").collect()} == {("a", 1, 2, 3), ("a", 2, 0, 2), ("b", 1, 0, 1), ("b", 1, 3, 3)}
+    ranges = spark.createDataFrame([("a", 1, 0, 2), ("a", 1, 3, 3), ("a", 1, 5, 9), ("a", 1, 6, 7), ("b", 1, 4, 4)], "run_id string, feature_id long, codon_start int, codon_end int")
+    assert {tuple(x)[:4] for x in coverage.merge_codon_gaps(ranges).collect()} == {("a", 1, 0, 3), ("a", 1, 5, 9), ("b", 1, 4, 4)}

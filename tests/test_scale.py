@@ -48,3 +48,24 @@ def test_a_shared_alias_is_resolved_once(spark):
 def test_each_codon_is_translated_once(spark):
     plan = registry.QUERIES["f1_translate_codon"](spark, DIR)._jdf.queryExecution().simpleString()
     assert re.search(r"keys=\[codon#\d+\]", plan)  # distinct codons, and not all rows, meet the code
+
+
+def test_a_codon_is_found_by_its_place_in_the_sequence(spark):
+    for name in ("f6_annotate_snps", "f7_annotate_indels"):
+        plan = registry.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+        assert "substring(cast(nt_sequence" in plan and "substring(nt_sequence" not in plan, name  # a text would be counted from its start
+
+
+def test_gaps_are_not_listed_codon_by_codon(spark):
+    plan = registry.QUERIES["w2_merge_codon_gaps"](spark, DIR)._jdf.queryExecution().simpleString()
+    assert "explode(sequence(codon_start" not in plan
+
+
+def test_the_matrix_reads_cells_once(spark):
+    plan = registry.QUERIES["m1_mutation_matrix"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[l_orderkey", plan)) == 2  # calls for cells and for gaps
+
+
+def test_indels_meet_rules_in_features_with_rules_only(spark):
+    for name in ("f12_match_allele_rules", "f12b_anchor_mismatches"):
+        assert "LeftSemi" in registry.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString(), name
