@@ -1,6 +1,7 @@
 r"""Source divergence audit: how far the terms of each source differ from those of its language and of other sources.
 
-Chunk factorization: white-space chunks are counted for each document in the tasks that read it, and leave these already summed by language and source.
+Chunk factorization: white-space chunks, in small letters and from their first letter to their last, are counted for each document in the tasks that read it, and leave
+these already summed by language and source.
 Each globally distinct chunk is split into terms once; the terms are joined back to the counts.
 
 Whether a term is in at least ``least`` documents is decided without a row for each document: a chunk's row has its number of documents and the
@@ -20,8 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._store import joined, scratch, written
-from ._text import NOT_SPACE, chunks, table, words
-from .lines import lower_ascii
+from ._text import LOWER, NOT_SPACE, chunks, table, words
 
 LEAST_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Terms times sources that a task compares at a time.
@@ -51,11 +51,14 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lang, source = (batch.column(i).slice(lo, hi - lo).dictionary_encode() for i in (0, 1))
             number = batch.column(3).slice(lo, hi - lo).to_numpy()
             group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            data = LOWER[data]
             starts, ends, before = words(data, off, NOT_SPACE)
-            letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
-            has = letters[ends] > letters[starts]
+            at = np.flatnonzero(_LETTER[data])
+            first, behind = np.searchsorted(at, starts), np.searchsorted(at, ends)
+            has = behind > first
             doc = np.repeat(np.arange(hi - lo), np.diff(before))[has]
-            chunk = _binary(data, starts[has], ends[has]).dictionary_encode()
+            # What is before the first letter of a chunk and behind the last is in no term.
+            chunk = _binary(data, at[first[has]], at[behind[has] - 1] + 1).dictionary_encode()
             m = max(1, len(chunk.dictionary))
             # Counts of each document, then of each language and source; documents stay in order.
             own, n = np.unique(doc * m + chunk.indices.to_numpy(), return_counts=True)
@@ -136,7 +139,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         counts = written(counted.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), few(F.min("lo")).alias("lo"), few(F.max("hi")).alias("hi")), "chunks")
         real = counts.filter(F.col("chunk").isNotNull())
         distinct = real.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
-        split = written(distinct.select("chunk", "rows", F.regexp_extract_all(lower_ascii(F.col("chunk")), F.lit(TERM), F.lit(0)).alias("terms")), "terms")
+        split = written(distinct.select("chunk", "rows", F.regexp_extract_all(F.col("chunk"), F.lit(TERM), F.lit(0)).alias("terms")), "terms")
         each = joined(real, split, ["chunk"], "rows").select("lang", "source", F.explode("terms").alias("term"), "n", "docs", "lo", "hi")
         each = written(each, "each")
 

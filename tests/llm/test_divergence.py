@@ -79,3 +79,11 @@ def test_thresholds_and_empty(spark):
 def test_counts_beyond_a_long_product(spark):
     df = spark.createDataFrame([(9_000_000_000_000, 12_000_000_000_000, 5)], "c long, n long, v long")
     assert df.select(divergence._p(df.c, df.n, df.v)).first()[0] == 1 + 10**9 * (9_000_000_000_001) // (12_000_000_000_005)
+
+
+def test_chunks_that_give_the_same_terms_are_one_row():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (["a"], ["s"], ["(Word, word. -- WORD-Über don't\n"], [7])], ["lang", "source", "text", "number"])
+    got = [tuple(r.values()) for b in divergence._count_rows(iter([rows])) for r in b.to_pylist()]
+    assert sorted(got, key=str) == sorted([("a", "s", None, 0, 0, None, None), ("a", "s", "word", 2, 1, 7, 7), ("a", "s", "word-Über", 1, 1, 7, 7), ("a", "s", "don't", 1, 1, 7, 7)], key=str)
