@@ -10,8 +10,11 @@ No list is expanded into all its pairs:
 * equal sets are collapsed to their smallest id before anything else;
 * each list is first compared with its pivot (its smallest member) only, and the
   verified links are contracted to components;
-* then only documents of lists with several components go on, with their whole sets; long lists are compared with
-  random members first, and only documents of different components are paired, since a link inside a component changes nothing.
+* then only documents of lists with several components go on, with their whole sets; long lists are compared with their
+  middle first, then with random members, and only documents of different components are paired, since a link inside a component changes nothing.
+
+The middle of a list is the member of whose shingles other documents hold the largest share. In a group of copies with
+changes of their own it is the text they were made from, which is like most of them, while two copies are seldom like each other.
 
 Of a sketch of m values that must have ``need`` in common with any partner's, the
 m - need + 1 that the fewest sketches hold are enough for a list, as both sides share
@@ -178,8 +181,8 @@ def near_duplicates(
         own = W.partitionBy("doc_id")
         ranked = whole.withColumns({"r": F.row_number().over(own.orderBy("c", "v")), "h": F.count("*").over(own)})
         prefix = written(ranked.filter(F.col("r") <= F.col("h") - F.ceil(F.col("n") * percent / 100) + 1), "prefix")
-        # Lists are compared with one random member first, again and again while lists are long and that joins a good part of
-        # what is apart: in a large group of copies, where the first pivot was like few, it soon joins nearly all.
+        # Lists are compared with one member first, the middle and then random ones, again and again while lists are long and that joins a
+        # good part of what is apart: in a large group of copies, where the first pivot was like few, it soon joins nearly all.
         links, tested, apart = found, stars.select("a", "b"), None
         for turn in range(TURNS):
             lists = prefix.groupBy("v").agg(F.count("*").alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1")
@@ -188,7 +191,8 @@ def near_duplicates(
             last, apart = apart, live.select("g").distinct().count() if load["pairs"] > PAIRS * load["rows"] else 0
             if not apart or (last and apart > last * GAIN):
                 break
-            pivot = live.groupBy("v").agg(F.min_by(F.struct("doc_id", "n", "g"), F.xxhash64("doc_id", "v", F.lit(turn))).alias("p"))
+            alone = F.lit(0) if turn else 1 - F.col("h") / F.col("n")
+            pivot = live.groupBy("v").agg(F.min_by(F.struct("doc_id", "n", "g"), F.struct(alone.alias("alone"), F.xxhash64("doc_id", "v", F.lit(turn)))).alias("p"))
             near = live.join(pivot, "v").filter(F.col("g") != F.col("p.g"))
             ends = F.struct(F.col("doc_id").alias("id"), F.col("n").alias("n")), F.struct(F.col("p.doc_id").alias("id"), F.col("p.n").alias("n"))
             near = near.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))

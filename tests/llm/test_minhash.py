@@ -1,6 +1,7 @@
 import random
 import re
 
+from clademark.llm import minhash
 from clademark.llm.minhash import near_duplicates
 
 SCHEMA = "doc_id long, text string, n long, rep string"
@@ -61,3 +62,28 @@ def test_empty_repeated_and_null_ids(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     want = brute([(1, rows[0][1]), (5, long), (4, long + "q")])
     assert got == [(1, 1, True), (1, 1, True), (4, *want[4][1:]), (5, *want[5][1:]), (None, None, True)]
+
+
+def test_copies_of_one_text_meet_it_and_not_each_other(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # each is like the text that it was made from, two are not like each other
+        own = list(base)
+        for at in r.sample(range(10, 110, 10), 3):
+            own[at + r.randrange(5)] = f"x{i}.{at}"
+        rows.append((i, " ".join(own)))
+    rows.append((999, " ".join(base)))
+    made = {}
+
+    def written(df, name):
+        out = store(df, name)
+        made[name] = out.count()
+        return out
+
+    store = minhash.written
+    monkeypatch.setattr(minhash, "written", written)
+    monkeypatch.setattr(minhash, "PAIRS", 0)
+    got = near_duplicates(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA))
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got.collect()} == brute(rows)
+    assert made["near"] + made["across"] <= 2 * len(rows), made
