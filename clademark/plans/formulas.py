@@ -92,8 +92,8 @@ W_COMBINED = W_PLACES + """, mem AS MATERIALIZED (SELECT run_id, feature_id, cod
  also AS MATERIALIZED (SELECT c.run_id, c.feature_id, c.codon_pos, c.codon_offset, c.coding_alt, y.aa, sum(y.lower) AS lower, min(y.state_no) AS no FROM comb c JOIN carry y USING (run_id, feature_id, codon_pos, codon_offset, coding_alt) WHERE y.accepted AND NOT (c.up AND y.state_no = c.sure.no) GROUP BY ALL)"""
 
 
-def _combined(spark, d):
-    return combined.combined_annotations(annotations(spark, d), eps=1e-6)
+def _combined(spark, d, about=None):
+    return combined.combined_annotations(annotations(spark, d, about), eps=1e-6)
 
 
 @query(f"WITH {W_COMBINED}, l AS (SELECT run_id, feature_id, codon_pos, codon_offset, coding_alt, string_agg(aa, ',' ORDER BY no) AS states, sum(lower) AS total FROM also GROUP BY ALL) SELECT run_id, feature_id, codon_pos, codon_offset, coding_alt, alt_codon, alt_aa, consequence, round(effect_freq, 6) AS effect_freq, CASE WHEN combined THEN 'estimated' ELSE 'observed' END AS freq_method, coalesce(states, '') AS states, round(coalesce(total, 0), 6) AS total FROM comb LEFT JOIN l USING (run_id, feature_id, codon_pos, codon_offset, coding_alt)")
@@ -111,4 +111,6 @@ def a4b_combined_annotations(spark, d):
  SELECT run_id, feature_id, codon_pos, codon_offset, coding_alt, rule_id, drug, aa AS effect_aa, round(lower, 6) AS effect_freq FROM fit
  QUALIFY NOT combined OR row_number() OVER (PARTITION BY run_id, feature_id, codon_pos, aa, rule_id, combined ORDER BY codon_offset, coding_alt) = 1""")
 def w6_match_effects(spark, d):
-    return r6(combined.match_effects(_combined(spark, d), fixture(spark, d, "rules")), "effect_freq")
+    """Codons are combined in features with rules only, as those of others fulfil none."""
+    rules = fixture(spark, d, "rules")
+    return r6(combined.match_effects(_combined(spark, d, rules), rules), "effect_freq")

@@ -69,3 +69,7 @@ def test_the_matrix_reads_cells_once(spark):
 def test_indels_meet_rules_in_features_with_rules_only(spark):
     for name in ("f12_match_allele_rules", "f12b_anchor_mismatches"):
         assert "LeftSemi" in registry.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_effects_are_combined_in_features_with_rules_only(spark):
+    assert "LeftSemi" in registry.QUERIES["w6_match_effects"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
