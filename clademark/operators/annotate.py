@@ -35,11 +35,12 @@ def coding_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("cds_offset", F.coalesce(F.sum(F.col("end") - F.col("start")).over(before), F.lit(0)))
 
 
-def annotate_snps(located: DataFrame, features: DataFrame | None = None) -> DataFrame:
+def annotate_snps(located: DataFrame, features: DataFrame | None = None, all_calls: bool = False) -> DataFrame:
     """Codons, amino acids and consequence of single exchanges (F-6, F-5).
 
     ``features``: ``feature_id, codon_start, nt_sequence`` in coding orientation, or none if ``located`` has them already (from its segments, which saves to move the calls
-    once more). An allele on the reverse strand is complemented. What equals the reference base is no exchange and is left out.
+    once more). An allele on the reverse strand is complemented. What equals the reference base is no exchange and is left out,
+    or, with ``all_calls``, stays without a consequence, so that depth and exchanges come from one pass.
     """
     x = located.filter("feature_id is not null")
     x = x if features is None else x.join(features.hint("shuffle_hash"), "feature_id")
@@ -48,11 +49,13 @@ def annotate_snps(located: DataFrame, features: DataFrame | None = None) -> Data
     base = F.when(F.col("strand") == "-", S.complement(F.col("alt"))).otherwise(F.upper("alt"))
     x = x.withColumns({"codon_pos": codon, "codon_offset": place, "coding_alt": base})
     x = x.withColumn("ref_codon", F.upper(S.letters(F.col("nt_sequence"), F.col("codon_pos") * 3 + start + 1, F.lit(3)))).drop("nt_sequence")
-    x = x.filter(F.substring("ref_codon", F.col("codon_offset") + 1, F.lit(1)) != F.col("coding_alt"))
+    changed = F.substring("ref_codon", F.col("codon_offset") + 1, F.lit(1)) != F.col("coding_alt")
+    x = x if all_calls else x.filter(changed)
     x = x.withColumn("alt_codon", F.overlay("ref_codon", "coding_alt", F.col("codon_offset") + 1, F.lit(1)))
     # The 64 codons as a broadcast table: as an expression, the translation would be repeated wherever an amino acid is used.
     codons = x.sparkSession.createDataFrame(list(S.CODONS.items()), "codon string, aa string")
     for side in ("ref", "alt"):
         table = F.broadcast(codons.select(F.col("codon").alias(f"{side}_codon"), F.col("aa").alias(f"{side}_aa")))
         x = x.join(table, f"{side}_codon", "left").withColumn(f"{side}_aa", F.coalesce(f"{side}_aa", F.lit("?")))
-    return x.withColumn("consequence", S.classify_snp(F.col("ref_aa"), F.col("alt_aa"), F.col("codon_pos")))
+    kind = S.classify_snp(F.col("ref_aa"), F.col("alt_aa"), F.col("codon_pos"))
+    return x.withColumn("consequence", F.when(changed, kind) if all_calls else kind)

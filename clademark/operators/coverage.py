@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +40,20 @@ def uncovered_ranges(features: DataFrame, stretches: DataFrame, min_depth: int =
     return x.withColumn("codon_end", F.least("codon_end", "n") - 1).filter("codon_start <= codon_end").drop("n")
 
 
+def lost_codons(calls: DataFrame, sums: dict[str, Column], min_depth: int = 10) -> DataFrame:
+    """How many codons of each run and feature have a base with too little depth (A-6 counted): ``run_id, feature_id, lost`` and ``sums`` over the calls.
+
+    ``calls``: ``run_id, feature_id, n_codons, cds_pos, depth``; depths of one position add. Codons are counted where they are put together, and never listed.
+    """
+    own = ["run_id", "feature_id", "n_codons"]
+    place = F.col("cds_pos") % 3
+    depths = [F.sum(F.when(place == i, F.col("depth"))).alias(f"_d{i}") for i in range(3)]
+    x = calls.groupBy(*own, F.floor(F.col("cds_pos") / 3).alias("_codon")).agg(*depths, *(c.alias(k) for k, c in sums.items()))
+    whole = (F.col("_codon") >= 0) & (F.col("_codon") < F.col("n_codons")) & (F.least(*(F.coalesce(f"_d{i}", F.lit(min_depth - 1)) for i in range(3))) >= min_depth)
+    x = x.groupBy(*own).agg(F.count_if(whole).alias("_whole"), *(F.sum(k).alias(k) for k in sums))
+    return x.select("run_id", "feature_id", (F.col("n_codons") - F.col("_whole")).alias("lost"), *sums)
+
+
 def uncovered_codons(features: DataFrame, stretches: DataFrame, min_depth: int = 10) -> DataFrame:
     """The codons of ``uncovered_ranges``, one by one (A-6)."""
     gaps = uncovered_ranges(features, stretches, min_depth)

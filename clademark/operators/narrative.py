@@ -31,13 +31,15 @@ def narrative(runs: DataFrame, profiled: DataFrame, drugs: DataFrame, labels: Da
     """``run_id, lead, uncovered, high_impact`` (texts, empty where there is nothing to say) and ``drugs`` (``label, text``, the most severe label first).
 
     ``runs``: ``run_id, organism``; ``profiled``: ``run_id, organism, feature``; ``drugs``: ``run_id, drug, assessment`` (blank without one); ``labels``: ``run_id, drug, label``, of the hits; ``gaps``: ``run_id, feature, codon_start,
-    codon_end``; ``impacts``: ``run_id``, a row for each change of high impact that neither rule nor formula explains.
+    codon_end``; ``impacts``: ``run_id`` and, if rows stand for several, ``n``: the changes of high impact that neither rule nor formula explains. Gaps may also be put together
+    before, as ``run_id, feature, n``, their codons.
 
     Features are named with their organisms, those of the first feature first. A drug is listed under its assessment and under each label that its hits have, if the run assesses it; unknown labels say nothing. What is gathered for a run
     are names of a knowledge base.
     """
     organism = F.coalesce(F.nullif(F.trim("organism"), F.lit("")), F.lit(_NOBODY))
-    each = profiled.select("run_id", organism.alias("o"), F.trim("feature").alias("feature")).groupBy("run_id", "o").agg(F.array_sort(F.collect_set("feature")).alias("f"))
+    # Names are made distinct by a shuffle before they are gathered, as a run's set would be merged from all tasks.
+    each = profiled.select("run_id", organism.alias("o"), F.trim("feature").alias("feature")).distinct().groupBy("run_id", "o").agg(F.array_sort(F.collect_list("feature")).alias("f"))
     clause = F.struct(F.get("f", F.lit(0)).alias("first"), F.concat(listed(F.col("f")), F.lit(" of "), "o").alias("text"))
     mapped = each.groupBy("run_id").agg(listed(F.transform(F.array_sort(F.collect_list(clause)), lambda c: c.text)).alias("mapped"))
     has = F.trim(F.coalesce("assessment", F.lit(""))) != ""
@@ -50,9 +52,11 @@ def narrative(runs: DataFrame, profiled: DataFrame, drugs: DataFrame, labels: Da
     line = F.struct((-F.col("rank")).alias("order"), "label", F.concat(F.lit("Drugs assessed as "), "label", F.lit(": "), listed(F.transform("d", lambda d: d.drug)), F.lit(".")).alias("text"))
     lists = names.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x.label.alias("label"), x.text.alias("text"))).alias("drugs"))
 
-    lost = gaps.groupBy("run_id").agg(F.sum(F.greatest(F.col("codon_end") - F.col("codon_start") + 1, F.lit(0))).cast("long").alias("n"), listed(F.array_sort(F.collect_set("feature"))).alias("f"))
+    codons = F.col("n") if "n" in gaps.columns else F.greatest(F.col("codon_end") - F.col("codon_start") + 1, F.lit(0))
+    lost = gaps.groupBy("run_id", "feature").agg(F.sum(codons).alias("n"))
+    lost = lost.groupBy("run_id").agg(F.sum("n").cast("long").alias("n"), listed(F.array_sort(F.collect_list("feature"))).alias("f"))
     lost = lost.filter("n > 0").select("run_id", F.concat(F.lit("However, "), _counted(F.col("n"), " position", " positions"), F.lit(" of "), "f", F.lit(" could not be assessed due to incomplete sequence data.")).alias("uncovered"))
-    strong = impacts.groupBy("run_id").agg(F.count("*").alias("n"))
+    strong = impacts.groupBy("run_id").agg((F.sum("n") if "n" in impacts.columns else F.count("*")).alias("n")).filter("n > 0")
     strong = strong.select("run_id", F.concat(F.lit("Importantly, "), _counted(F.col("n"), " high-impact variant was", " high-impact variants were"), F.lit(" detected and require manual interpretation.")).alias("high_impact"))
 
     x = runs.select("run_id", organism.alias("o"))

@@ -39,10 +39,14 @@ def located(spark: SparkSession, d: str) -> DataFrame:
 
 def annotations(spark: SparkSession, d: str, about: DataFrame | None = None) -> DataFrame:
     """Exchanges in all features, or in those that the rules ``about`` are about."""
+    return annotate.annotate_snps(with_sequences(spark, d, about)).select(ANN)
+
+
+def with_sequences(spark: SparkSession, d: str, about: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Calls in features, with the sequences of these and their columns ``also``."""
     calls, segments = annotate.filter_calls(fixture(spark, d, "calls")), annotate.coding_segments(fixtures.segments(spark, d))
     segments = segments if about is None else rules.ruled_features(segments, about)
-    segments = segments.join(fixtures.features(spark, d).hint("shuffle_hash"), "feature_id")
-    return annotate.annotate_snps(annotate.locate_in_features(calls, segments)).select(ANN)
+    return annotate.locate_in_features(calls, segments.join(fixtures.features(spark, d, *also).hint("shuffle_hash"), "feature_id"))
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:

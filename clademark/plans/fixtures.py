@@ -45,12 +45,12 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name].replace("VARCHAR(9)", "STRING"), **used)
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features with their sequence in coding orientation."""
+def features(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    """Features with their sequence in coding orientation, and their columns ``also``."""
     # Between start and stop, ``BASE`` repeats after four places.
     four = F.concat(*[F.substring(F.lit("ACGT"), ((i * 7 + i * i + F.col("feature_id")) % 4).cast("int") + 1, F.lit(1)) for i in range(4)])
     seq = F.concat(F.lit("ATG"), F.substring(F.repeat(four, F.lit(150)), 4, 594), F.lit("TAA"))
-    return fixture(spark, sf_dir, "feature").select("feature_id", F.lit(0).alias("codon_start"), seq.alias("nt_sequence"))
+    return fixture(spark, sf_dir, "feature").select("feature_id", F.lit(0).alias("codon_start"), seq.alias("nt_sequence"), *also)
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

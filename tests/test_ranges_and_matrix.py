@@ -61,3 +61,12 @@ def test_gaps_end_with_the_feature_and_join_ranges(spark):
     assert {tuple(x) for x in got.select("run_id", "feature_id", "codon_start", "codon_end").collect()} == {("a", 1, 2, 3), ("a", 2, 0, 2), ("b", 1, 0, 1), ("b", 1, 3, 3)}
     ranges = spark.createDataFrame([("a", 1, 0, 2), ("a", 1, 3, 3), ("a", 1, 5, 9), ("a", 1, 6, 7), ("b", 1, 4, 4)], "run_id string, feature_id long, codon_start int, codon_end int")
     assert {tuple(x)[:4] for x in coverage.merge_codon_gaps(ranges).collect()} == {("a", 1, 0, 3), ("a", 1, 5, 9), ("b", 1, 4, 4)}
+
+
+def test_lost_codons_are_counted_without_listing_them(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", 1, 4, p, 6, 1) for p in range(6) for _ in range(2)] + [("a", 1, 4, 9, 50, 0), ("a", 1, 4, 12, 50, 0), ("b", 2, 1, 0, 9, 0), ("b", 2, 1, 1, 30, 0), ("b", 2, 1, 2, 30, 5), ("c", 2, 1, 0, 10, 0), ("c", 2, 1, 1, 10, 0), ("c", 2, 1, 2, 10, 0)]
+    calls = spark.createDataFrame(rows, "run_id string, feature_id long, n_codons int, cds_pos int, depth int, x int")
+    got = coverage.lost_codons(calls, {"x": F.sum("x")})
+    assert {tuple(r) for r in got.collect()} == {("a", 1, 2, 12), ("b", 2, 1, 5), ("c", 2, 0, 0)}
