@@ -29,10 +29,14 @@ def drug_stats(hits: DataFrame) -> DataFrame:
 
 
 def feature_stats(ann: DataFrame, hits: DataFrame, formulas: DataFrame) -> DataFrame:
-    """For each run and feature: distinct mutations, hits, and fired formulas, each once (A-11). ``formulas``: ``run_id, feature_id, formula_id``."""
+    """For each run and feature: distinct mutations, hits, and fired formulas, each once (A-11). ``formulas``: ``run_id, feature_id, formula_id``.
+
+    Rows of ``hits`` that stand for several have their number as ``n``. Exchanges are shuffled once, by run and feature.
+    """
     key = ["run_id", "feature_id"]
-    seen = ann.filter("consequence != 'synonymous'").groupBy(key).agg(F.count_distinct("codon_pos", "ref_aa", "alt_aa").alias("mutations"))
-    hit = hits.groupBy(key).agg(F.count("*").alias("hits"))
+    each = ann.filter("consequence != 'synonymous'").select(*key, "codon_pos", "ref_aa", "alt_aa").repartition(*key).distinct()
+    seen = each.groupBy(key).agg(F.count("*").alias("mutations"))
+    hit = hits.groupBy(key).agg((F.sum("n") if "n" in hits.columns else F.count("*")).alias("hits"))
     fired = formulas.groupBy(key).agg(F.count_distinct("formula_id").alias("formulas"))
     return seen.join(hit, key, "full").join(fired, key, "full").na.fill(0)
 
