@@ -48,7 +48,7 @@ def lost_codons(calls: DataFrame, sums: dict[str, Column], min_depth: int = 10)
     own = ["run_id", "feature_id", "n_codons"]
     place = F.col("cds_pos") % 3
     depths = [F.sum(F.when(place == i, F.col("depth"))).alias(f"_d{i}") for i in range(3)]
-    x = calls.groupBy(*own, F.floor(F.col("cds_pos") / 3).alias("_codon")).agg(*depths, *(c.alias(k) for k, c in sums.items()))
+    x = calls.repartition(*own).groupBy(*own, F.floor(F.col("cds_pos") / 3).alias("_codon")).agg(*depths, *(c.alias(k) for k, c in sums.items()))
     whole = (F.col("_codon") >= 0) & (F.col("_codon") < F.col("n_codons")) & (F.least(*(F.coalesce(f"_d{i}", F.lit(min_depth - 1)) for i in range(3))) >= min_depth)
     x = x.groupBy(*own).agg(F.count_if(whole).alias("_whole"), *(F.sum(k).alias(k) for k in sums))
     return x.select("run_id", "feature_id", (F.col("n_codons") - F.col("_whole")).alias("lost"), *sums)
