@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles
 from ..functions import sequence as S
-from .codon import codon_groups, frechet_states
+from .codon import frechet_list, offsets, places
 
 CODON = ["run_id", "feature_id", "codon_pos"]
 MEMBER = [*CODON, "codon_offset", "coding_alt"]
@@ -23,12 +23,15 @@ def combined_annotations(ann: DataFrame, min_fraction: float = 2 / 3, eps: float
     upper, forced``). Where the exchange alone is impossible and a state carries it for certain (``forced`` 1), the row shows that state in place of it: of several
     that with most exchanges, then the higher bound. All other exchanges keep their own frequency and have no states.
     """
-    member = ann.groupBy(*MEMBER, "ref_codon", "alt_codon", "ref_aa", "alt_aa", "consequence").agg(F.max("af").alias("af"))
-    state = F.struct("state_no", "codon", "aa", "size", "lower", "upper", "forced", "accepted")
-    found = frechet_states(codon_groups(ann), min_fraction, eps).filter("size > 0").groupBy(*CODON).agg(F.sort_array(F.collect_list(state)).alias("_s"))
-    found = found.filter(F.exists("_s", lambda s: s["accepted"]))
-    x = member.join(found, CODON, "left")
-    x = x.withColumn("_s", F.filter("_s", lambda s: F.substring(s["codon"], F.col("codon_offset") + 1, F.lit(1)) == F.col("coding_alt")))
+    # One shuffle by codon serves the calls of an exchange and the exchanges of a codon; only codons with several places have lists of states.
+    x = ann.repartition(*CODON).groupBy(*MEMBER, "ref_codon", "alt_codon", "ref_aa", "alt_aa", "consequence").agg(F.max("af").alias("af"))
+    x = x.withColumn("_m", F.collect_list(F.struct("codon_offset", F.col("coding_alt").alias("base"), "af")).over(W.partitionBy(*CODON, "ref_codon")))
+    several = (F.size("_m") > 1) & (F.size(offsets(F.col("_m"))) > 1)
+    for c in CODON:
+        several &= F.col(c).isNotNull()
+    x = x.withColumn("_p", F.when(several, places(F.sort_array("_m")))).drop("_m")
+    x = x.withColumn("_s", F.when(F.col("_p").isNotNull(), frechet_list(F.col("_p"), min_fraction, eps))).drop("_p")
+    x = x.withColumn("_s", F.when(F.exists("_s", lambda s: s["accepted"]), F.filter("_s", lambda s: F.substring(s["codon"], F.col("codon_offset") + 1, F.lit(1)) == F.col("coding_alt"))))
     alone = F.get(F.filter("_s", lambda s: s["size"] == 1), F.lit(0))["lower"]
     sure = F.filter("_s", lambda s: s["accepted"] & (F.abs(s["forced"] - 1) <= eps))
     rank = F.transform(sure, lambda s: F.struct(s["size"], F.round(s["lower"], 9).alias("lower"), (-s["state_no"]).alias("no"), s["codon"].alias("codon"), s["aa"].alias("aa"), s["lower"].alias("full")))
