@@ -25,7 +25,9 @@ def combined_annotations(ann: DataFrame, min_fraction: float = 2 / 3, eps: float
     """
     # One shuffle by codon serves the calls of an exchange and the exchanges of a codon; only codons with several places have lists of states.
     x = ann.repartition(*CODON).groupBy(*MEMBER, "ref_codon", "alt_codon", "ref_aa", "alt_aa", "consequence").agg(F.max("af").alias("af"))
-    x = x.withColumn("_m", F.collect_list(F.struct("codon_offset", F.col("coding_alt").alias("base"), "af")).over(W.partitionBy(*CODON, "ref_codon")))
+    # By a hash first: rows are sorted by it alone almost always, whichever of the keys has few values.
+    together = W.partitionBy("_h", *CODON, "ref_codon")
+    x = x.withColumn("_h", F.xxhash64(*CODON)).withColumn("_m", F.collect_list(F.struct("codon_offset", F.col("coding_alt").alias("base"), "af")).over(together)).drop("_h")
     several = (F.size("_m") > 1) & (F.size(offsets(F.col("_m"))) > 1)
     for c in CODON:
         several &= F.col(c).isNotNull()
